@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from leafspark.plans import catalog_pixels  # noqa: F401
+from leafspark.plans import catalog_blobs, catalog_pixels, catalog_tables  # noqa: F401
 from leafspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

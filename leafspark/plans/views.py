@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Techniques, corrections, and 24 directions (1000 * cos and sin of 15-degree steps).
 TECHNIQUES = ["RANDOMFOREST", "KNN", "GRADIENT", "LDA", "SVM", "LOGISTIC", "MLP", "DECISIONTREE", "EXTRA", "OCC"]
 CORRECTIONS = ["NONE", "SMOTE", "ADASYN", "BORDERLINE"]
+PARAMETERS = ["hue", "saturation_mean", "in_phase", "cb_mean", "shape_index", "compactness", "convexity", "elongation",
+              "eccentricity", "roundness", "solidity", "bending", "normalized_distance", "hog_mean", "greyscale_lbp_mean",
+              "greyscale_energy_avg"]
 COS24 = [1000, 966, 866, 707, 500, 259, 0, -259, -500, -707, -866, -966,
          -1000, -966, -866, -707, -500, -259, 0, 259, 500, 707, 866, 966]
 SIN24 = [0, 259, 500, 707, 866, 966, 1000, 966, 866, 707, 500, 259,
@@ -138,7 +141,8 @@ class Views:
             ((k * 37 + 11) % 101 / 100.0).alias("accuracy"), ((k * 53 + 7) % 97 / 100.0).alias("auc"),
             ((k * 29 + 3) % 89 / 100.0).alias("precision"), ((k * 41 + 5) % 83 / 100.0).alias("recall"),
             ((k * 61 + 13) % 79 / 100.0).alias("f1"), ((k * 37 + 11) % 101 / 100.0).alias("map"),
-            F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("parameters"),
+            F.array(*[F.element_at(_strings(PARAMETERS), ((k * a + b) % 16 + 1).cast("int")) for a, b in ((7, 0), (11, 3), (13, 5))])
+            .alias("parameters"),
             F.when(k % 7 == 0, 1).otherwise(2).alias("status"))
 
     @cached_property
@@ -207,7 +211,8 @@ blobs as (select image_id, blob_id, x, y, w, h, w*h area, x+w//2 cx, y+h//2 cy,
   {_list_sql(CORRECTIONS)}[p_size%4+1] correction, ((p_partkey*37+11)%101)/cast(100 as double) accuracy,
   ((p_partkey*53+7)%97)/cast(100 as double) auc, ((p_partkey*29+3)%89)/cast(100 as double) "precision",
   ((p_partkey*41+5)%83)/cast(100 as double) recall, ((p_partkey*61+13)%79)/cast(100 as double) f1,
-  ((p_partkey*37+11)%101)/cast(100 as double) as "map", string_split(p_name||' '||lower(p_type),' ') parameters,
+  ((p_partkey*37+11)%101)/cast(100 as double) as "map", [{_list_sql(PARAMETERS)}[(p_partkey*7)%16+1], {_list_sql(PARAMETERS)}[(p_partkey*11+3)%16+1],
+  {_list_sql(PARAMETERS)}[(p_partkey*13+5)%16+1]] parameters,
   case when p_partkey%7=0 then 1 else 2 end status from part)""",
     "season": """season as (select case when o_orderstatus='O' then 1 else 0 end as "type",
   cast(date_trunc('month', o_orderdate) as date) as "date", o_totalprice hue,
