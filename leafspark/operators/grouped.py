@@ -54,43 +54,43 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """
     lags, sums, last = dict(lags or {}), dict(sums or {}), dict(last or {})
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    base = df.withColumn("_chunk", chunk)
+    base = df.withColumn("__chunk", chunk)
     for i, column in enumerate(order):
-        base = base.withColumn(f"_o{i}", column)
+        base = base.withColumn(f"__o{i}", column)
     for name, column in {**lags, **sums, **last}.items():
-        base = base.withColumn(f"_in_{name}", column)
-    order_columns = [f"_o{i}" for i in range(len(order))]
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_columns)
+        base = base.withColumn(f"__in_{name}", column)
+    order_columns = [f"__o{i}" for i in range(len(order))]
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order_columns)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
 
-    out = base.withColumn("_n", F.row_number().over(inside))
+    out = base.withColumn("__n", F.row_number().over(inside))
     for name in lags:
-        out = out.withColumn(f"_l_{name}", F.lag(f"_in_{name}").over(inside))
+        out = out.withColumn(f"__l_{name}", F.lag(f"__in_{name}").over(inside))
     for name in sums:
-        out = out.withColumn(f"_s_{name}", F.sum(f"_in_{name}").over(running))
+        out = out.withColumn(f"__s_{name}", F.sum(f"__in_{name}").over(running))
     for name in last:
-        out = out.withColumn(f"_v_{name}", F.last(f"_in_{name}", ignorenulls=True).over(running))
+        out = out.withColumn(f"__v_{name}", F.last(f"__in_{name}", ignorenulls=True).over(running))
 
     position = F.struct(*order_columns)
-    summaries = [F.count(F.lit(1)).alias("_rows")]
+    summaries = [F.count(F.lit(1)).alias("__rows")]
     if lags:
-        summaries.append(F.max_by(F.struct(*[F.col(f"_in_{n}").alias(n) for n in lags]), position).alias("_tail"))
-    summaries += [F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums]
-    summaries += [F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), position)).alias(f"_w_{n}") for n in last]
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+        summaries.append(F.max_by(F.struct(*[F.col(f"__in_{n}").alias(n) for n in lags]), position).alias("__tail"))
+    summaries += [F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums]
+    summaries += [F.max_by(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), position)).alias(f"__w_{n}") for n in last]
+    across = Window.partitionBy(*keys).orderBy("__chunk")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")]
+    carried = [F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")]
     if lags:
-        carried.append(F.lag("_tail").over(across).alias("_prev"))
-    carried += [F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums]
-    carried += [F.last(f"_w_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last]
-    carry = base.groupBy(*keys, "_chunk").agg(*summaries).select(*keys, "_chunk", *carried)
+        carried.append(F.lag("__tail").over(across).alias("__prev"))
+    carried += [F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in sums]
+    carried += [F.last(f"__w_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in last]
+    carry = base.groupBy(*keys, "__chunk").agg(*summaries).select(*keys, "__chunk", *carried)
 
-    joined = out.join(carry, [*keys, "_chunk"])
+    joined = out.join(carry, [*keys, "__chunk"])
     result = [F.col(c) for c in df.columns]
-    result += [F.when(F.col("_n") == 1, F.col(f"_prev.{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in lags]
-    result += [(F.coalesce(F.col(f"_s_{n}"), F.lit(0)) + F.col(f"_p_{n}")).alias(n) for n in sums]
-    result += [F.coalesce(f"_v_{n}", f"_c_{n}").alias(n) for n in last]
+    result += [F.when(F.col("__n") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")).alias(n) for n in lags]
+    result += [(F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.col(f"__p_{n}")).alias(n) for n in sums]
+    result += [F.coalesce(f"__v_{n}", f"__c_{n}").alias(n) for n in last]
     if rank:
-        result.append((F.col("_n") + F.col("_before")).alias(rank))
+        result.append((F.col("__n") + F.col("__before")).alias(rank))
     return joined.select(*result)

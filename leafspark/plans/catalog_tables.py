@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import catalog_of_factors, metrics, rules, scalars
 from leafspark.operators import evaluation, profile, ranking, timeseries
+from leafspark.operators.grouped import ordered_scan
 from leafspark.plans.registry import query, r6
 
 FACTORS = ["hue", "saturation_mean", "in_phase", "shape_index", "compactness"]
@@ -24,9 +25,9 @@ CAT = ", fc as (select * from (values " + ", ".join(f"('{a}','{b}','{c}','{d}','
 LONG = ", lf as (" + " union all ".join(f"select \"type\", '{f}' factor, cast({f} as double) val from factors" for f in FACTORS) + ")"
 
 # Factor tables.
-query("src1_factor_scan", "factors", ' select "type", hue, shape_index from factors')(
+query("src1_factor_scan", "factors", ' select "type", hue, ' + r6("shape_index") + ' shape_index from factors')(
     lambda v: v.factors.select("type", "hue", "shape_index"))
-query("flt4_clean", "factors", " select name, number, hue, saturation_mean, in_phase, shape_index, compactness from factors where hue<>0 and saturation_mean<>0 and in_phase<>0 and shape_index<>0 and compactness<>0")(
+query("flt4_clean", "factors", f" select name, number, hue, saturation_mean, in_phase, {r6('shape_index')} shape_index, compactness from factors where hue<>0 and saturation_mean<>0 and in_phase<>0 and shape_index<>0 and compactness<>0")(
     lambda v: profile.clean_factors(v.factors, FACTORS).select("name", "number", *FACTORS))
 query("flt4_dropped", "factors", ", z as (select hue=0 or saturation_mean=0 or in_phase=0 or shape_index=0 or compactness=0 bad from factors) select count(*) filter (not bad) kept, count(*) filter (bad) dropped from z")(
     lambda v: profile.dropped_rows(v.factors, FACTORS))
@@ -42,11 +43,8 @@ def _(v):
         F.broadcast(catalog_frame(v.spark)), "factor").select("factor", "type", "space", "used")
 
 
-query("flt10_composed_of", "results", CAT + """ select id, technique from results where list_bool_and(list_transform(parameters,
- lambda p: p in (select factor from fc where "type" in ('SHAPE','COLOR') and kind='SCALAR')))""".replace(
-    """list_bool_and(list_transform(parameters,
- lambda p: p in (select factor from fc where "type" in ('SHAPE','COLOR') and kind='SCALAR')))""",
-    """list_has_all((select list(factor) from fc where "type" in ('SHAPE','COLOR') and kind='SCALAR'), parameters)"""))(
+query("flt10_composed_of", "results", CAT + """ select id, technique from results where
+ list_has_all((select list(factor) from fc where "type" in ('SHAPE','COLOR') and kind='SCALAR'), parameters)""")(
     lambda v: ranking.composed_of(v.results, catalog_frame(v.spark), ["SHAPE", "COLOR"]).select("id", "technique"))
 query("flt11_completed", "results", " select id, technique from results where status=2 and technique<>'OCC'")(
     lambda v: ranking.completed(v.results).select("id", "technique"))
@@ -62,7 +60,7 @@ query("agg8_tidy_profile", "factors", LONG + f""" select factor, cast(count(*) f
     lambda v: profile.tidy_profile(v.factors, FACTORS))
 query("agg9_zero_listing", "factors", LONG + ' select "type", factor, count(*) filter (val=0) zeros, count(*) as "rows" from lf group by all')(
     lambda v: profile.zero_listing(v.factors, FACTORS))
-query("agg10_mean_time", "perf_log", f" select activity, {r6('avg(microseconds)')} microseconds from perf_log group by activity")(
+query("agg10_mean_time", "perf_log", f' select activity, {r6("avg(us)")} as "microseconds" from perf_log group by activity')(
     lambda v: v.perf_log.groupBy("activity").agg(F.avg("microseconds").alias("microseconds")))
 query("agg26_normalise", "factors", " select name, number, " + ", ".join(
     r6(f"case when max({f}) over ()=min({f}) over () then 1.0 else ({f}-min({f}) over ())/(max({f}) over ()-min({f}) over ()) end") + f" {f}" for f in FACTORS) + " from factors")(
@@ -80,8 +78,8 @@ PAIRS = [(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1:]]
 query("agg28_correlation", "factors", " " + " union all ".join(
     f"select \"type\", '{a}|{b}' pair, {r6(f'corr({a},{b})')} correlation from factors group by \"type\"" for a, b in PAIRS))(
     lambda v: profile.factor_correlation(v.factors, FACTORS))
-query("agg29_quartiles", "factors", LONG + f""", q as (select "type", factor, unnest([0.25,0.5,0.75]) p, unnest(quantile_cont(val,[0.25,0.5,0.75])) quantile from lf group by all)
- select "type", factor, p, {r6('quantile')} quantile from q""")(
+query("agg29_quartiles", "factors", LONG + " " + " union all ".join(
+    f"select \"type\", factor, {p} p, {r6(f'quantile_cont(val,{p})', 8)} quantile from lf group by \"type\", factor" for p in (0.25, 0.5, 0.75)), 8)(
     lambda v: profile.exact_quantiles(profile.long_form(v.factors, ["type"], FACTORS), ["type", "factor"], [0.25, 0.5, 0.75]))
 query("set2_distinct_factors", "results", " select distinct unnest(parameters) factor from results where status=2")(
     lambda v: ranking.completed(v.results, ranking.BINARY + ranking.ONE_CLASS).select(F.explode("parameters").alias("factor")).distinct())
@@ -206,7 +204,6 @@ query("win4_rank", "results", DONE + """ select id, technique, rank() over (part
 
 def technique_rank(results):
     """Rank per technique: count better distinct scores first, so no technique is sorted row by row in one task."""
-    from leafspark.operators.grouped import ordered_scan
     d = ranking.completed(results)
     levels = d.groupBy("technique", "auc").agg(F.count(F.lit(1)).alias("n"))
     ranks = ordered_scan(levels, ["technique"], [-F.col("auc")], -F.floor(F.col("auc") * 64), sums={"upto": F.col("n")})
@@ -237,8 +234,8 @@ query("src16_results_by_name", "results", " select technique, correction, count(
     .groupBy("technique", "correction").agg(F.count(F.lit(1)).alias("n")))
 
 # Seasons.
-query("agg12_season_means", "season", f' select "type", "date", {r6("avg(hue)", 4)} hue, {r6("avg(saturation_mean)", 4)} saturation_mean from season group by all', places=4)(
-    lambda v: timeseries.season_means(v.season, ["hue", "saturation_mean"]))
+query("agg12_season_means", "season", f' select "type", cast("date" as varchar) "date", {r6("avg(hue)", 4)} hue, {r6("avg(saturation_mean)", 4)} saturation_mean from season group by all', places=4)(
+    lambda v: timeseries.season_means(v.season, ["hue", "saturation_mean"]).withColumn("date", F.col("date").cast("string")))
 MONTHS = ["1996-01-01", "1997-06-01", "1998-12-01"]
 query("agg12_unstack", "season", ' select "type", ' + ", ".join(
     f"{r6(f'avg(hue) filter ({chr(34)}date{chr(34)}=date {chr(39)}{m}{chr(39)})', 4)} \"{m}\"" for m in MONTHS) + ' from season group by "type"', places=4)(

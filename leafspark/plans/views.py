@@ -170,7 +170,7 @@ class Views:
     def odometry(self) -> DataFrame:
         """device, ts, event_id, angle reading, sequence: encoder readings per device."""
         e = self.table("events")
-        return e.select(F.col("user_id").alias("device"), "ts", "event_id", F.col("event_type").alias("kind"),
+        return e.select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"),
                         F.floor(F.col("value") * 10).cast("double").alias("angle"),
                         (F.floor(F.col("event_id") / 100) - 1).alias("sequence"))
 
@@ -224,7 +224,7 @@ blobs as (select image_id, blob_id, x, y, w, h, w*h area, x+w//2 cx, y+h//2 cy,
   from orders join customer on o_custkey=c_custkey)""",
     "odometry": """odometry as (select user_id device, ts, event_id, event_type kind, floor(value*10) angle,
   cast(event_id//100-1 as bigint) as "sequence" from events)""",
-    "perf_log": """perf_log as (select event_type activity, cast(floor(value*1000) as bigint) microseconds from events)""",
+    "perf_log": """perf_log as (select event_type activity, cast(floor(value*1000) as bigint) us from events)""",
 }
 _NEEDS = {"depth": ["pixels"]}
 
@@ -238,4 +238,5 @@ def with_views(body: str, *names: str) -> str:
                 ordered.append(view)
     if not ordered:
         return body
-    return "with " + ",\n".join(VIEW_SQL[n] for n in ordered) + ("" if body.lstrip().startswith(",") else "\n") + body
+    start = "with recursive " if "union select" in body else "with "
+    return start + ",\n".join(VIEW_SQL[n] for n in ordered) + ("" if body.lstrip().startswith(",") else "\n") + body
