@@ -69,33 +69,47 @@ def bilinear_parts(dy: float, dx: float) -> list[tuple[int, int, float]]:
 def lbp_codes(pixels: DataFrame, keys: Sequence[str] = ("image_id",), points: int = 24, radius: float = 8.0, tile: int = 64) -> DataFrame:
     """Uniform pattern code 0..points+1 per pixel: keys, x, y, code.
 
-    Pixels are sent to square tiles with a border, so a group holds at most one tile, whatever the size of the
-    image; inside a tile the samples are taken with array arithmetic. Missing pixels count as 0.
+    Pixels are sent to square tiles with a border, so a tile is all a task needs at once, whatever the size of the
+    image. Tiles arrive sorted and are worked on in stacks with array arithmetic. Missing pixels count as 0.
     """
     reach = math.ceil(radius) + 1
     samples = [bilinear_parts(dy, dx) for dy, dx in sample_points(points, radius)]
     cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
     sent = pixels.select(*keys, "x", "y", "v", cells("x").alias("tx")).select("*", cells("y").alias("ty"))
     names = list(keys)
-
-    def encode(group: pd.DataFrame) -> pd.DataFrame:
-        left, top = int(group.tx.iloc[0]) * tile, int(group.ty.iloc[0]) * tile
-        side = tile + 2 * reach
-        grid = np.zeros((side, side))
-        grid[(group.y - top + reach).to_numpy(), (group.x - left + reach).to_numpy()] = group.v.to_numpy()
-        own = group[(group.x >= left) & (group.x < left + tile) & (group.y >= top) & (group.y < top + tile)]
-        rows, cols = (own.y - top + reach).to_numpy(), (own.x - left + reach).to_numpy()
-        center = grid[rows, cols]
-        bits = np.zeros((len(own), points), dtype=int)
+    group = [*names, "tx", "ty"]
+
+    def stack_codes(frame: pd.DataFrame, gid: np.ndarray) -> pd.DataFrame:
+        ly = (frame.y - frame.ty * tile).to_numpy() + reach
+        lx = (frame.x - frame.tx * tile).to_numpy() + reach
+        own = (ly >= reach) & (ly < tile + reach) & (lx >= reach) & (lx < tile + reach)
+        grid = np.zeros((gid.max() + 1, tile + 2 * reach, tile + 2 * reach))
+        grid[gid, ly, lx] = frame.v.to_numpy()
+        at, rows, cols = gid[own], ly[own], lx[own]
+        center = grid[at, rows, cols]
+        bits = np.zeros((len(at), points), dtype=int)
         for k, parts in enumerate(samples):
-            value = sum(w * grid[rows + dy, cols + dx] for dy, dx, w in parts)
+            value = sum(w * grid[at, rows + dy, cols + dx] for dy, dx, w in parts)
             bits[:, k] = np.round(value, 6) >= center
         changes = (bits[:, 1:] != bits[:, :-1]).sum(axis=1)
         code = np.where(changes <= 2, bits.sum(axis=1), points + 1)
-        return own[names].assign(x=own.x, y=own.y, code=code)
+        kept = frame[own]
+        return kept[names].assign(x=kept.x, y=kept.y, code=code)
+
+    def encode(batches):
+        rest = None
+        for frame in batches:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            gid = (frame[group] != frame[group].shift()).any(axis=1).cumsum().to_numpy() - 1
+            rest = frame[gid == gid[-1]]
+            for first in range(0, gid[-1], 128):
+                part = (gid >= first) & (gid < min(first + 128, gid[-1]))
+                yield stack_codes(frame[part], gid[part] - first)
+        if rest is not None:
+            yield stack_codes(rest, np.zeros(len(rest), dtype=int))
 
     schema = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys) + ", x int, y int, code int"
-    return sent.groupBy(*keys, "tx", "ty").applyInPandas(encode, schema)
+    return sent.repartition(*group).sortWithinPartitions(*group).mapInPandas(encode, schema)
 
 
 def lbp_histogram(codes: DataFrame, keys: Sequence[str] = ("image_id",), points: int = 24) -> DataFrame:
