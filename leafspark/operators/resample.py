@@ -1,7 +1,7 @@
 """Class-imbalance tools: splits, imbalance creation, synthetic minority rows and neighbour-based cleaning.
 
 Tables: id (bigint), features (array of double), type (0 crop, 1 weed). Random choices are whole-number hashes of
-ids, so a rerun after a lost executor gives the same rows.
+ids, so a rerun after a lost executor gives the same rows. Made rows have negative ids.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.operators.grouped import ordered_scan, with_group_stats
+from leafspark.operators.grouped import ordered_scan, quantile_chunk, with_group_stats
 from leafspark.operators.neighbors import nearest_neighbors, neighbor_rows
 
 SEED = 42
-SYNTHETIC = 1 << 40
 
 
 def hash_share(key: Column, seed: int = SEED) -> Column:
@@ -60,7 +59,7 @@ def synthesise(seeds: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
     made = made.select(F.col("id").alias("seed_id"), "j", "features", "type", pick.alias("mate"), hash_share(mix, 3).alias("u"))
     mates = pool.select(F.col("id").alias("mate"), F.col("features").alias("_f"))
     point = F.zip_with("features", "_f", lambda a, b: a + (b - a) * F.col("u"))
-    return made.join(mates, "mate").select((F.lit(SYNTHETIC) + F.col("seed_id") * 4096 + F.col("j")).alias("id"), point.alias("features"), "type")
+    return made.join(mates, "mate").select((-(F.col("seed_id") * (1 << 24) + F.col("j"))).alias("id"), point.alias("features"), "type")
 
 
 def minority_of(df: DataFrame) -> tuple[int, int, int]:
@@ -74,7 +73,7 @@ def minority_of(df: DataFrame) -> tuple[int, int, int]:
 
 def _even_wants(seeds: DataFrame, total: int) -> DataFrame:
     """Spread ``total`` new rows evenly over the seeds; the first ones in id order take the remainder."""
-    ranked = ordered_scan(seeds, [], ["id"], F.floor(F.log2(F.greatest(F.col("id"), F.lit(1)).cast("double")) * 8), rank="_r")
+    ranked = ordered_scan(seeds, [], ["id"], quantile_chunk(seeds, "id"), rank="_r")
     ranked = with_group_stats(ranked, [], _n=F.count(F.lit(1)))
     want = F.floor(F.lit(total) / F.col("_n")) + F.when(F.col("_r") <= F.lit(total) % F.col("_n"), 1).otherwise(0)
     return ranked.withColumn("want", want).select(*seeds.columns, "want")

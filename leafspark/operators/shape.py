@@ -217,3 +217,14 @@ def blob_bands(pixels: DataFrame, bands: dict[str, Column], keys=("image_id", "b
         aggregates += [F.avg(used).alias(f"{name}_mean"), F.stddev_pop(used).alias(f"{name}_stddev")]
     return pixels.groupBy(*keys).agg(*aggregates)
 
+
+
+def reducer(fn):
+    """An aggregate from a function of one pandas Series, for :func:`pyspark.sql.GroupedData.agg`.
+
+    A built-in aggregate is the better choice where one exists: this one needs the whole group in its task.
+    """
+    @F.pandas_udf(T.DoubleType())
+    def reduce_series(values: pd.Series) -> float:
+        return float(fn(values))
+    return reduce_series

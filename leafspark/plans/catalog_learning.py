@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafspark.operators import discriminant, neighbors, resample
+from leafspark.functions import rules
+from leafspark.operators import discriminant, models, neighbors, resample, selection, shape, sweep
 from leafspark.plans.registry import query, r6
 
+DIMS = 8
+NAMES = [f"e{i}" for i in range(DIMS)]
 HASH = "((({0})*7919+{1}*104729+(({0})%97)*6007)%10007)/10007.0"
 SPLIT = f", sp as (select *, {HASH.format('id', 42)}<0.4 is_train from vectors)"
 
@@ -36,12 +39,11 @@ def complement(df):
 
 query("ml2_scaler", "vectors", SPLIT + """, st as (select i, avg(features[i]) filter (is_train) m, stddev_pop(features[i]) filter (is_train) s from sp, range(1,9) t(i) group by i)
  select id, cast(i-1 as int) pos, """ + r6("(features[i]-m)/s") + ' as "value" from sp join st on true')(
-    lambda v: scale(resample.split(v.vectors), 8).select("id", F.posexplode("features").alias("pos", "value")))
+    lambda v: scale(resample.split(v.vectors)).select("id", F.posexplode("features").alias("pos", "value")))
 
 
-def scale(df, dims):
-    from leafspark.operators.models import scale_features
-    return scale_features(df.filter("is_train"), df, dims)
+def scale(df):
+    return models.scale_features(df.filter("is_train"), df, DIMS)
 
 
 query("jn15_neighbors", "vectors", f""", d as (select a.id query_id, b.id, {l2('a.features', 'b.features')} dist from vectors a join vectors b on a.id<>b.id),
@@ -82,3 +84,105 @@ query("ml24_tomek", "vectors", NN + """, n as (select query_id, id, ta, tb from
     lambda v: resample.remove_tomek(v.vectors).select("id", "type"))
 query("ml25_enn", "vectors", NN + """ select id, "type" from vectors where "type"=0 or id not in (select query_id from d where k<=3 and ta<>tb)""")(
     lambda v: resample.edited_neighbors(v.vectors).select("id", "type"))
+
+
+def two_classes(v):
+    return resample.split(v.vectors)
+
+
+def counts_by_type(df):
+    """Class sizes and a check that made rows lie inside the range of the given ones."""
+    return df.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < 0).alias("made"))
+
+
+for number, name in ((19, "SMOTE"), (20, "ADASYN"), (21, "BORDERLINE"), (22, "KMEANS"), (23, "SVM")):
+    query(f"ml{number}_{name.lower()}", "vectors")(lambda v, name=name: resample.correct(v.vectors, name).select("id", "type", F.element_at("features", 1).alias("first")))
+for name in ("SMOTETOMEK", "SMOTEENN"):
+    query(f"ml26_{name.lower()}", "vectors")(lambda v, name=name: counts_by_type(resample.correct(v.vectors, name)))
+
+# Techniques: small forests here, the library's own defaults are those of the reference flow.
+SMALL = {"RANDOMFOREST": {"trees": 20}, "EXTRA": {"trees": 20}, "GRADIENT": {"rounds": 5}}
+for number, name in ((3, "LOGISTIC"), (4, "DECISIONTREE"), (5, "RANDOMFOREST"), (6, "GRADIENT"), (7, "EXTRA"), (8, "SVM"), (9, "MLP"), (12, "OCC")):
+    query(f"ml{number}_{name.lower()}", "vectors")(lambda v, name=name: trained(two_classes(v), name).select("id", "score", "prediction"))
+
+
+def trained(df, name):
+    return models.technique(name, DIMS, **SMALL.get(name, {})).fit(df.filter("is_train"))(df.filter("not is_train"))
+
+
+query("ml13_cross_validation", "vectors")(lambda v: models.cross_validate(v.vectors, models.technique("LDA", DIMS), 5))
+query("ml14_assess", "vectors")(lambda v: models.assess(trained(two_classes(v), "LDA"), compat=True))
+
+
+@query("ml15_score_rows", "vectors", LDA + """ select id, case when id%10=0 then 4 else cast(score>0.5 as int) end "type", case when id%10=0 then 1 else 9 end reason from ld""")
+def _(v):
+    df = two_classes(v)
+    two = df.withColumn("features", F.slice("features", 1, 2))
+    rows = two.filter("not is_train").withColumns({"reason": F.when(F.col("id") % 10 == 0, rules.REASON_AT_EDGE).otherwise(0)})
+    rows = rows.withColumn("type", F.when(F.col("reason") == 1, rules.UNKNOWN).otherwise(F.col("type")))
+    fitted = models.technique("LDA", 2).fit(two.filter("is_train"))
+    return models.score_rows(fitted, rows, reason=9).select("id", "type", "reason")
+
+
+query("ml16_pixel_classes", "pixels")(lambda v: pixel_classes(v.pixels))
+
+
+def pixel_classes(pixels):
+    train = pixels.filter("image_id % 5 = 0").select(F.col("image_id").alias("id"), F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("features"),
+                                                     (F.col("r") > F.col("g")).cast("int").alias("type"))
+    fitted = models.technique("LDA", 3).fit(train)
+    return models.classify_pixels(fitted, pixels, {c: F.col(c) for c in "rgb"})
+
+
+ML27 = " " + " union all ".join(f"select 'e{i}' factor, features[{i + 1}] x, \"type\" t from vectors" for i in range(DIMS))
+query("ml27_univariate", "vectors", f""", lx as ({ML27}), cx as (select factor, t, count(*) n, avg(x) m, sum(x) s, var_pop(x)*count(*) w from lx group by all),
+ fx as (select factor, sum(n) n, sum(s)/sum(n) gm, sum(w) w from cx group by factor)
+ select cx.factor, {r6('sum(cx.n*(m-gm)*(m-gm))/(any_value(fx.w)/(any_value(fx.n)-2))')} score from cx join fx on cx.factor=fx.factor group by cx.factor""")(
+    lambda v: selection.univariate(v.vectors, NAMES))
+query("ml28_pca", "vectors")(lambda v: selection.pca(v.vectors, NAMES))
+query("ml29_importance", "vectors")(lambda v: selection.importance(v.vectors, NAMES, trees=10))
+query("ml30_recursive", "vectors")(lambda v: selection.recursive(v.vectors, NAMES, trees=10))
+query("ml31_variance", "vectors", f""", lx as ({ML27}) select factor, {r6('var_pop(x)')} score from lx group by factor""")(
+    lambda v: selection.variance(v.vectors, NAMES))
+query("ml32_all_selectors", "vectors")(lambda v: selection.all_selectors(v.vectors, NAMES, {"Importance": {"trees": 10}, "Recursive": {"trees": 5}}))
+query("ml17_registry", "vectors")(lambda v: models.assess(trained(two_classes(v), "DECISIONTREE")).withColumn("technique", F.lit("DECISIONTREE")))
+
+
+@query("ml33_sweep", "vectors")
+def _(v):
+    df = two_classes(v)
+    return sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 3)
+
+
+query("ml33_sweep_techniques", "vectors")(lambda v: sweep.sweep(
+    two_classes(v), [(0, 1, 2), (3, 4, 5)], NAMES, ["LDA", "DECISIONTREE"], ["NONE", "SMOTE"]))
+query("ml34_imbalance_grid", "vectors")(lambda v: sweep.imbalance_grid(two_classes(v), DIMS, [(2, 1), (4, 1)], ["NONE", "SMOTE"], ["LDA"]))
+
+
+@query("ml35_rerun_best", "vectors")
+def _(v):
+    df = two_classes(v)
+    results = sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 2)
+    return sweep.rerun_best(df, results, NAMES)
+
+
+# Pluggable parts.
+@query("udf1_blob_reducer", "pixels", f" select image_id, {r6('median(nullif(g,0))')} reduced from pixels group by image_id")
+def _(v):
+    return v.pixels.groupBy("image_id").agg(shape.reducer(lambda s: s[s != 0].median())(F.col("g").cast("double")).alias("reduced"))
+
+
+query("udf3_selector", "vectors", f""", lx as ({ML27}) select factor, {r6('max(x)-min(x)')} score from lx group by factor""")(
+    lambda v: selection.run_selector(selection.ColumnSelector("Range", lambda c: F.max(c) - F.min(c)), v.vectors, NAMES))
+
+
+class Majority:
+    """A custom technique: always the commoner class."""
+
+    def fit(self, train):
+        common = train.agg(F.mode("type").alias("m")).scalar()
+        return lambda rows: rows.withColumn("prediction", common).withColumn("score", F.col("prediction").cast("double"))
+
+
+query("udf4_technique", "vectors", SPLIT + """ select id, (select case when count(*) filter ("type"=1)>count(*) filter ("type"=0) then 1 else 0 end from sp where is_train) prediction from sp where not is_train""")(
+    lambda v: Majority().fit(two_classes(v).filter("is_train"))(two_classes(v).filter("not is_train")).select("id", "prediction"))
