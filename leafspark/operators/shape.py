@@ -219,12 +219,23 @@ def blob_bands(pixels: DataFrame, bands: dict[str, Column], keys=("image_id", "b
 
 
 
-def reducer(fn):
-    """An aggregate from a function of one pandas Series, for :func:`pyspark.sql.GroupedData.agg`.
+def reduce_blobs(df: DataFrame, keys, value: str, parts, finish) -> DataFrame:
+    """A caller-supplied reduction of a blob band that splits into sums: keys, reduced.
 
-    A built-in aggregate is the better choice where one exists: this one needs the whole group in its task.
+    ``parts`` maps a numpy array of values to a list of numbers that add up over pieces of a blob (count, sum, sum of
+    squares and the like); ``finish`` maps the added numbers to the result. Pieces are reduced where they lie and only
+    the numbers are shuffled, so a blob of any size is fine. Built-in aggregates need none of this.
     """
-    @F.pandas_udf(T.DoubleType())
-    def reduce_series(values: pd.Series) -> float:
-        return float(fn(values))
-    return reduce_series
+    names = list(keys)
+
+    def partial(batches):
+        for frame in batches:
+            if len(frame):
+                sums = [(*(k if isinstance(k, tuple) else (k,)), [float(v) for v in parts(g[value].to_numpy())]) for k, g in frame.groupby(names)]
+                yield pd.DataFrame(sums, columns=[*names, "parts"])
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names) + ", parts array<double>"
+    pieces = df.select(*names, value).mapInPandas(partial, schema)
+    added = pieces.select(*names, F.posexplode("parts").alias("i", "v")).groupBy(*names, "i").agg(F.sum("v").alias("v"))
+    packed = added.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+    return packed.select(*names, finish(F.transform("p", lambda e: e["v"])).alias("reduced"))

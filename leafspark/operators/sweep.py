@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -22,22 +23,19 @@ COMBOS_AT_ONCE = 2000
 def discriminant_sweep(train: DataFrame, test: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """Scores of a linear discriminant on every k-factor combination: id, technique, correction, parameters, scores, status.
 
-    Training rows are read once: every combination is solved from the same class sums. Test rows are read once per
+    Training rows are read once: every combination is solved, inside the tasks, from the same class sums. Test rows are read once per
     2,000 combinations; a batch of rows is scored by one matrix product and leaves as counts per combination and score
     bin, so rows are never multiplied. The auc comes from 1,024 score bins; :func:`rerun_best` gives exact curves.
     """
     sums = ClassSums(train, len(names))
-    picks = list(combinations(range(len(names)), k))
+    dims, combos = len(names), math.comb(len(names), k)
     parts = None
-    for start in range(0, len(picks), COMBOS_AT_ONCE):
-        chunk = picks[start:start + COMBOS_AT_ONCE]
-        weights = np.zeros((len(names), len(chunk)))
-        offsets = np.zeros(len(chunk))
-        for c, at in enumerate(chunk):
-            w, offsets[c] = sums.solve(at)
-            weights[list(at), c] = w
-
-        def count(batches, weights=weights, offsets=offsets, start=start):
+    for start in range(0, combos, COMBOS_AT_ONCE):
+        def count(batches, start=start):
+            chunk = list(islice(combinations(range(dims), k), start, start + COMBOS_AT_ONCE))
+            weights, offsets = np.zeros((dims, len(chunk))), np.zeros(len(chunk))
+            for c, at in enumerate(chunk):
+                weights[list(at), c], offsets[c] = sums.solve(at)
             total = np.zeros((2, len(offsets), BINS), dtype=np.int64)
             for frame in batches:
                 if not len(frame):
@@ -66,8 +64,15 @@ def discriminant_sweep(train: DataFrame, test: DataFrame, names: Sequence[str],
     pairs = (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))
     scored = bins.withColumn("auc", F.coalesce(F.try_divide(walk["area"], pairs), F.lit(0.0)))
     scored = scored.withColumns(metrics.scores(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
-    # Names of a combination follow from its number: a table of the same length, built by tasks.
-    lookup = train.sparkSession.createDataFrame([(i, [names[j] for j in at]) for i, at in enumerate(picks)], "id bigint, parameters array<string>")
+
+    def named(batches):
+        for frame in batches:
+            if len(frame):
+                low, high = int(frame.id.min()), int(frame.id.max())
+                run = list(islice(combinations(names, k), low, high + 1))
+                yield pd.DataFrame({"id": frame.id, "parameters": [list(run[i - low]) for i in frame.id]})
+
+    lookup = train.sparkSession.range(combos).mapInPandas(named, "id bigint, parameters array<string>")
     return scored.join(lookup, "id").select("id", F.lit("LDA").alias("technique"), F.lit("NONE").alias("correction"), "accuracy", "auc", "precision", "recall",
                                             "f1", F.col("accuracy").alias("map"), "parameters", F.lit(ranking.COMPLETED).alias("status"))
 

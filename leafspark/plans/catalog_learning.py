@@ -167,11 +167,9 @@ def _(v):
 
 
 # Pluggable parts.
-@query("udf1_blob_reducer", "pixels", f" select image_id, {r6('median(nullif(g,0))')} reduced from pixels group by image_id")
-def _(v):
-    return v.pixels.groupBy("image_id").agg(shape.reducer(lambda s: s[s != 0].median())(F.col("g").cast("double")).alias("reduced"))
-
-
+query("udf1_blob_reducer", "pixels", f" select image_id, {r6('stddev_pop(nullif(g,0))')} reduced from pixels group by image_id")(
+    lambda v: shape.reduce_blobs(v.pixels, ["image_id"], "g", lambda a: [(a != 0).sum(), a.sum(), (a.astype(float) ** 2).sum()],
+                                 lambda p: F.sqrt(p[2] / p[0] - p[1] / p[0] * (p[1] / p[0]))))
 query("udf3_selector", "vectors", f""", lx as ({ML27}) select factor, {r6('max(x)-min(x)')} score from lx group by factor""")(
     lambda v: selection.run_selector(selection.ColumnSelector("Range", lambda c: F.max(c) - F.min(c)), v.vectors, NAMES))
 

@@ -238,5 +238,5 @@ def with_views(body: str, *names: str) -> str:
                 ordered.append(view)
     if not ordered:
         return body
-    start = "with recursive " if "union select" in body else "with "
+    start = "with recursive " if "union select" in body or "union all select nr." in body or "union all select cp." in body else "with "
     return start + ",\n".join(VIEW_SQL[n] for n in ordered) + ("" if body.lstrip().startswith(",") else "\n") + body
