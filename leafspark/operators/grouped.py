@@ -34,14 +34,19 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest:
 def quantile_chunk(df: DataFrame, column: str, chunks: int = 256) -> Column:
     """A monotone chunk number for a numeric column, from approximate quantiles.
 
-    The driver receives at most ``chunks`` boundaries, whatever the table size.
+    The driver receives at most ``chunks`` boundaries, whatever the table size. The number comes from a balanced tree
+    of comparisons, so it stays in generated code.
     """
     steps = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), steps, 10000)).first()[0] or []
-    distinct = sorted(set(bounds))
-    if not distinct:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in distinct]), lambda b: b < F.col(column)))
+    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), steps, 20 * chunks)).first()[0] or []
+    limits = sorted(set(bounds))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) <= limits[middle], place(low, middle)).otherwise(place(middle + 1, high))
+    return place(0, len(limits))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, *,

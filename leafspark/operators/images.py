@@ -90,6 +90,14 @@ def all_indices(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "x", "y", F.inline(F.array(*pairs)))
 
 
+def index_summary(pixels: DataFrame) -> DataFrame:
+    """image_id, index, mean, top, n: every pixel index aggregated in one wide pass, then turned into rows."""
+    named = {n: indices.index(n, F.col("r"), F.col("g"), F.col("b")).cast("double") for n in indices.PIXEL_INDICES}
+    values = pixels.select("image_id", *[c.alias(n) for n, c in named.items()])
+    wide = values.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(n).alias("mean"), F.max(n).alias("top")).alias(n) for n in named])
+    return wide.unpivot(["image_id", "n"], list(named), "index", "s").select("image_id", "index", "s.mean", "s.top", "n")
+
+
 def clean_depth(depth: DataFrame, limit: int, fill_high: bool = True) -> DataFrame:
     """Readings above the limit and 65535 become 0; zeros then take the largest remaining reading of the frame."""
     cut = F.when((F.col("mm") == 65535) | (F.col("mm") > limit), 0).otherwise(F.col("mm"))

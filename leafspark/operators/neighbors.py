@@ -37,13 +37,14 @@ def _merge_copies(base: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("features").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def nearest_neighbors(queries: DataFrame, base: DataFrame, k: int, p: int = 2, exclude_self: bool = False, pivots: int = 32) -> DataFrame:
+def nearest_neighbors(queries: DataFrame, base: DataFrame, k: int, p: int = 2, exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
     """query_id, neighbors: array of (dist, id) by rising distance, ties by id; k entries (fewer in a small base).
 
     queries, base: id (bigint), features (array of double). p = 1 for Manhattan, 2 for Euclidean distance.
     """
     need = k + 1 if exclude_self else k
-    merged = _merge_copies(base, need)
+    merged = cut_lineage(_merge_copies(base, need))
+    pivots = pivots or min(max(merged.count() // 512, 4), 256)
     heads = [np.asarray(r[0], dtype=float) for r in merged.select("features").orderBy(F.xxhash64("features"), "features").limit(pivots).collect()]
     if not heads:
         return queries.select(F.col("id").alias("query_id")).withColumn("neighbors", F.array().cast("array<struct<dist:double,id:bigint>>"))
@@ -95,10 +96,17 @@ def nearest_neighbors(queries: DataFrame, base: DataFrame, k: int, p: int = 2, e
         rows, dists, found = [], [], []
         for start in range(0, len(q), 128):
             d = np.round(_distances(q[start:start + 128], m, p), DISTANCE_PLACES)[:, owner]
-            first = np.argsort(d, axis=1, kind="stable")[:, :need]
-            rows.append(np.repeat(np.arange(start, start + len(d)), first.shape[1]))
-            dists.append(np.take_along_axis(d, first, axis=1).ravel())
-            found.append(flat[first].ravel())
+            # Columns are in id order: keep all up to the k-th distance, then the first k by (distance, id).
+            worst = np.partition(d, min(need, d.shape[1]) - 1, axis=1)[:, min(need, d.shape[1]) - 1]
+            r, c = np.nonzero(d <= worst[:, None])
+            near = d[r, c]
+            by = np.lexsort((c, near, r))
+            r, c, near = r[by], c[by], near[by]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            kept = place < need
+            rows.append(r[kept] + start)
+            dists.append(near[kept])
+            found.append(flat[c[kept]])
         return pd.DataFrame({"features": asking.features.to_numpy()[np.concatenate(rows)], "dist": np.concatenate(dists), "id": np.concatenate(found)})
 
     keys = ["cell", "share", "block"]

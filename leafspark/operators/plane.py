@@ -15,6 +15,9 @@ from leafspark.functions import rules
 from leafspark.operators.grouped import ordered_scan, top_by, with_group_stats
 
 
+WINDOW_LEVELS = 16
+
+
 def _cell(c: Column, size: int) -> Column:
     return F.floor(c / size).cast("int")
 
@@ -77,18 +80,30 @@ def lids_at_blobs(lids: DataFrame, blobs: DataFrame, reach: int = 10) -> DataFra
 def box_cover(blobs: DataFrame) -> DataFrame:
     """Number of blob boxes over each blob center, its own included: image_id, cx, cy, cover.
 
-    Boxes are cut into row intervals; along one image row a running sum of interval starts minus ends gives the
-    cover. Events that share a place are merged first, so a row holds at most one event per column.
+    The rows of a box are covered by a few aligned bands of 1, 2, 4, ... rows, and a center lies in one band of each
+    height. Along one band a running sum of box starts minus ends gives the boxes over a column; a center adds up its
+    bands. Events that share a place are merged first, so a band holds at most one event per column.
     """
-    rows = blobs.select("image_id", "x", "w", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
-    events = rows.select("image_id", "y", F.inline(F.array(
-        F.struct(F.col("x").alias("x"), F.lit(1).alias("step")),
-        F.struct((F.col("x") + F.col("w")).alias("x"), F.lit(-1).alias("step")))))
-    steps = events.groupBy("image_id", "y", "x").agg(F.sum("step").alias("step"))
-    centers = blobs.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x")).distinct().withColumn("asked", F.lit(True))
-    along = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cover = steps.join(centers, ["image_id", "y", "x"], "full").withColumn("cover", F.sum(F.coalesce("step", F.lit(0))).over(along))
-    return cover.filter("asked").select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "cover")
+    tallest = blobs.agg(F.max("h")).first()[0] or 1
+    levels = range(int(tallest).bit_length())
+    x, y, end = F.col("x"), F.col("y"), F.col("y") + F.col("h")
+    pieces = []
+    for level in levels:
+        low, high = F.ceil(y / (1 << level)), F.floor(end / (1 << level))
+        for band, used in ((low, low % 2 != 0), (high - 1, high % 2 != 0)):
+            pieces.append(F.when((low < high) & used, F.struct(F.lit(level).alias("level"), band.alias("band"))))
+    bands = blobs.select("image_id", "x", "w", F.inline(F.array_compact(F.array(*pieces))))
+    events = bands.select("image_id", "level", "band", F.inline(F.array(
+        F.struct(x.alias("x"), F.lit(1).alias("step")), F.struct((x + F.col("w")).alias("x"), F.lit(-1).alias("step")))))
+    spots = blobs.select("image_id", "cx", "cy").distinct()
+    asked = spots.select("image_id", F.col("cx").alias("x"), "cy", F.explode(F.array(*[F.lit(k) for k in levels])).alias("level"))
+    asked = asked.withColumn("band", F.floor(F.col("cy") / F.pow(F.lit(2), F.col("level"))))
+    steps = events.groupBy("image_id", "level", "band", "x").agg(F.sum("step").alias("step"))
+    both = steps.withColumn("cy", F.lit(None).cast("int")).unionByName(asked.withColumn("step", F.lit(0).cast("long")))
+    # A range frame includes every event at the same column, wherever it sorts.
+    along = Window.partitionBy("image_id", "level", "band").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("cover", F.sum("step").over(along)).filter("cy is not null")
+    return seen.groupBy("image_id", F.col("x").alias("cx"), "cy").agg(F.sum("cover").alias("cover"))
 
 
 def ignore_overlaps(blobs: DataFrame) -> DataFrame:
@@ -116,10 +131,16 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
     bit = F.expr("shiftright(pos - 1, level)")
     spread = spread.withColumns({"half": bit % 2, "block": F.floor(bit / 2)}).drop("size")
     keys = ["image_id", "level", "block"]
-    scanned = ordered_scan(spread, keys, [-F.col("v"), F.col("half")], F.floor(-F.col("v") / chunk),
-                           sums={"left_seen": F.when(F.col("half") == 0, F.col("m")).otherwise(0),
-                                 "right_seen": F.when(F.col("half") == 1, F.col("m")).otherwise(0)})
-    scanned = with_group_stats(scanned, keys, right_all=F.sum(F.when(F.col("half") == 1, F.col("m")).otherwise(0)))
+    left = F.when(F.col("half") == 0, F.col("m")).otherwise(0)
+    right = F.when(F.col("half") == 1, F.col("m")).otherwise(0)
+    # A block of level l has at most 2^(l+1) rows: small blocks take one window, larger ones an ordered scan.
+    along = Window.partitionBy(*keys).orderBy(-F.col("v"), "half").rowsBetween(Window.unboundedPreceding, 0)
+    small = spread.filter(F.col("level") < WINDOW_LEVELS).withColumns({
+        "left_seen": F.sum(left).over(along), "right_seen": F.sum(right).over(along), "right_all": F.sum(right).over(Window.partitionBy(*keys))})
+    large = ordered_scan(spread.filter(F.col("level") >= WINDOW_LEVELS), keys, [-F.col("v"), F.col("half")], F.floor(-F.col("v") / chunk),
+                         sums={"left_seen": left, "right_seen": right})
+    large = with_group_stats(large, keys, right_all=F.sum(right))
+    scanned = small.unionByName(large)
     part = F.when(F.col("half") == 1, F.col("left_seen")).otherwise(F.col("right_all") - F.col("right_seen"))
     counts = scanned.groupBy("image_id", "cx", "cy").agg(
         (F.sum(part) + F.max("m")).alias("level"), F.max("total").alias("total"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,31 +95,59 @@ def shape_factors(contours: DataFrame, image_width: int) -> DataFrame:
         (df["_box.w"] / df["_box.h"]).alias("elongation"), "eccentricity")
 
 
-@F.pandas_udf(POINTS)
-def convex_hull(contours: pd.Series) -> pd.Series:
-    """Convex hull of each contour, corners only."""
-    def turn(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-    def half(points):
-        chain = []
-        for p in points:
-            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
-                chain.pop()
-            chain.append(p)
-        return chain[:-1]
-
-    def hull(contour):
-        points = sorted({(int(p["x"]), int(p["y"])) for p in contour})
-        corners = points if len(points) < 3 else half(points) + half(points[::-1])
-        return [{"x": x, "y": y} for x, y in corners]
-
-    return contours.map(hull)
+def _hull_arrays(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Monotone chains of many contours at once: padded rows of sorted points to (x, y, count) of hull corners."""
+    n, most = xs.shape
+    at = np.arange(n)
+    hx, hy = np.zeros((n, 2 * most + 2), dtype=xs.dtype), np.zeros((n, 2 * most + 2), dtype=xs.dtype)
+    count, floor = np.zeros(n, dtype=int), np.ones(n, dtype=int)
+    for sweep in (0, 1):
+        for step in range(most):
+            place = step if sweep == 0 else sizes - 1 - step
+            live = (step < sizes) if sweep == 0 else (place >= 0) & (step > 0)
+            px, py = xs[at, np.maximum(place, 0)], ys[at, np.maximum(place, 0)]
+            while True:
+                open_ = live & (count > floor)
+                a, b = np.maximum(count - 2, 0), np.maximum(count - 1, 0)
+                turn = (hx[at, b] - hx[at, a]) * (py - hy[at, a]) - (hy[at, b] - hy[at, a]) * (px - hx[at, a])
+                back = open_ & (turn <= 0)
+                if not back.any():
+                    break
+                count[back] -= 1
+            rows = at[live]
+            hx[rows, count[live]], hy[rows, count[live]] = px[live], py[live]
+            count[live] += 1
+        floor = count.copy()
+    return hx, hy, np.where(sizes > 1, count - 1, count)
+
+
+HULL = T.StructType([T.StructField("x", T.ArrayType(T.IntegerType())), T.StructField("y", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(HULL)
+def _hull(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    lengths = xs.map(len).to_numpy()
+    owner = np.repeat(np.arange(len(xs)), lengths)
+    points = np.unique(np.stack([owner, np.concatenate(xs.to_list()), np.concatenate(ys.to_list())], axis=1).astype(np.int64), axis=0)
+    sizes = np.bincount(points[:, 0], minlength=len(xs))
+    first = np.cumsum(sizes) - sizes
+    px, py = (np.zeros((len(xs), max(int(sizes.max()), 1)), dtype=np.int64) for _ in "xy")
+    column = np.arange(len(points)) - first[points[:, 0]]
+    px[points[:, 0], column], py[points[:, 0], column] = points[:, 1], points[:, 2]
+    hx, hy, count = _hull_arrays(px, py, sizes)
+    return pd.DataFrame({"x": [r[:c] for r, c in zip(hx, count)], "y": [r[:c] for r, c in zip(hy, count)]})
+
+
+def convex_hull(points: Column) -> Column:
+    """Convex hull of a contour, corners only; many contours are walked together in arrays."""
+    parts = _hull(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+    return F.zip_with(parts["x"], parts["y"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
 
 def hull_factors(contours: DataFrame) -> DataFrame:
     p, h = F.col("contour"), F.col("hull")
-    df = contours.withColumn("hull", convex_hull(p))
+    df = contours.withColumn("_xy", _hull(F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])))
+    df = df.withColumn("hull", F.zip_with("_xy.x", "_xy.y", lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
     df = df.withColumns({"area": area(p), "perimeter": perimeter(p), "hull_perimeter": perimeter(h), "hull_area": area(h)})
     return df.select("image_id", "blob_id", "hull_perimeter", "hull_area",
                      F.try_divide(df.area * (4 * math.pi), df.hull_perimeter * df.hull_perimeter).alias("roundness"),

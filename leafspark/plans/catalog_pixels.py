@@ -159,8 +159,9 @@ ALL_SQL = {**INDEX_SQL, "rgd": RGD_SQL, "si": "case when h between 100 and 140 a
 query("idx26_dispatch", "pixels", f"{HSV} {YCC.replace('from pixels)', 'from hsv)').replace('r, g, b, yy', 'r, g, b, h, s, v, yy')}, a as ("
       + " union all ".join(f"select image_id, '{n}' as \"index\", cast({e} as double) val from ycc" for n, e in {**ALL_SQL, "ycbcri": YCCI}.items())
       + f") select image_id, \"index\", {r6('avg(val)', 9)} mean, {r6('max(val)', 9)} top, count(*) n from a group by all", 9)(
-    lambda v: images.all_indices(v.pixels).groupBy("image_id", "index").agg(
-        F.avg("value").alias("mean"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n")))
+    lambda v: images.index_summary(v.pixels))
+query("idx26_all_rows", "pixels_long", " select image_id, 'exg' as \"index\", count(*) n from pixels_long group by image_id")(
+    lambda v: images.all_indices(v.pixels_long.withColumn("y", F.lit(0))).filter("index = 'exg'").groupBy("image_id", "index").agg(F.count(F.lit(1)).alias("n")))
 
 # Masks and filters on pixels.
 pixelwise("flt1_threshold", lambda R, G, B: {"above": rules.threshold_mask(indices.exg(R, G, B), 50), "below": rules.threshold_mask(indices.exg(R, G, B), 50, -1),

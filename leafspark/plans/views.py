@@ -40,6 +40,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt over all cores when the table has fewer files than cores; tables of many files stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     @property
     def rgb(self):
         return F.col("r"), F.col("g"), F.col("b")
@@ -47,7 +52,7 @@ class Views:
     @cached_property
     def pixels(self) -> DataFrame:
         """image_id, x, y, r, g, b: one 8 x 8 image per embedding."""
-        cells = self.table("embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "e"))
+        cells = self.spread(self.table("embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "e"))
         v = F.least(F.greatest(F.floor((F.col("e").cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
         cells = cells.select("image_id", (F.col("p") % 8).cast("int").alias("x"),
                              F.floor(F.col("p") / 8).cast("int").alias("y"), v.alias("v"))
@@ -75,7 +80,7 @@ class Views:
     @cached_property
     def blobs(self) -> DataFrame:
         """image_id, blob_id, bounding box, area, center, type."""
-        t = self.table("lineitem")
+        t = self.spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"))
         b = t.select(
             F.col("l_orderkey").alias("image_id"),
             ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("blob_id"),
@@ -89,7 +94,7 @@ class Views:
     @cached_property
     def contours(self) -> DataFrame:
         """image_id, blob_id, contour: 24 ordered points per order, kept as one bounded array."""
-        o = self.table("orders")
+        o = self.spread(self.table("orders").select("o_orderkey", "o_custkey"))
         radius = lambda i: 20 + (F.col("o_orderkey") * 31 + F.col("o_custkey") * 17 + i * 7) % 10
         at = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
         point = lambda i: F.struct(
