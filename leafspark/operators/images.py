@@ -143,9 +143,12 @@ def transect(pixels: DataFrame, band: str, y: int, x: int | None = None, length:
 
 
 def crop_blobs(pixels: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Pixels inside each blob's box. Boxes are spread over their pixels' rows, so the join is an equality join
-    on (image, row) and stays even for one large image."""
-    rows = blobs.select("image_id", "blob_id", "x", "w",
-                        F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
-    cells = rows.select("image_id", "blob_id", "y", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("x"))
+    """Pixels inside each blob's box. Boxes are cut to the size of their image and spread over their pixels, so the
+    join is an equality join on the pixel and stays even for one large image."""
+    size = pixels.groupBy("image_id").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    b = blobs.join(size, "image_id").select(
+        "image_id", "blob_id", F.greatest("x", "_x0").alias("x0"), F.least(F.col("x") + F.col("w") - 1, F.col("_x1")).alias("x1"),
+        F.greatest("y", "_y0").alias("y0"), F.least(F.col("y") + F.col("h") - 1, F.col("_y1")).alias("y1"))
+    rows = b.filter("x0 <= x1 and y0 <= y1").select("image_id", "blob_id", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
+    cells = rows.select("image_id", "blob_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     return cells.join(pixels, ["image_id", "x", "y"])

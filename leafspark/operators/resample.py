@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafspark.operators.grouped import ordered_scan, quantile_chunk, with_group_stats
 from leafspark.operators.neighbors import nearest_neighbors, neighbor_rows
+from leafspark.session import cut_lineage
 
 SEED = 42
 
@@ -52,6 +53,7 @@ def create_imbalance(df: DataFrame, crop: float, weed: float, seed: int = SEED)
 
 def synthesise(seeds: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
     """New rows between seeds and their neighbours in ``pool``. seeds: id, features, type, want (rows to make)."""
+    seeds = cut_lineage(seeds)
     near = nearest_neighbors(seeds, pool, k, 2, exclude_self=True).filter(F.size("neighbors") > 0)
     made = seeds.filter("want > 0").join(near, F.col("id") == F.col("query_id")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("want").cast("int"))))
     mix = F.col("id") * 31 + F.col("j")
@@ -73,6 +75,7 @@ def minority_of(df: DataFrame) -> tuple[int, int, int]:
 
 def _even_wants(seeds: DataFrame, total: int) -> DataFrame:
     """Spread ``total`` new rows evenly over the seeds; the first ones in id order take the remainder."""
+    seeds = cut_lineage(seeds)
     ranked = ordered_scan(seeds, [], ["id"], quantile_chunk(seeds, "id"), rank="_r")
     ranked = with_group_stats(ranked, [], _n=F.count(F.lit(1)))
     want = F.floor(F.lit(total) / F.col("_n")) + F.when(F.col("_r") <= F.lit(total) % F.col("_n"), 1).otherwise(0)
@@ -93,7 +96,7 @@ def _majority_share(df: DataFrame, few: DataFrame, low: int, k: int) -> DataFram
     """few with ``other``: how many of its k neighbours in the whole table are of the majority."""
     near = neighbor_rows(nearest_neighbors(few, df, k, 2, exclude_self=True)).join(df.select("id", "type"), "id")
     share = near.groupBy("query_id").agg(F.count_if(F.col("type") != low).alias("other"))
-    return few.join(share, F.col("id") == F.col("query_id")).drop("query_id")
+    return cut_lineage(few.join(share, F.col("id") == F.col("query_id")).drop("query_id"))
 
 
 def adasyn(df: DataFrame, k: int = 5) -> DataFrame:

@@ -95,15 +95,33 @@ def counts_by_type(df):
     return df.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < 0).alias("made"))
 
 
+SHARE = lambda key, seed: f"(((({key})*7919+{seed}*104729+(({key})%97)*6007)%10007+10007)%10007/10007.0)"
+FEW = f""", few as materialized (select * from vectors where "type"=0), sz as (select count(*) filter ("type"=0) n, count(*) filter ("type"=1) top from vectors),
+ fk as (select a.id, b.id mate, row_number() over (partition by a.id order by {l2('a.features', 'b.features')}, b.id) k from few a join few b on a.id<>b.id),
+ ak as (select a.id, b."type" t, row_number() over (partition by a.id order by {l2('a.features', 'b.features')}, b.id) k from few a join vectors b on a.id<>b.id)"""
+EVEN = """, sd as (select *, row_number() over (order by id) r, count(*) over () c from seeds), wa as (select sd.id, features, (top-n)//c+case when r<=(top-n)%c then 1 else 0 end want from sd, sz)"""
+MADE = f""", mk as (select wa.id, features, cast(j as bigint) j from wa join range(1,5000) g(j) on j<=want),
+ pk as (select *, floor({SHARE('id*31+j', 2)}*5)+1 pick, {SHARE('id*31+j', 3)} u from mk),
+ nw as (select -(pk.id*16777216+j) id, 0 "type", pk.features[1]+(m.features[1]-pk.features[1])*u "first" from pk join fk on fk.id=pk.id and fk.k=pick join few m on m.id=fk.mate)
+ select id, "type", {r6('"first"')} "first" from nw union all select id, "type", {r6('features[1]')} from vectors"""
+SMOTE_SQL = {
+    "SMOTE": FEW + ", seeds as (select * from few)" + EVEN + MADE,
+    "ADASYN": FEW + """, oc as (select id, count(*) filter (t=1) o from ak where k<=5 group by id), wa as (select few.id, features,
+ cast(round(o*(top-n)/cast(sum(o) over () as double)) as bigint) want from few join oc using (id), sz)""" + MADE,
+    "BORDERLINE": FEW + """, oc as (select id, count(*) filter (t=1) o from ak where k<=10 group by id), seeds as (select few.* from few join oc using (id) where o>=5 and o<10)""" + EVEN + MADE}
 for number, name in ((19, "SMOTE"), (20, "ADASYN"), (21, "BORDERLINE"), (22, "KMEANS"), (23, "SVM")):
-    query(f"ml{number}_{name.lower()}", "vectors")(lambda v, name=name: resample.correct(v.vectors, name).select("id", "type", F.element_at("features", 1).alias("first")))
+    query(f"ml{number}_{name.lower()}", "vectors", SMOTE_SQL.get(name))(
+        lambda v, name=name: resample.correct(v.vectors, name).select("id", "type", F.element_at("features", 1).alias("first")))
 for name in ("SMOTETOMEK", "SMOTEENN"):
     query(f"ml26_{name.lower()}", "vectors")(lambda v, name=name: counts_by_type(resample.correct(v.vectors, name)))
 
+OCC_SQL = SPLIT + f""", st as (select i, avg(features[i]) m, stddev_pop(features[i]) s from sp, range(1,{DIMS + 1}) t(i) where is_train and "type"=0 group by i),
+ ds as (select id, is_train, "type", sqrt(sum(pow((features[i]-m)/s,2))) d from sp, st group by all), ct as (select quantile_disc(d,0.01) c from ds where is_train and "type"=0)
+ select id, {r6('d/(d+1)')} score, cast(d>c as int) prediction from ds, ct where not is_train"""
 # Techniques: small forests here, the library's own defaults are those of the reference flow.
 SMALL = {"RANDOMFOREST": {"trees": 20}, "EXTRA": {"trees": 20}, "GRADIENT": {"rounds": 5}}
 for number, name in ((3, "LOGISTIC"), (4, "DECISIONTREE"), (5, "RANDOMFOREST"), (6, "GRADIENT"), (7, "EXTRA"), (8, "SVM"), (9, "MLP"), (12, "OCC")):
-    query(f"ml{number}_{name.lower()}", "vectors")(lambda v, name=name: trained(two_classes(v), name).select("id", "score", "prediction"))
+    query(f"ml{number}_{name.lower()}", "vectors", OCC_SQL if name == "OCC" else None)(lambda v, name=name: trained(two_classes(v), name).select("id", "score", "prediction"))
 
 
 def trained(df, name):
@@ -111,7 +129,22 @@ def trained(df, name):
 
 
 query("ml13_cross_validation", "vectors")(lambda v: models.cross_validate(v.vectors, models.technique("LDA", DIMS), 5))
-query("ml14_assess", "vectors")(lambda v: models.assess(trained(two_classes(v), "LDA"), compat=True))
+query("ml14_assess", "vectors", LDA + f""", sc as (select ld.id, score, cast(score>0.5 as int) p, "type" a from ld join sp on ld.id=sp.id),
+ cq as (select count(*) filter (p=1 and a=1) tp, count(*) filter (p=1 and a=0) fp, count(*) filter (p=0 and a=0) tn, count(*) filter (p=0 and a=1) fn from sc),
+ fi as (select case when tp+fp=0 then 1 else 0 end z, (select arg_min(a,id) from sc) fa, * from cq),
+ cn as (select tp+z*fa tp, fp+z*(1-fa) fp, tn-z*(1-fa) tn, fn-z*fa fn from fi),
+ au as (select sum(case when x.score>y.score then 1.0 when x.score=y.score then 0.5 else 0.0 end)/count(*) auc from sc x, sc y where x.a=1 and y.a=0)
+ select tp, fp, tn, fn, {r6('case when tp+fp=0 then 0.0 else tp/cast(tp+fp as double) end')} "precision", {r6('case when tp+fn=0 then 0.0 else tp/cast(tp+fn as double) end')} recall,
+ {r6('case when tp=0 then 0.0 else 2*tp/cast(2*tp+fp+fn as double) end')} f1, {r6('(tp+tn)/cast(tp+fp+tn+fn as double)')} accuracy,
+ {r6('(tp+tn)/cast(tp+fp+tn+fn as double)')} "map", {r6('auc')} auc from cn, au""")(
+    lambda v: assessed(two_classes(v)))
+
+
+def assessed(df):
+    two = df.withColumn("features", F.slice("features", 1, 2))
+    return models.assess(models.technique("LDA", 2).fit(two.filter("is_train"))(two.filter("not is_train")), compat=True)
+
+
 
 
 @query("ml15_score_rows", "vectors", LDA + """ select id, case when id%10=0 then 4 else cast(score>0.5 as int) end "type", case when id%10=0 then 1 else 9 end reason from ld""")

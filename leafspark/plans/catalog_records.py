@@ -90,7 +90,7 @@ def _(v):
 
 
 query("src15_targets", "blobs", """ select image_id, x, y, cast(w as double) distance from blobs""")(
-    lambda v: messages.decode_targets(messages.encode_targets(v.blobs.select("image_id", "x", "y", F.col("w").cast("double").alias("distance")), ["image_id"])))
+    lambda v: messages.decode_targets(messages.encode_targets(v.blobs.select("image_id", "x", "y", F.col("w").cast("double").alias("distance")), ["image_id"])).drop("part"))
 query("src17_organise", "images", """, k as (select crop, list_sort([[abs(altitude-b), i, b] for b, i in [30,60,120,400,800]])[1][3] agl from images)
  select crop, agl, count(*) n from k group by all""".replace("list_sort([[abs(altitude-b), i, b] for b, i in [30,60,120,400,800]])[1][3]",
  "(select b from (values (30.0::double,0),(60.0,1),(120.0,2),(400.0,3),(800.0,4)) t(b,i) order by abs(altitude-b), i limit 1)"))(

@@ -105,7 +105,8 @@ query("str7_position_join", "odometry", """ select o.event_id, g.event_id fix_id
         event_stream(v).filter("kind = 'click'").select("device", "ts", "event_id"),
         event_stream(v).filter("kind = 'view'").select("device", F.col("ts").alias("fix_ts"), F.col("event_id").cast("double").alias("latitude"), F.lit(0.0).alias("longitude")),
         "1 hour", "2 hours")).select("event_id", F.col("latitude").cast("long").alias("fix_id")))
-query("str8_count_stream", "")(lambda v: drained(v, odometry.count_messages(event_stream(v))).withColumn("start", F.col("start").cast("string")))
+query("str8_count_stream", "odometry", """, w as (select date_trunc('hour', ts) s, kind, count(*) n from odometry group by all)
+ select strftime(s,'%Y-%m-%d %H:%M:%S') "start", kind, n from w where s+interval 1 hour<=(select max(ts) from odometry)-interval 10 minute""")(lambda v: drained(v, odometry.count_messages(event_stream(v))).withColumn("start", F.col("start").cast("string")))
 query("str3_distinct_stream", "odometry", ' select distinct device, "sequence" from odometry')(
     lambda v: drained(v, odometry.first_of_sequence(event_stream(v), "60 days")).select("device", "sequence"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafspark.operators.grouped import with_group_stats
+
 
 # Field names, types and defaults of the messages.
 ODOMETRY = [("type", "string", "UNKNOWN"), ("distance", "double", 0.0), ("total_distance", "double", 0.0), ("speed", "double", 0.0),
@@ -42,10 +44,15 @@ def form(df: DataFrame, kind: str, out: str = "value") -> DataFrame:
     return df.withColumn(out, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))
 
 
-def encode_targets(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON list of {location, distance} per image, ordered by location. A list is one message, so it is small."""
+def encode_targets(df: DataFrame, keys: list[str], limit: int = 1000) -> DataFrame:
+    """JSON lists of {location, distance} per image, ordered by location: keys, part, targets.
+
+    An image with up to ``limit`` targets gives one message; one with more gives several parts of about that size.
+    """
+    counted = with_group_stats(df, keys, _n=F.count(F.lit(1)))
+    part = F.pmod(F.xxhash64("x", "y", "distance"), F.ceil(F.col("_n") / limit)).cast("int")
     target = F.struct(F.array("x", "y").alias("location"), "distance")
-    return df.groupBy(*keys).agg(F.to_json(F.sort_array(F.collect_list(target))).alias("targets"))
+    return counted.groupBy(*keys, part.alias("part")).agg(F.to_json(F.sort_array(F.collect_list(target))).alias("targets"))
 
 
 def decode_targets(df: DataFrame, column: str = "targets") -> DataFrame:
