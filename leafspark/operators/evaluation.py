@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import metrics
 from leafspark.operators.grouped import ordered_scan, with_group_stats
+from leafspark.session import cut_lineage
 
 
 def confusion_table(df: DataFrame, keys: Sequence[str], predicted: str = "type", actual: str = "actual") -> DataFrame:
@@ -33,12 +34,14 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", actual:
                chunk: Column | None = None) -> DataFrame:
     """ROC points per group, one per distinct score in falling order: fpr, tpr, threshold.
 
-    Rows with equal scores are counted before the running sums, and the sums run per score chunk.
+    Rows with equal scores are counted before the running sums, and the sums run per score chunk. The counts are
+    written once, so the rows themselves are read a single time.
     """
-    step = df.groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n"))
+    step = cut_lineage(df.groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n")))
     chunk = -F.floor(F.col(score) * 256) if chunk is None else chunk
     curve = ordered_scan(step, keys, [-F.col(score)], chunk, sums={"tp": F.col("_p"), "fp": F.col("_n")})
-    curve = with_group_stats(curve, keys, _pos=F.sum("_p"), _neg=F.sum("_n"))
+    totals = step.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
+    curve = curve.join(totals, list(keys)) if keys else with_group_stats(curve, [], _pos=F.sum("_p"), _neg=F.sum("_n"))
     return curve.select(*keys, F.col(score).alias("threshold"),
                         F.coalesce(F.try_divide("fp", "_neg"), F.lit(0.0)).alias("fpr"),
                         F.coalesce(F.try_divide("tp", "_pos"), F.lit(0.0)).alias("tpr"))
@@ -46,7 +49,7 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", actual:
 
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual") -> DataFrame:
     """Area under the ROC curve by trapezoids."""
-    points = roc_points(df, keys, score, actual)
+    points = cut_lineage(roc_points(df, keys, score, actual))
     steps = ordered_scan(points, keys, [-F.col("threshold")], -F.floor(F.col("threshold") * 256),
                          lags={"_f": F.col("fpr"), "_t": F.col("tpr")})
     base = lambda c: F.coalesce(c, F.lit(0.0))
@@ -68,7 +71,7 @@ def mean_roc(points: DataFrame, keys: Sequence[str], fold: str, steps: int = 100
     grid is joined against the curve. The first place is 0 and the last is 1, as in the averaged plot.
     """
     group = [*keys, fold]
-    corners = points.groupBy(*group, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
+    corners = cut_lineage(points.groupBy(*group, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo")))
     start = corners.select(*group).distinct().withColumns({"fpr": F.lit(0.0), "hi": F.lit(0.0), "lo": F.lit(0.0)})
     corners = corners.unionByName(start).groupBy(*group, "fpr").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     seg = ordered_scan(corners, group, ["fpr"], F.floor(F.col("fpr") * 256), lags={"f0": F.col("fpr"), "t0": F.col("hi")})

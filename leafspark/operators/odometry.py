@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions.scalars import haversine_m
 from leafspark.operators.grouped import ordered_scan
+from leafspark.session import cut_lineage
 
 ORDER = ["ts", "event_id"]
 
@@ -20,15 +21,17 @@ def _hour() -> Column:
 
 
 def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int) -> DataFrame:
-    """Millimetres, elapsed seconds, speed, and running distance and pulses; the first angle counts from 0."""
+    """Millimetres, elapsed seconds, speed, and running distance and pulses; the first angle counts from 0.
+
+    Angle changes add up to the angle itself, so the running totals need no second pass.
+    """
     df = ordered_scan(readings, ["device"], ORDER, _hour(), lags={"_angle": F.col("angle"), "_ts": F.col("ts")})
     change = F.col("angle") - F.coalesce("_angle", F.lit(0.0))
     elapsed = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1e6
     df = df.withColumns({"change": change, "mm": change * mm_per_degree, "elapsed": elapsed})
     speed = F.coalesce(F.try_divide(F.col("mm") / 1e6, F.col("elapsed") / 3600), F.lit(0.0))
-    df = df.withColumn("kph", speed).drop("_angle", "_ts")
-    return ordered_scan(df, ["device"], ORDER, _hour(),
-                        sums={"total_mm": F.col("mm"), "pulses": F.col("change") * (360 / encoder_clicks)})
+    return df.withColumns({"kph": speed, "total_mm": F.col("angle") * mm_per_degree,
+                           "pulses": F.col("angle") * (360 / encoder_clicks)}).drop("_angle", "_ts")
 
 
 def moved_angles(readings: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def check_sequence(messages: DataFrame) -> DataFrame:
 
 def missed_movement(checked: DataFrame, gsd: float, overlap: float = 0.2) -> DataFrame:
     """Gaps in which the device moved more than one image and its overlap. Needs check_sequence and total_mm."""
-    df = ordered_scan(checked, ["device"], ORDER, _hour(), lags={"_total": F.col("total_mm")})
+    df = ordered_scan(cut_lineage(checked), ["device"], ORDER, _hour(), lags={"_total": F.col("total_mm")})
     movement = F.col("total_mm") - F.coalesce("_total", F.lit(0.0))
     return df.withColumn("movement", movement).filter((F.col("state") == "gap") & (movement > gsd * (1 + overlap))).drop("_total")
 

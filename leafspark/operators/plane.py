@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import rules
 from leafspark.operators.grouped import ordered_scan, top_by, with_group_stats
+from leafspark.session import cut_lineage
 
 
 WINDOW_LEVELS = 16
@@ -32,8 +33,8 @@ def nearest_blob(lids: DataFrame, blobs: DataFrame, cutoff: int = 999, first_rea
     lids: image_id, lid_id, lx, ly. blobs: image_id, blob_id, cx, cy. A short reach is tried first;
     only lids without a blob there take the long one.
     """
-    spots = blobs.groupBy("image_id", "cx", "cy").agg(F.min("blob_id").alias("blob_id"))
-    waiting = lids.select("image_id", "lx", "ly").distinct()
+    spots = cut_lineage(blobs.groupBy("image_id", "cx", "cy").agg(F.min("blob_id").alias("blob_id")))
+    waiting = cut_lineage(lids.select("image_id", "lx", "ly").distinct())
     found = None
     for reach in (first_reach, cutoff):
         size = reach + 1
@@ -44,6 +45,7 @@ def nearest_blob(lids: DataFrame, blobs: DataFrame, cutoff: int = 999, first_rea
         limit = squared <= reach * reach if reach < cutoff else squared < cutoff * cutoff
         hits = (probe.join(binned, ["image_id", "gx", "gy"]).withColumn("d2", squared).filter(limit)
                 .groupBy("image_id", "lx", "ly").agg(F.min(F.struct("d2", "blob_id")).alias("best")))
+        hits = cut_lineage(hits)
         waiting = waiting.join(hits, ["image_id", "lx", "ly"], "left_anti")
         found = hits if found is None else found.unionByName(hits)
     joined = lids.join(found, ["image_id", "lx", "ly"], "left")
@@ -121,10 +123,11 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
     level the left half of a block is counted into the right half by one running sum along v, and back.
     """
     t = math.tan(math.radians(max_angle))
-    spots = centers.groupBy("image_id", "cx", "cy").agg(F.count(F.lit(1)).alias("m"))
+    spots = cut_lineage(centers.groupBy("image_id", "cx", "cy").agg(F.count(F.lit(1)).alias("m")))
+    sizes = spots.groupBy("image_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("size"))
     spots = spots.withColumns({"u": F.col("cy") - F.col("cx") * t, "v": F.col("cy") + F.col("cx") * t})
     ranked = ordered_scan(spots, ["image_id"], [F.col("u"), -F.col("v")], F.floor(F.col("u") / chunk), rank="pos")
-    ranked = with_group_stats(ranked, ["image_id"], total=F.sum("m"), size=F.count(F.lit(1)))
+    ranked = cut_lineage(ranked.join(sizes, "image_id"))
     depth = F.greatest(F.ceil(F.log2(F.col("size").cast("double"))).cast("int") - 1, F.lit(0))
     place = F.col("pos") - 1
     spread = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), depth)))

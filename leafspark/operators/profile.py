@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.operators.grouped import ordered_scan, quantile_chunk, with_group_stats
+from leafspark.session import cut_lineage
 
 
 def long_form(df: DataFrame, ids: Sequence[str], factors: Sequence[str]) -> DataFrame:
@@ -89,9 +90,9 @@ def exact_quantiles(values: DataFrame, keys: Sequence[str], probabilities: Seque
 
     Works on counts per distinct value and running sums over value chunks, never on a whole group at once.
     """
-    counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     scanned = ordered_scan(counts, keys, ["value"], quantile_chunk(counts, "value", chunks), sums={"upto": F.col("n")})
-    scanned = with_group_stats(scanned, keys, total=F.sum("n"))
+    scanned = scanned.join(counts.groupBy(*keys).agg(F.sum("n").alias("total")), list(keys))
     spread = scanned.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     place = (F.col("total") - 1) * F.col("p")
     holds = lambda at: (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))

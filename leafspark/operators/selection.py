@@ -45,7 +45,7 @@ def univariate(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def pca(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Share of variance explained per component; component i is listed under factor i, as the reference flow does."""
+    """Share of variance explained per component; component i is listed under factor i."""
     data = df.select(array_to_vector("features").alias("vector"))
     model = PCA(k=len(names), inputCol="vector", outputCol="out").fit(data)
     return _table(df, names, model.explainedVariance.toArray())

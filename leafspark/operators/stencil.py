@@ -74,18 +74,25 @@ def close_mask(mask: DataFrame, width: int, height: int, size: int = 5) -> DataF
     return morphology(morphology(mask, width, height, size, True), width, height, size, False)
 
 
-def otsu(pixels: DataFrame, value: Column, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Otsu threshold per image from its histogram (at most 256 rows per image). A flat image gives 0."""
+def otsu_bins(pixels: DataFrame, value: Column, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Histogram rows (keys, v, n) with the image's Otsu ``threshold``; a flat image gets 0.
+
+    One shuffle: the windows run over the at most 256 histogram rows of an image.
+    """
     along = Window.partitionBy(*keys).orderBy("v")
     whole = Window.partitionBy(*keys)
     h = histogram(pixels, value, keys).withColumns({"_n": F.sum("n").over(along), "_s": F.sum(F.col("n") * F.col("v")).over(along),
                                                     "_tn": F.sum("n").over(whole), "_ts": F.sum(F.col("n") * F.col("v")).over(whole)})
     n, s, tn, ts = (F.col(c).cast("double") for c in ("_n", "_s", "_tn", "_ts"))
     split = (ts * n - s * tn) * (ts * n - s * tn) / (n * (tn - n))
-    score = F.when(F.col("_n") == F.col("_tn"), -1.0).otherwise(F.round(split, 3))
-    level = F.when(F.col("_n") == F.col("_tn"), 0).otherwise(F.col("v"))
-    return h.select(*keys, score.alias("score"), level.alias("level")).groupBy(*keys).agg(
-        F.max_by("level", F.struct("score", -F.col("level"))).alias("threshold"))
+    last = F.col("_n") == F.col("_tn")
+    h = h.withColumns({"_score": F.when(last, -1.0).otherwise(F.round(split, 3)), "_level": F.when(last, 0).otherwise(F.col("v"))})
+    return h.withColumn("threshold", F.max_by("_level", F.struct("_score", -F.col("_level"))).over(whole)).select(*keys, "v", "n", "threshold")
+
+
+def otsu(pixels: DataFrame, value: Column, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Otsu threshold per image from its histogram."""
+    return otsu_bins(pixels, value, keys).groupBy(*keys).agg(F.first("threshold").alias("threshold"))
 
 
 def triangle(pixels: DataFrame, value: Column, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -22,7 +22,7 @@ PROPERTIES = ["energy", "contrast", "dissimilarity", "homogeneity", "ASM", "corr
 
 
 def to_levels(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Floating bands become whole levels as in the reference flow: stretched to 0..1 per blob and cut."""
+    """Floating bands become whole levels: stretched to 0..1 per blob and cut."""
     p = with_group_stats(pixels, keys, _lo=F.min("v"), _hi=F.max("v"))
     level = F.when(p._hi == p._lo, 0).otherwise(F.floor((p.v - p._lo) / (p._hi - p._lo))).cast("int")
     return p.withColumn("v", level).drop("_lo", "_hi")
@@ -129,7 +129,7 @@ def array_stats(df: DataFrame, column: str, prefix: str) -> DataFrame:
 
 
 def hog_cells(pixels: DataFrame, keys: Sequence[str] = ("image_id",), cell: int = 16, bins: int = 9) -> DataFrame:
-    """Gradient strength per cell and direction: keys, row, col, bin, strength.
+    """Gradient strength per cell and direction: keys, row, col, bin, strength, and the grid size (rows, cols).
 
     pixels: keys, x, y, r, g, b. The band with the strongest gradient counts. Only whole cells are used.
     """
@@ -141,25 +141,24 @@ def hog_cells(pixels: DataFrame, keys: Sequence[str] = ("image_id",), cell: int
     best = near.select(*keys, "x", "y", F.array_max(F.array(*options)).alias("o"))
     angle = F.pmod(F.degrees(F.atan2(F.col("o.gy").cast("double"), F.col("o.gx").cast("double"))), F.lit(180.0))
     place = F.least(F.floor(F.round(angle, 9) * bins / 180), F.lit(bins - 1)).cast("int")
-    best = with_group_stats(best, keys, _w=F.max("x") + 1, _h=F.max("y") + 1)
-    whole = (F.floor(F.col("x") / cell) < F.floor(F.col("_w") / cell)) & (F.floor(F.col("y") / cell) < F.floor(F.col("_h") / cell))
-    return best.filter(whole).groupBy(*keys, F.floor(F.col("y") / cell).cast("int").alias("row"), F.floor(F.col("x") / cell).cast("int").alias("col"),
+    size = pixels.groupBy(*keys).agg(F.floor((F.max("y") + 1) / cell).cast("int").alias("rows"), F.floor((F.max("x") + 1) / cell).cast("int").alias("cols"))
+    whole = (F.floor(F.col("x") / cell) < F.col("cols")) & (F.floor(F.col("y") / cell) < F.col("rows"))
+    return best.join(size, list(keys)).filter(whole).groupBy(*keys, "rows", "cols", F.floor(F.col("y") / cell).cast("int").alias("row"), F.floor(F.col("x") / cell).cast("int").alias("col"),
                                       place.alias("bin")).agg((F.sum(F.sqrt(F.col("o.q").cast("double"))) / (cell * cell)).alias("strength"))
 
 
 def hog_descriptor(cells: DataFrame, keys: Sequence[str] = ("image_id",), block: int = 2, bins: int = 9) -> DataFrame:
-    """Block-normalised strengths: keys, brow, bcol, row, col, bin, value (only non-zero entries are rows).
+    """Block-normalised strengths: keys, cols, brow, bcol, row, col, bin, value (only non-zero entries are rows).
 
     Each cell is sent to the blocks that hold it; a block has at most block * block * bins entries.
     """
-    grid = with_group_stats(cells, keys, _rows=F.max("row") + 1, _cols=F.max("col") + 1)
     spots = [F.struct((F.col("row") - a).alias("brow"), (F.col("col") - b).alias("bcol")) for a in range(block) for b in range(block)]
-    sent = grid.select(*keys, "row", "col", "bin", "strength", "_rows", "_cols", F.inline(F.array(*spots)))
-    sent = sent.filter((F.col("brow") >= 0) & (F.col("bcol") >= 0) & (F.col("brow") <= F.col("_rows") - block) & (F.col("bcol") <= F.col("_cols") - block))
+    sent = cells.select(*keys, "row", "col", "bin", "strength", "rows", "cols", F.inline(F.array(*spots)))
+    sent = sent.filter((F.col("brow") >= 0) & (F.col("bcol") >= 0) & (F.col("brow") <= F.col("rows") - block) & (F.col("bcol") <= F.col("cols") - block))
     one = Window.partitionBy(*keys, "brow", "bcol")
     norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)).over(one) + 1e-10)
     first = sent.withColumn("_a", F.least(F.col("strength") / norm("strength"), F.lit(0.2)))
-    return first.withColumn("value", F.col("_a") / norm("_a")).select(*keys, "brow", "bcol", "row", "col", "bin", "value")
+    return first.withColumn("value", F.col("_a") / norm("_a")).select(*keys, "cols", "brow", "bcol", "row", "col", "bin", "value")
 
 
 def hog_stats(descriptor: DataFrame, keys: Sequence[str] = ("image_id",), compat: bool = False, bins: int = 9, block: int = 2) -> DataFrame:
@@ -167,9 +166,8 @@ def hog_stats(descriptor: DataFrame, keys: Sequence[str] = ("image_id",), compat
     d = descriptor.filter("value <> 0")
     value = F.col("value")
     if compat:
-        d = with_group_stats(d, keys, _bc=F.max("bcol") + 1)
         inside = ((F.col("row") - F.col("brow")) * block + F.col("col") - F.col("bcol")) * bins + F.col("bin")
-        value = ((F.col("brow") * F.col("_bc") + F.col("bcol")) * (block * block * bins) + inside).cast("double")
+        value = ((F.col("brow") * (F.col("cols") - block + 1) + F.col("bcol")) * (block * block * bins) + inside).cast("double")
     return d.groupBy(*keys).agg(F.stddev_pop(value).alias("hog_stddev"), F.avg(value).alias("hog_mean"), F.var_pop(value).alias("hog_variance"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafspark.functions import color, indices, rules
-from leafspark.operators import images, shape, stencil, texture
+from leafspark.operators import shape, stencil, texture
 from leafspark.plans.registry import query, r6
 
 SIZE = 8
@@ -37,11 +37,8 @@ query("flagship_vegetation_share", "pixels", OTSU.format(band=EXG_BYTE, src="pix
 
 
 def vegetation_share(index):
-    """Share of pixels over the image's Otsu threshold. The histogram has every pixel counted once, so the share
-    comes from it and pixels are read a single time."""
-    bins = images.histogram(index, F.col("v"))
-    levels = stencil.otsu(index, F.col("v"))
-    return bins.join(levels, "image_id").groupBy("image_id", "threshold").agg(
+    """Share of pixels over the image's Otsu threshold. Both come from the histogram: one scan, one shuffle."""
+    return stencil.otsu_bins(index, F.col("v")).groupBy("image_id", "threshold").agg(
         (F.sum(F.when(F.col("v") > F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("vegetation"))
 
 

@@ -64,12 +64,10 @@ query("src10_training_set", "images", DOCS + """ select name||'-blob'||blob as "
     lambda v: documents.training_set(documents.find_images(v.images, "furniture"), docs(v).filter("technique = 'KNN'"), ["hue", "saturation_mean"]))
 query("src11_performance", "perf_log", ' select activity, us "microseconds" from perf_log')(lambda v: v.perf_log)
 
-ODO_JSON = [("type", "DISTANCE"), ("source", "rio")]
 
-
-@query("src12_odometry_json", "odometry", """ select event_id, 'DISTANCE' "type", angle distance, 0.0::double speed, 'rio' source, '' "action", event_id "sequence" from odometry""")
+@query("src12_odometry_json", "odometry", """ select event_id, 'DISTANCE' "type", angle distance, 0.0::double speed, 'odometer' source, '' "action", event_id "sequence" from odometry""")
 def _(v):
-    o = v.odometry.select("event_id", F.lit("DISTANCE").alias("type"), F.lit("rio").alias("source"), F.col("angle").alias("distance"), F.col("event_id").alias("sequence"))
+    o = v.odometry.select("event_id", F.lit("DISTANCE").alias("type"), F.lit("odometer").alias("source"), F.col("angle").alias("distance"), F.col("event_id").alias("sequence"))
     raw = messages.form(o, "odometry").select("event_id", "value")
     return messages.parse(raw, "odometry").select("event_id", "type", "distance", "speed", "source", "action", "sequence")
 

@@ -17,7 +17,7 @@ from leafspark.session import ensure_checkpoint_dir
 from leafspark.sources import files, messages
 from leafspark.streaming import images, odometry
 
-GSD = {"basler": 40.0, "intel": 90.0}
+GSD = {"color": 40.0, "depth": 90.0}
 
 
 def work_folder(spark) -> str:
@@ -70,7 +70,7 @@ def event_moves(v):
 
 CAPTURE = TR + SQ + """, ms as materialized (select sq.device, sq.event_id, sq.ts, sq.state, tr.total_mm, tr.kph, row_number() over (partition by sq.device order by sq.ts, sq.event_id) n
  from sq join tr on sq.event_id=tr.event_id where state in ('ok','gap')),
- cm as (select * from (values ('basler',40.0::double),('intel',90.0)) t(camera,gsd)),
+ cm as (select * from (values ('color',40.0::double),('depth',90.0)) t(camera,gsd)),
  cp(camera, gsd, device, n, event_id, kph, moved, hit, alert, last) as (
  select camera, gsd, device, n, event_id, kph, total_mm, total_mm>gsd, false, case when total_mm>gsd then total_mm else 0.0::double end from ms, cm where n=1
  union all select cp.camera, cp.gsd, ms.device, ms.n, ms.event_id, ms.kph, ms.total_mm-cp.last, ms.total_mm-cp.last>cp.gsd, ms.state='gap' and ms.total_mm-cp.last>cp.gsd*1.2,

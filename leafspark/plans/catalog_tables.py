@@ -8,6 +8,7 @@ from leafspark.functions import catalog_of_factors, metrics, rules, scalars
 from leafspark.operators import evaluation, profile, ranking, timeseries
 from leafspark.operators.grouped import ordered_scan
 from leafspark.plans.registry import query, r6
+from leafspark.session import cut_lineage
 
 FACTORS = ["hue", "saturation_mean", "in_phase", "shape_index", "compactness"]
 SCORES = ranking.SCORES
@@ -205,7 +206,7 @@ query("win4_rank", "results", DONE + """ select id, technique, rank() over (part
 def technique_rank(results):
     """Rank per technique: count better distinct scores first, so no technique is sorted row by row in one task."""
     d = ranking.completed(results)
-    levels = d.groupBy("technique", "auc").agg(F.count(F.lit(1)).alias("n"))
+    levels = cut_lineage(d.groupBy("technique", "auc").agg(F.count(F.lit(1)).alias("n")))
     ranks = ordered_scan(levels, ["technique"], [-F.col("auc")], -F.floor(F.col("auc") * 64), sums={"upto": F.col("n")})
     return d.join(ranks.select("technique", "auc", (F.col("upto") - F.col("n") + 1).alias("rank")), ["technique", "auc"]).select("id", "technique", "rank")
 

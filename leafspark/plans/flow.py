@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import color, indices, rules
 from leafspark.operators import shape, stencil, texture
+from leafspark.session import cut_lineage
 
 KEYS = ("image_id", "blob_id")
 
@@ -21,8 +22,8 @@ def vegetation_mask(pixels: DataFrame, index: str = "exg") -> DataFrame:
 
 def image_factors(pixels: DataFrame, min_area: int = 0, image_width: int | None = None) -> DataFrame:
     """One row per blob: geometry, colour, texture and position factors; edge blobs are marked."""
-    blobs = stencil.find_blobs(vegetation_mask(pixels), min_area)
-    inside = blobs.join(pixels, ["image_id", "x", "y"])
+    blobs = cut_lineage(stencil.find_blobs(vegetation_mask(pixels), min_area))
+    inside = cut_lineage(blobs.join(pixels, ["image_id", "x", "y"]))
     bands = [F.col(c) for c in "rgb"]
     hsv, yiq, ycc = color.hsv(*bands), color.yiq(*bands), color.ycbcr(*bands)
     geometry = shape.blob_geometry(blobs)

@@ -41,9 +41,9 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Rows dealt over all cores when the table has fewer files than cores; tables of many files stay as they are."""
+        """Rows dealt over all cores when the scan has fewer splits than cores; larger tables stay as they are."""
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     @property
     def rgb(self):

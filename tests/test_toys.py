@@ -400,7 +400,7 @@ def test_streams_equal_folds(spark, readings, tmp_path):
     for k in range(3):
         feed.filter((F.col("event_id") >= 80 * k) & (F.col("event_id") < 80 * k + 80)).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
     live = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
-    gsd = {"basler": 10.0, "intel": 30.0}
+    gsd = {"color": 10.0, "depth": 30.0}
     assert rows(streams.captures(feed, gsd)) == rows(drain(spark, streams.captures(live, gsd), tmp_path / "captures"))
 
 
