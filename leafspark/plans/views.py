@@ -155,7 +155,7 @@ class Views:
         """type, date (month), hue, saturation_mean."""
         o = self.table("orders")
         return o.select(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("type"),
-                        F.trunc("o_orderdate", "month").alias("date"), F.col("o_totalprice").alias("hue"),
+                        F.trunc("o_orderdate", "month").alias("date"), F.floor("o_totalprice").cast("double").alias("hue"),
                         (F.col("o_custkey") % 100).cast("double").alias("saturation_mean"))
 
     @cached_property
@@ -220,7 +220,7 @@ blobs as (select image_id, blob_id, x, y, w, h, w*h area, x+w//2 cx, y+h//2 cy,
   {_list_sql(PARAMETERS)}[(p_partkey*13+5)%16+1]] parameters,
   case when p_partkey%7=0 then 1 else 2 end status from part)""",
     "season": """season as (select case when o_orderstatus='O' then 1 else 0 end as "type",
-  cast(date_trunc('month', o_orderdate) as date) as "date", o_totalprice hue,
+  cast(date_trunc('month', o_orderdate) as date) as "date", floor(o_totalprice) hue,
   cast(o_custkey%100 as double) saturation_mean from orders)""",
     "images": """images as (select o_orderkey image_id, 'image-'||o_orderkey as "name", 's3://images/'||o_orderkey url,
   (o_orderkey%180)-90+(o_custkey%1000)/cast(1000 as double) lat,
