@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, exact_dedup, simhash, url_filter, warc
+from leafspark.llm import bpe, decontam, exact_dedup, quality, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS NULL OR owner
        CASE WHEN owner <> page_id THEN owner END AS refers_to FROM q""")
 def op9(spark, folder):
     return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op8_rule_quality")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
+
+
+@query("op10_decontamination")
+def op10(spark, folder):
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

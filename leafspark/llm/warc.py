@@ -22,6 +22,8 @@ from leafspark.llm.shared import pick, shared_folder, write_table
 FILE_BYTES = 256 << 20
 #: Ranges at most so far apart are read as one, up to so many bytes a read.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: A reading task gets about so many bytes of archives, whatever the size of the index.
+TASK_BYTES = 16 << 20
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
 
@@ -152,7 +154,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 i = j
         if source is not None:
             source.close()
-    spots = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    spots = index.select("file", "offset", "length").repartitionByRange(int(total // TASK_BYTES) + 1, "file", "offset").sortWithinPartitions("file", "offset")
     return spots.mapInArrow(run, schema)
 
 
