@@ -1,7 +1,63 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
-STAGES = []
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that the one before it kept and returns a DataFrame that
+is written as Parquet and read again. All but the last return the columns of documents. SQL cannot say the first, third
+and last stage, so there is no SQL text; the tests hold the stages against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from leafspark.llm import bpe, decontam, exact_dedup, quality, simhash
+from leafspark.llm.shared import write_table
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in dropped; rows without a doc_id stay.
+
+    The list is written first, so that Spark knows its size and broadcasts it only if it is small.
+    """
+    gone = write_table(dropped.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct(), "dropped")
+    at = docs.columns.index("doc_id")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.join(gone, F.col(f"c{at}") == F.col("gone_id"), "left_anti").toDF(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble (fitted on labelled rows that are not held out) scores at one half or more."""
+    return quality.keep_good(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each text the row with the smallest doc_id."""
+    return exact_dedup.survivors(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    groups = simhash.near_duplicates(docs, width=5)
+    return without(docs, groups.where("doc_id <> component_id"))
+
+
+def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window that is similar to a benchmark item of its size."""
+    return without(docs, decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token count and digests of each document that is left, decoded again."""
+    return bpe.round_trip(docs, bpe.rank_file(RANKS))
+
+
+STAGES = [("quality", good_quality), ("exact_dedup", no_exact_copies), ("near_dedup", no_near_copies), ("decontamination", no_benchmark_passages), ("byte_bpe", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafspark.llm.boosting import grow, holds
 from leafspark.llm.shared import pick
 
 #: The bound of the labelled sample that the classifier is fitted on (rows, lowest hashes of doc_id first).
@@ -43,50 +44,13 @@ class Rules:
         return 1 / (1 + F.exp(-total))
 
 
-def _paths(x: np.ndarray, y: np.ndarray) -> list[tuple]:
-    """Distinct paths of boosted trees: each node's conditions (feature, above, limit)."""
-    limits = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-    codes = [np.searchsorted(limits[j], x[:, j], side="left") for j in range(x.shape[1])]  # code <= k: value <= limit k
-    margin, found = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), {}
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-margin))
-        slope, curve = y - p, p * (1 - p) + 1e-9
-        todo = [(np.arange(len(y)), (), 0)]
-        while todo:
-            rows, path, depth = todo.pop()
-            best = (1e-6, None, None)
-            if depth < DEPTH and len(rows) >= 20:
-                for j, code in enumerate(codes):
-                    if not len(limits[j]):
-                        continue
-                    g = np.bincount(code[rows], slope[rows], len(limits[j]) + 1).cumsum()
-                    h = np.bincount(code[rows], curve[rows], len(limits[j]) + 1).cumsum()
-                    n = np.bincount(code[rows], minlength=len(limits[j]) + 1).cumsum()
-                    gain = g[:-1] ** 2 / (h[:-1] + 1) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1) - g[-1] ** 2 / (h[-1] + 1)
-                    gain[(n[:-1] < 10) | (n[-1] - n[:-1] < 10)] = 0
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (gain[k], j, k)
-            if best[1] is None:
-                margin[rows] += 0.3 * slope[rows].sum() / (curve[rows].sum() + 1)
-                continue
-            _, j, k = best
-            low = codes[j][rows] <= k
-            for above, part in ((False, rows[low]), (True, rows[~low])):
-                step = path + ((j, above, float(limits[j][k])),)
-                found[tuple(sorted(set(step)))] = None
-                todo.append((part, step, depth + 1))
-    return list(found)
-
-
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = PENALTY, steps: int = 600) -> Rules:
     """Rules of a labelled sample. Without rows the score is one half, with one class only its smoothed share."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Rules(float(np.log(share / (1 - share))))
-    paths = _paths(x, y)
-    holds = np.stack([np.logical_and.reduce([(x[:, j] > c) if above else (x[:, j] <= c) for j, above, c in path]) for path in paths], 1).astype(np.float64)
-    full = np.concatenate((np.ones((len(y), 1)), holds), 1)
+    paths = list(dict.fromkeys(tuple(sorted(set(path))) for _, inner in grow(x, y, ROUNDS, DEPTH, BINS)[1] for path in inner))
+    full = np.stack([np.ones(len(y))] + [holds(x, path) for path in paths], 1).astype(np.float64)
     rate = 4 * len(y) / np.linalg.norm(full, 2) ** 2
     w = ahead = np.zeros(full.shape[1])
     momentum = 1.0

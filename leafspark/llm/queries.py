@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, decontam, exact_dedup, quality, simhash, url_filter, warc
+from leafspark.llm import bpe, decontam, exact_dedup, pii, quality, secret_scan, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,15 @@ def op8(spark, folder):
 @query("op10_decontamination")
 def op10(spark, folder):
     return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_secret_scan")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return secret_scan.secret_report(docs, secret_scan.learn(docs))
+
+
+@query("op4_pii")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    return pii.pii_report(docs, pii.learn(docs))
