@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, decontam, exact_dedup, pii, quality, secret_scan, simhash, url_filter, warc
+from leafspark.llm import bpe, decontam, exact_dedup, pii, quality, secret_scan, simhash, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op5(spark, folder):
 def op4(spark, folder):
     docs = table(spark, folder, "documents")
     return pii.pii_report(docs, pii.learn(docs))
+
+
+@query("op7_toxicity")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
