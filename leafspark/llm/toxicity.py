@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +21,10 @@ from leafspark.llm.shared import pick, write_table
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 8, 16384
 #: Bounds of what is learned from: labelled rows (lowest hashes of doc_id first), words of the vocabulary, windows a row.
-SAMPLE, VOCABULARY, PER_ROW = 8000, 3000, 3
+SAMPLE, VOCABULARY, PER_ROW = 5000, 3000, 2
 #: Words and runs whose odds are not at least so many deviations from even start as any other.
-CLEAR = 8.0
-EPOCHS, BATCH, RATE = 6, 256, 0.004
+CLEAR = 4.0
+EPOCHS, BATCH, RATE = 5, 320, 0.005
 #: Words and windows that are held at once while scoring.
 BLOCK_WORDS, BLOCK_WINDOWS, CACHE_WORDS, PART_CHARS = 400_000, 2048, 200_000, 200_000
 _word = re.compile(r"\w+")
@@ -237,26 +238,41 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for r in counts.where("unit like '\x02%'").select("unit", "odds").collect():  # at most BUCKETS rows
         char_odds[int(r["unit"][1:])] = r["odds"]
 
-    def best_windows(batches):
+    net = Network({w: i + 1 for i, w in enumerate(ratio)}, np.array(list(ratio.values())), char_odds)
+
+    def by_odds(words: list[str], places: list[tuple[int, int]]) -> np.ndarray:
+        bucket, starts = runs_of_four(words)
+        worth = np.add.reduceat(char_odds[bucket], starts) + np.array([ratio.get(w, 0.0) for w in words])
+        total = np.concatenate(([0.0], np.cumsum(np.maximum(worth, 0))))
+        return np.array([total[b] - total[a] for a, b in places])
+
+    def by_network(words: list[str], places: list[tuple[int, int]]) -> np.ndarray:
+        numbers: dict[str, int] = {}
+        ids = [numbers.setdefault(w, len(numbers)) for w in words]
+        return net.logits(net.gates(list(numbers)), *padded([ids[a:b] for a, b in places]))
+
+    table = None
+    for rank in (by_odds, by_network):  # the second round learns from what the first mistook
+        found = rows.mapInArrow(_windows_by(rank), "words array<string>, toxic int").orderBy(F.xxhash64("words")).toPandas()
+        table = found if table is None else pd.concat((table, found))
+        if len(table):
+            net.train([list(w) for w in table["words"]], table["toxic"].to_numpy(np.float64))
+    return net
+
+
+def _windows_by(rank):
+    """Of each row the best window, and of a row of zeros PER_ROW: what a text without toxic windows has at worst."""
+    def run(batches):
         for batch in batches:
             found, toxic = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = [w for part in word_lists(text or "") for w in part]
-                if not words:
-                    continue
-                bucket, starts = runs_of_four(words)
-                worth = np.add.reduceat(char_odds[bucket], starts) + np.array([ratio.get(w, 0.0) for w in words])
-                rank = np.concatenate(([0.0], np.cumsum(np.maximum(worth, 0))))
-                places = sorted(window_places(len(words)), key=lambda s: rank[s[0]] - rank[s[1]])
-                for a, b in places[:1 if label else PER_ROW]:
-                    found.append(words[a:b])
+                places = window_places(len(words))
+                for i in np.argsort(-rank(words, places), kind="stable")[:1 if label else PER_ROW] if places else []:
+                    found.append(words[places[i][0]:places[i][1]])
                     toxic.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(toxic, pa.int32())], ["words", "toxic"])
-    table = rows.mapInArrow(best_windows, "words array<string>, toxic int").orderBy(F.xxhash64("words")).toPandas()
-    net = Network({w: i + 1 for i, w in enumerate(ratio)}, np.array(list(ratio.values())), char_odds)
-    if len(table):
-        net.train([list(w) for w in table["words"]], table["toxic"].to_numpy(np.float64))
-    return net
+    return run
 
 
 class _Numbers(dict):
