@@ -31,6 +31,10 @@ SIZE = len(ALPHABET) + 1
 SAMPLE = 4000
 #: A candidate is a secret from this log-likelihood ratio on: in total, and for each pair of characters.
 TOTAL_RATIO, MEAN_RATIO = 14.0, 0.7
+#: Weight of the single characters' shares in a pair's chance.
+LEAN = 10
+#: No pair counts for more than this, so that one rare pair decides nothing.
+CLIP = 3.0
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
@@ -70,13 +74,16 @@ def sample_of(docs: DataFrame, sample: int) -> DataFrame:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
     """ratio[SIZE * a + b]: log of the chance that b follows a in random strings over that in ordinary identifiers.
 
-    Random strings are the values that the fixed patterns find in the sampled documents, identifiers their words; each
-    different one counts once. At most 2 * SIZE * SIZE counts come to the driver. Without any, all ratios are zero.
+    Random strings are the values that the fixed patterns find in the sampled documents, identifiers the words of what
+    is left without them and without candidates; each different one counts once. At most 2 * SIZE * SIZE counts come to the driver. Without any, all ratios are zero.
     """
     src = sample_of(pick(docs, doc_id=id_col, text=text_col), sample)
     values = [F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) for _, pattern, group, _ in KINDS]
     random = src.select(F.explode(F.concat(*values)).alias("word")).where(F.length("word") >= CANDIDATE_LEAST)
-    plain = src.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("word"))
+    prose = F.col("text")
+    for pattern in [pattern for _, pattern, *_ in KINDS] + [CANDIDATE]:
+        prose = F.regexp_replace(prose, pattern, " ")
+    plain = src.select(F.explode(F.regexp_extract_all(prose, F.lit(IDENTIFIER), F.lit(0))).alias("word"))
     words = random.distinct().withColumn("kind", F.lit(1)).union(plain.distinct().withColumn("kind", F.lit(0)))
     chars = words.select("kind", F.split("word", "").alias("c"))
     pairs = chars.select("kind", F.explode(F.arrays_zip(F.col("c").alias("a"), F.slice("c", 2, F.size("c")).alias("b"))).alias("p")).where("p.b is not null")
@@ -86,8 +93,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         totals[r["kind"]][r["a"]][r["b"]] = r["count"]
     if not any(map(any, totals[0])) or not any(map(any, totals[1])):
         return [0.0] * (SIZE * SIZE)
-    chance = lambda kind, a, b: (totals[kind][a][b] + 0.5) / (sum(totals[kind][a]) + 0.5 * SIZE)
-    return [math.log(chance(1, a, b) / chance(0, a, b)) for a in range(SIZE) for b in range(SIZE)]
+    # A pair's chance leans on how common its second character is among all, the more the rarer the first one is.
+    after = [[sum(row[b] for row in rows) for b in range(SIZE)] for rows in totals]
+    common = [[(n + 0.5) / (sum(column) + 0.5 * SIZE) for n in column] for column in after]
+    chance = lambda kind, a, b: (totals[kind][a][b] + LEAN * common[kind][b]) / (sum(totals[kind][a]) + LEAN)
+    return [max(-CLIP, min(CLIP, math.log(chance(1, a, b) / chance(0, a, b)))) for a in range(SIZE) for b in range(SIZE)]
 
 
 def log_ratio(word: Column, ratio: list[float]) -> Column:
