@@ -37,9 +37,8 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs, width=5)
-    return without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of similar texts (five-word shingles, 0.8 or more) the document with the smallest doc_id."""
+    return without(docs, simhash.similar_documents(docs).where("doc_id <> component_id"))
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

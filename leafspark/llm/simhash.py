@@ -75,8 +75,8 @@ def cells(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "cell long, fp long")
 
 
-def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each cell; cell is sorted."""
+def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places, of the links within each cell; cell is sorted. accept(i, j) judges survivors."""
     same = np.flatnonzero(cell[1:] == cell[:-1])
     use = np.unique(np.concatenate((same, same + 1)))
     cell, fp = cell[use], fp[use]
@@ -98,14 +98,14 @@ def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.n
                 a = root[a]
             while root[b] != b:
                 b = root[b]
-            if a != b:
+            if a != b and (accept is None or accept(use[i], use[i + step])):
                 root[max(a, b)] = min(a, b)
                 left.append(i)
                 right.append(i + step)
         while len(near) and (root[root] != root).any():
             root = root[root]
         step += 1
-    return fp[np.array(left, np.int64)], fp[np.array(right, np.int64)]
+    return use[np.array(left, np.int64)], use[np.array(right, np.int64)]
 
 
 def _within_cells(batches):
@@ -117,10 +117,10 @@ def _within_cells(batches):
         last = np.searchsorted(cell, cell[-1]) if len(cell) else 0
         held = [(cell[last:], fp[last:])]  # the last cell may go on in the next batch
         a, b = forest(cell[:last], fp[:last])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
     for cell, fp in held:
         a, b = forest(cell, fp)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
 
 def links(fps: DataFrame, cell_size: int = CELL) -> DataFrame:
@@ -151,3 +151,130 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     named = own.join(lowest, "root").select(F.col("fp").alias("word"), "component_id")
     return rows.join(named, rows.fp == named.word).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Similar documents: shingle width, least similarity, and the fingerprint bits within which such pairs lie (of 64;
+#: about 10 differ at similarity 0.8, with a deviation of 3).
+WIDTH, SIMILARITY, WIDE_RADIUS = 5, 0.8, 24
+#: Cells for pairs that lie farther apart than RADIUS: BANDS keys of ROWS least shingle hashes each. A pair at the least
+#: similarity shares some key with a chance of 1 - (1 - 0.8 ** 3) ** 10 = 0.999.
+BANDS, ROWS = 10, 3
+#: Least shingle hashes that a document's similarity is measured by; exact for texts of no more shingles.
+SKETCH = 1024
+#: Cells are dealt in parts of at most about so many documents.
+PART = 512
+_rng = np.random.default_rng(20)
+_FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 1 << 63, (ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def profile_of(text: bytes) -> tuple[int, bytes, list[int], bytes]:
+    """(key, fingerprint, cell keys, sketch) of a text's distinct five-word shingles."""
+    from xxhash import xxh64_digest, xxh64_intdigest
+    words = text.lower().split()
+    joined = b" ".join(words)
+    key = xxh64_intdigest(joined, 7) - (1 << 63)
+    if not words:
+        return key, bytes(8), [], b""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    n = max(1, len(words) - WIDTH + 1)
+    starts, stops = np.concatenate(([0], ends[:n - 1])).tolist(), (ends[min(WIDTH, len(words)) - 1:] - 1).tolist()
+    hashes = np.unique(np.frombuffer(b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts, stops)]), ">u8").astype(np.uint64))
+    least, counts = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at:at + 65536]
+        np.minimum(least, (part[:, None] * _FACTORS).min(0), out=least)
+        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    keys = (least.reshape(BANDS, ROWS).T * _MIX).sum(0, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return key, np.packbits(2 * counts > len(hashes)).tobytes(), keys.view(np.int64).tolist(), sketch.tobytes()
+
+
+def similarity_of(a: bytes, b: bytes) -> float:
+    """The shared part of the SKETCH least hashes of both texts together: all of them, for texts of fewer shingles."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.concatenate((x, y))
+    both.sort()
+    twice = both[1:] == both[:-1]
+    union = len(both) - int(twice.sum())
+    if len(x) < SKETCH and len(y) < SKETCH:
+        return (len(both) - union) / union
+    seen = np.cumsum(np.concatenate(([True], ~twice)))  # how many different ones up to here
+    return int(twice[seen[1:] <= SKETCH].sum()) / min(SKETCH, union)
+
+
+def _similar_in_parts(similarity: float):
+    """Sorted by (cell, part): links of a spanning forest, and one document of each tree with itself if the cell has
+    other parts."""
+    def judged(cell, many, key, fp, sketch):
+        spot = np.cumsum(np.concatenate(([0], (cell[1:] != cell[:-1]).astype(np.int64))))
+        a, b = forest(spot, fp, WIDE_RADIUS, lambda i, j: similarity_of(sketch[i], sketch[j]) >= similarity - 1e-9)
+        tree = np.ones(len(key), bool)
+        tree[np.maximum(a, b)] = False  # what stays true has no smaller neighbour: at least one of each tree
+        stay = np.flatnonzero(tree & many)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((cell[a], cell[stay]))), pa.array(np.concatenate((key[a], key[stay]))), pa.array(np.concatenate((key[b], key[stay])))], ["cell", "a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cell, part, parts, key, fp = (batch.column(i).to_numpy() for i in range(5))
+            now = [np.stack((cell, part), 1), parts > 1, key, fp, np.array(batch.column(5).to_pylist() + [None], object)[:-1]]
+            now = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
+            if not len(now[0]):
+                continue
+            spots = now[0]
+            last = int(np.flatnonzero((spots != spots[-1]).any(1))[-1]) + 1 if (spots != spots[-1]).any() else 0
+            yield from _by_spot(judged, [v[:last] for v in now])
+            held = [v[last:] for v in now]
+        if held is not None:
+            yield from _by_spot(judged, held)
+    return run
+
+
+def _by_spot(judged, values):
+    spots = values[0]
+    if len(spots):
+        number = np.cumsum(np.concatenate(([0], (spots[1:] != spots[:-1]).any(1).astype(np.int64))))
+        out = judged(number, *values[1:])
+        yield out.set_column(0, "cell", pa.array(spots[:, 0][np.searchsorted(number, out.column(0).to_numpy())]))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = 6) -> DataFrame:
+    """(doc_id, component_id) for every row: groups of texts whose five-word shingles are similar.
+
+    Words as for near_duplicates; a text of fewer than five words is one shingle. Pairs that share a cell key are
+    compared by their distances to the references, then by their bits, then by their shingles. A cell of very many
+    documents is dealt in parts; one document of each tree of a part meets those of the others in the next round, in
+    parts dealt anew. Equal texts are merged first; texts without words are one group; null counts as empty. A null
+    doc_id is a component_id only if its group has no other.
+    """
+    src = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [profile_of(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(np.frombuffer(b"".join(r[1] for r in rows), ">i8").astype(np.int64)),
+                pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "key", "fp", "cells", "sketch"])
+    rows = write_table(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, fp long, cells array<long>, sketch binary"), "similar-rows")
+    members = rows.select("key", F.explode("cells").alias("cell")).distinct()
+    sketches = rows.select(F.col("key").alias("own"), "fp", "sketch").dropDuplicates(["own"])
+    edges = []
+    for turn in range(rounds):
+        sizes = members.groupBy("cell").count().where("count > 1")
+        dealt = members.join(sizes, "cell").withColumn("parts", F.ceil(F.col("count") / PART).cast("long")).withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("parts")))
+        full = dealt.join(sketches, dealt.key == sketches.own).select("cell", "part", "parts", "key", "fp", "sketch")
+        found = full.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp").mapInArrow(_similar_in_parts(similarity), "cell long, a long, b long")
+        found = write_table(found, "similar-links")
+        edges.append(found.where("a <> b").select("a", "b"))
+        members = found.where("a = b").select(F.col("a").alias("key"), "cell")
+        if members.isEmpty():
+            break
+    links_ = edges[0]
+    for more in edges[1:]:
+        links_ = links_.union(more)
+    roots = components(links_, "similar-components")
+    own = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
+    own = own.join(roots, own.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+    named = own.join(own.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("key").alias("own"), "component_id")
+    return rows.join(named, rows.key == named.own).select("doc_id", "component_id")
