@@ -12,7 +12,7 @@ from leafspark.llm.boosting import grow, holds
 from leafspark.llm.shared import pick
 
 #: The bound of the labelled sample that the classifier is fitted on (rows, lowest hashes of doc_id first).
-SAMPLE = 20_000
+SAMPLE = 10_000
 ROUNDS, DEPTH, BINS, PENALTY = 24, 3, 32, 2e-4
 
 
@@ -51,7 +51,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = PENALTY
         return Rules(float(np.log(share / (1 - share))))
     paths = list(dict.fromkeys(tuple(sorted(set(path))) for _, inner in grow(x, y, ROUNDS, DEPTH, BINS)[1] for path in inner))
     full = np.stack([np.ones(len(y))] + [holds(x, path) for path in paths], 1).astype(np.float64)
-    rate = 4 * len(y) / np.linalg.norm(full, 2) ** 2
+    rate = 4 * len(y) / np.linalg.eigvalsh(full.T @ full)[-1]
     w = ahead = np.zeros(full.shape[1])
     momentum = 1.0
     for _ in range(steps):  # accelerated proximal gradient; the intercept has no penalty
