@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import metrics
-from leafspark.operators.grouped import ordered_scan, with_group_stats
+from leafspark.operators.grouped import join_keys, ordered_scan, with_group_stats
 from leafspark.session import cut_lineage
 
 
@@ -35,18 +35,24 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", actual:
     """ROC points per group, one per distinct score in falling order: fpr, tpr, threshold.
 
     Rows with equal scores are counted before the running sums, and the sums run per score chunk. The counts are
-    written once, so the rows themselves are read a single time.
+    written once, so the rows themselves are read a single time. Rows without a score take no part, in the totals
+    neither; :func:`without_score` counts them.
     """
-    step = cut_lineage(df.groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n")))
+    step = cut_lineage(df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n")))
     chunk = -F.floor(F.col(score) * 256) if chunk is None else chunk
     curve = ordered_scan(step, keys, [-F.col(score)], chunk, sums={"tp": F.col("_p"), "fp": F.col("_n")})
     totals = step.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
-    curve = curve.join(totals, list(keys)) if keys else with_group_stats(curve, [], _pos=F.sum("_p"), _neg=F.sum("_n"))
+    curve = join_keys(curve, totals, keys) if keys else with_group_stats(curve, [], _pos=F.sum("_p"), _neg=F.sum("_n"))
     return curve.select(*keys, F.col(score).alias("threshold"),
                         F.coalesce(F.try_divide("fp", "_neg"), F.lit(0.0)).alias("fpr"),
                         F.coalesce(F.try_divide("tp", "_pos"), F.lit(0.0)).alias("tpr"))
 
 
+def without_score(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+    """How many rows of each group have no score and so take no part in its curve."""
+    return df.groupBy(*keys).agg(F.count_if(F.col(score).isNull()).alias("without_score"))
+
+
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual") -> DataFrame:
     """Area under the ROC curve by trapezoids."""
     points = cut_lineage(roc_points(df, keys, score, actual))

@@ -8,6 +8,7 @@ group into ordered chunks and carry totals from chunk to chunk.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,15 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
         packed = df.agg(F.struct(*named).alias("_stats")).scalar()
         return (df.withColumn("_stats", packed)
                 .select(*df.columns, *[F.col(f"_stats.{name}").alias(name) for name in stats]))
-    return df.join(df.groupBy(*keys).agg(*named), list(keys))
+    stats_side = df.groupBy(*keys).agg(*named)
+    return join_keys(df, stats_side, keys).select(*keys, *[c for c in df.columns if c not in keys], *stats)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equality join on ``keys`` in which a null key meets a null key. The right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"__right_{k}" for k in keys])
 
 
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest: bool = True) -> DataFrame:
@@ -34,7 +43,7 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest:
 def quantile_chunk(df: DataFrame, column: str, chunks: int = 256) -> Column:
     """A monotone chunk number for a numeric column, from approximate quantiles.
 
-    The driver receives at most ``chunks`` boundaries, whatever the table size. The number comes from a balanced tree
+    A null has the lowest number, as it sorts first. The driver receives at most ``chunks`` boundaries, whatever the table size. The number comes from a balanced tree
     of comparisons, so it stays in generated code.
     """
     steps = [i / chunks for i in range(1, chunks)]
@@ -46,7 +55,7 @@ def quantile_chunk(df: DataFrame, column: str, chunks: int = 256) -> Column:
             return F.lit(low)
         middle = (low + high) // 2
         return F.when(F.col(column) <= limits[middle], place(low, middle)).otherwise(place(middle + 1, high))
-    return place(0, len(limits))
+    return F.when(F.col(column).isNull(), -1).otherwise(place(0, len(limits)))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, *,
@@ -55,7 +64,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """Lag, running sum, last non-null value and row number per group, in order.
 
     ``chunk`` must not decrease along ``order``. Work inside a chunk is a window over
-    (keys, chunk); across chunks only one summary row per chunk is windowed.
+    (keys, chunk); across chunks only one summary row per chunk is windowed. Rows with a null key are one group, null
+    chunks come first, and no row is lost.
     """
     lags, sums, last = dict(lags or {}), dict(sums or {}), dict(last or {})
     order = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -91,7 +101,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     carried += [F.last(f"__w_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in last]
     carry = base.groupBy(*keys, "__chunk").agg(*summaries).select(*keys, "__chunk", *carried)
 
-    joined = out.join(carry, [*keys, "__chunk"])
+    joined = join_keys(out, carry, [*keys, "__chunk"])
     result = [F.col(c) for c in df.columns]
     result += [F.when(F.col("__n") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")).alias(n) for n in lags]
     result += [(F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.col(f"__p_{n}")).alias(n) for n in sums]

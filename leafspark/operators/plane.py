@@ -153,7 +153,7 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
 
 def crop_line(blobs: DataFrame, height: int, candidates: int = 5) -> DataFrame:
     """The center that marks the crop line: of the five centers with the fewest off-level neighbours, the one
-    nearest to the middle row. Weeds and ignored blobs do not take part."""
+    nearest to the middle row. Undesired and ignored blobs do not take part."""
     counts = level_counts(blobs.filter(~F.col("type").isin(rules.UNDESIRED, rules.IGNORED)))
     order = Window.partitionBy("image_id").orderBy("off_level", "blob_id")
     few = counts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= candidates)
@@ -171,7 +171,7 @@ def leading_edge(blobs: DataFrame, width: int, pixel_mm: float) -> DataFrame:
     return blobs.withColumn("leading", (F.lit(width) - F.col("x")) * pixel_mm)
 
 
-def row_votes(centers: DataFrame, step_degrees: int = 15, rho_size: int = 50) -> DataFrame:
+def row_votes(centers: DataFrame, step_degrees: int = 1, rho_size: int = 1) -> DataFrame:
     """Votes of centers for straight lines (image_id, theta, rho, votes). Fixed fan-out per center, map-side combine."""
     angles = range(0, 180, step_degrees)
     votes = [F.struct(F.lit(a).alias("theta"),
@@ -186,12 +186,12 @@ def best_lines(votes: DataFrame, n: int = 3) -> DataFrame:
 
 
 def treatment_plan(blobs: DataFrame, mask: DataFrame, height: int, size: int) -> DataFrame:
-    """Grid cells under weed boxes that hold vegetation: image_id, row, col, type.
+    """Grid cells under undesired boxes that hold vegetation: image_id, row, col, type.
 
     mask: image_id, x, y, v. Boxes are walked at grid steps from their corner.
     """
-    weeds = blobs.filter(F.col("type") == rules.UNDESIRED)
-    cells = weeds.select("image_id", "y", "h", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1, F.lit(size))).alias("px")) \
+    undesired = blobs.filter(F.col("type") == rules.UNDESIRED)
+    cells = undesired.select("image_id", "y", "h", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1, F.lit(size))).alias("px")) \
         .select("image_id", "px", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1, F.lit(size))).alias("py"))
     row = F.floor((F.lit(height) - F.col("py")) / size).cast("int") + 1
     wanted = cells.select("image_id", row.alias("row"), F.floor(F.col("px") / size).cast("int").alias("col")).distinct()

@@ -20,8 +20,13 @@ SEED = 42
 
 
 def hash_share(key: Column, seed: int = SEED) -> Column:
-    """A number in 0..1 from a whole-number key."""
-    return F.pmod(key * 7919 + seed * 104729 + F.pmod(key, F.lit(97)) * 6007, F.lit(10007)) / 10007.0
+    """A number from 0 up to 1, in steps of 2^-32, from a key of any type. Keys close to each other are far apart here."""
+    return _digits(F.concat_ws(":", key.cast("string"), F.lit(str(seed))), 8) / 4294967296.0
+
+
+def _digits(text: Column, n: int) -> Column:
+    """The first n hexadecimal digits of a text's MD5 as a number; other engines have the same function."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
 
 
 def split(df: DataFrame, train: float = 0.4, seed: int = SEED) -> DataFrame:
@@ -56,12 +61,12 @@ def synthesise(seeds: DataFrame, pool: DataFrame, k: int = 5) -> DataFrame:
     seeds = cut_lineage(seeds)
     near = nearest_neighbors(seeds, pool, k, 2, exclude_self=True).filter(F.size("neighbors") > 0)
     made = seeds.filter("want > 0").join(near, F.col("id") == F.col("query_id")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("want").cast("int"))))
-    mix = F.col("id") * 31 + F.col("j")
+    mix = F.concat_ws("-", "id", "j")
     pick = F.element_at("neighbors", (F.floor(hash_share(mix, 2) * F.size("neighbors")) + 1).cast("int"))["id"]
     made = made.select(F.col("id").alias("seed_id"), "j", "features", "type", pick.alias("mate"), hash_share(mix, 3).alias("u"))
     mates = pool.select(F.col("id").alias("mate"), F.col("features").alias("_f"))
     point = F.zip_with("features", "_f", lambda a, b: a + (b - a) * F.col("u"))
-    return made.join(mates, "mate").select((-(F.col("seed_id") * (1 << 24) + F.col("j"))).alias("id"), point.alias("features"), "type")
+    return made.join(mates, "mate").select((-_digits(F.concat_ws("-", "seed_id", "j"), 15) - 1).alias("id"), point.alias("features"), "type")
 
 
 def minority_of(df: DataFrame) -> tuple[int, int, int]:

@@ -141,7 +141,7 @@ def _spread_min(edges: DataFrame, above: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(mask: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(mask: DataFrame) -> DataFrame:
     """Eight-neighbour components of a mask (image_id, x, y, v): image_id, x, y, label.
 
     Pixels are first joined to horizontal runs, so the graph has one node per run. The run graph is then
@@ -158,15 +158,13 @@ def components(mask: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = below.join(runs, ["image_id", "x", "y"]).select("image_id", F.col("node").alias("a"), "b").distinct()
     edges = cut_lineage(edges)
     before = None
-    for _ in range(max_rounds):
+    while True:
         edges = cut_lineage(_spread_min(_spread_min(edges, above=True), above=False))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("image_id", "a", "b").cast("long")),
                         F.sum(F.xxhash64("image_id", "a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = edges.groupBy("image_id", F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
     return runs.join(labels, ["image_id", "node"], "left").select("image_id", "x", "y", F.coalesce("label", "node").alias("label"))
 

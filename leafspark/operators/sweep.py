@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import metrics
 from leafspark.operators import evaluation, models, ranking, resample
-from leafspark.operators.discriminant import ClassSums, score_column
+from leafspark.operators.discriminant import ClassSums
 from leafspark.operators.evaluation import roc_points
+from leafspark.session import cut_lineage
 
 BINS = 1024
 COMBOS_AT_ONCE = 2000
@@ -117,12 +118,17 @@ def imbalance_grid(split_df: DataFrame, dims: int, ratios: Sequence[tuple[float,
     return evaluation.correction_delta(results, ["technique", "ratio"], ["auc", "f1"])
 
 
-def rerun_best(split_df: DataFrame, results: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fit the best discriminant again; its exact auc and ideal threshold."""
-    best = ranking.best_rows(results, "auc").first()
-    at = [list(names).index(p) for p in best["parameters"]]
-    part = _pick(split_df, at)
-    weights, offset = ClassSums(part.filter("is_train"), len(at)).solve()
-    scored = part.filter("not is_train").select(F.lit(best["technique"]).alias("technique"), F.col("type").alias("actual"), score_column(weights, offset).alias("score"))
+def rerun_best(split_df: DataFrame, results: DataFrame, names: Sequence[str], options: dict[str, dict] | None = None) -> DataFrame:
+    """Fit the best run of every technique again, with its own parameters and correction: technique, correction,
+    exact auc and ideal threshold, one row per technique. There are as many fits as techniques."""
+    scored = None
+    for best in ranking.best_rows(results, "auc").orderBy("technique").collect():
+        at = [list(names).index(p) for p in best["parameters"]]
+        part = _pick(split_df, at)
+        train = resample.correct(part.filter("is_train"), best["correction"])
+        rows = models.technique(best["technique"], len(at), **(options or {}).get(best["technique"], {})).fit(train)(part.filter("not is_train"))
+        rows = rows.select(F.lit(best["technique"]).alias("technique"), F.col("type").alias("actual"), "score")
+        scored = rows if scored is None else scored.unionByName(rows)
+    scored = cut_lineage(scored)
     ideal = evaluation.ideal_threshold(roc_points(scored, ["technique"]), ["technique"])
     return ideal.join(evaluation.auc(scored, ["technique"]), "technique")

@@ -90,8 +90,8 @@ query("pos1_leading_edge", "blobs", f" select image_id, blob_id, {r6(f'({WIDTH}-
     lambda v: plane.leading_edge(v.blobs, WIDTH, 0.37).select(*KEY, "leading"))
 query("pos2_crop_distance", "blobs", f" select image_id, blob_id, abs(cy-{HEIGHT // 2}) distance, {r6(f'abs(cy-{HEIGHT // 2})/cast({HEIGHT} as double)')} normalized_distance from blobs")(
     lambda v: plane.crop_distances(v.blobs, HEIGHT // 2, HEIGHT).select(*KEY, "distance", "normalized_distance"))
-VOTES = CB + ", a as (select * from (values " + ", ".join(f"({a},{math.cos(math.radians(a))!r}::double,{math.sin(math.radians(a))!r}::double)" for a in range(0, 180, 15)) + """) t(theta,c,s)),
- vt as (select image_id, theta, cast(floor((cx*c+cy*s)/50+0.5) as int) rho, count(*) votes from cb, a group by all)"""
+VOTES = CB + ", a as (select * from (values " + ", ".join(f"({a},{math.cos(math.radians(a))!r}::double,{math.sin(math.radians(a))!r}::double)" for a in range(180)) + """) t(theta,c,s)),
+ vt as (select image_id, theta, cast(floor(cx*c+cy*s+0.5) as int) rho, count(*) votes from cb, a group by all)"""
 query("pos4_row_votes", "blobs", VOTES + """, k as (select *, row_number() over (partition by image_id order by votes desc, theta, rho) place from vt)
  select image_id, theta, rho, votes, place from k where place<=3""")(
     lambda v: plane.best_lines(plane.row_votes(coarse(v.blobs).select("image_id", "cx", "cy")), 3))

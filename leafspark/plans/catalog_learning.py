@@ -10,7 +10,7 @@ from leafspark.plans.registry import query, r6
 
 DIMS = 8
 NAMES = [f"e{i}" for i in range(DIMS)]
-HASH = "((({0})*7919+{1}*104729+(({0})%97)*6007)%10007)/10007.0"
+HASH = "(('0x'||substr(md5(concat({0},':',{1})),1,8))::bigint/4294967296.0)"
 SPLIT = f", sp as (select *, {HASH.format('id', 42)}<0.4 is_train from vectors)"
 
 
@@ -95,14 +95,14 @@ def counts_by_type(df):
     return df.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < 0).alias("made"))
 
 
-SHARE = lambda key, seed: f"(((({key})*7919+{seed}*104729+(({key})%97)*6007)%10007+10007)%10007/10007.0)"
+SHARE = HASH.format
 FEW = f""", few as materialized (select * from vectors where "type"=0), sz as (select count(*) filter ("type"=0) n, count(*) filter ("type"=1) top from vectors),
  fk as (select a.id, b.id mate, row_number() over (partition by a.id order by {l2('a.features', 'b.features')}, b.id) k from few a join few b on a.id<>b.id),
  ak as (select a.id, b."type" t, row_number() over (partition by a.id order by {l2('a.features', 'b.features')}, b.id) k from few a join vectors b on a.id<>b.id)"""
 EVEN = """, sd as (select *, row_number() over (order by id) r, count(*) over () c from seeds), wa as (select sd.id, features, (top-n)//c+case when r<=(top-n)%c then 1 else 0 end want from sd, sz)"""
-MADE = f""", mk as (select wa.id, features, cast(j as bigint) j from wa join range(1,5000) g(j) on j<=want),
- pk as (select *, floor({SHARE('id*31+j', 2)}*5)+1 pick, {SHARE('id*31+j', 3)} u from mk),
- nw as (select -(pk.id*16777216+j) id, 0 "type", pk.features[1]+(m.features[1]-pk.features[1])*u "first" from pk join fk on fk.id=pk.id and fk.k=pick join few m on m.id=fk.mate)
+MADE = f""", mk as (select wa.id, features, cast(j as bigint) j from wa join range(1,(select max(want)+1 from wa)) g(j) on j<=want),
+ pk as (select *, floor({SHARE("concat(id,'-',j)", 2)}*5)+1 pick, {SHARE("concat(id,'-',j)", 3)} u from mk),
+ nw as (select -('0x'||substr(md5(concat(pk.id,'-',j)),1,15))::bigint-1 id, 0 "type", pk.features[1]+(m.features[1]-pk.features[1])*u "first" from pk join fk on fk.id=pk.id and fk.k=pick join few m on m.id=fk.mate)
  select id, "type", {r6('"first"')} "first" from nw union all select id, "type", {r6('features[1]')} from vectors"""
 SMOTE_SQL = {
     "SMOTE": FEW + ", seeds as (select * from few)" + EVEN + MADE,
@@ -118,14 +118,12 @@ for name in ("SMOTETOMEK", "SMOTEENN"):
 OCC_SQL = SPLIT + f""", st as (select i, avg(features[i]) m, stddev_pop(features[i]) s from sp, range(1,{DIMS + 1}) t(i) where is_train and "type"=0 group by i),
  ds as (select id, is_train, "type", sqrt(sum(pow((features[i]-m)/s,2))) d from sp, st group by all), ct as (select quantile_disc(d,0.01) c from ds where is_train and "type"=0)
  select id, {r6('d/(d+1)')} score, cast(d>c as int) prediction from ds, ct where not is_train"""
-# Techniques: small forests here; the library's own defaults are larger.
-SMALL = {"RANDOMFOREST": {"trees": 20}, "EXTRA": {"trees": 20}, "GRADIENT": {"rounds": 5}}
 for number, name in ((3, "LOGISTIC"), (4, "DECISIONTREE"), (5, "RANDOMFOREST"), (6, "GRADIENT"), (7, "EXTRA"), (8, "SVM"), (9, "MLP"), (12, "OCC")):
     query(f"ml{number}_{name.lower()}", "vectors", OCC_SQL if name == "OCC" else None)(lambda v, name=name: trained(two_classes(v), name).select("id", "score", "prediction"))
 
 
 def trained(df, name):
-    return models.technique(name, DIMS, **SMALL.get(name, {})).fit(df.filter("is_train"))(df.filter("not is_train"))
+    return models.technique(name, DIMS).fit(df.filter("is_train"))(df.filter("not is_train"))
 
 
 query("ml13_cross_validation", "vectors")(lambda v: models.cross_validate(v.vectors, models.technique("LDA", DIMS), 5))

@@ -41,6 +41,16 @@ def drained(v: Views, stream: DataFrame) -> DataFrame:
     return v.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def feed(df: DataFrame, time: str, files: int = 4) -> str:
+    """Write df as files that follow each other in time, so that a stream takes them in as many micro-batches."""
+    folder = work_folder(df.sparkSession)
+    bounds = df.agg(F.percentile_approx(F.unix_micros(time), [i / files for i in range(1, files)])).first()[0] or []
+    part = sum([(F.unix_micros(time) > b).cast("int") for b in sorted(set(bounds))], F.lit(0))
+    for i in range(len(set(bounds)) + 1):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def odometer_messages(v: Views) -> DataFrame:
     t = scans.travel(v.odometry, 0.5, 1000)
     return t.select("device", "ts", "event_id", "sequence", "total_mm", "kph", (32 + F.col("event_id") % 977 / 1000.0).alias("latitude"),
@@ -48,7 +58,7 @@ def odometer_messages(v: Views) -> DataFrame:
 
 
 query("str1_travel_stream", "odometry", TR + f" select event_id, {r6('mm')} mm, {r6('kph')} kph, {r6('total_mm')} total_mm, {r6('pulses')} pulses from tr")(
-    lambda v: drained(v, odometry.travel(event_stream(v), 0.5, 1000)).select("event_id", "mm", "kph", "total_mm", "pulses"))
+    lambda v: drained(v, odometry.travel(event_stream(v), 0.5, 1000, delay="0 seconds")).select("event_id", "mm", "kph", "total_mm", "pulses"))
 
 ANNOUNCE = TR + """, nr as materialized (select *, row_number() over (partition by device order by ts, event_id) n from tr),
  an(device, n, event_id, total_mm, moved, since) as (select device, n, event_id, total_mm, mm, case when abs(mm)>=100 then 0.0 else mm end from nr where n=1
@@ -57,15 +67,14 @@ ANNOUNCED = ANNOUNCE + f" select event_id, {r6('moved')} distance, {r6('total_mm
 query("str2_announce", "odometry", ANNOUNCED)(
     lambda v: odometry.announce(scans.travel(v.odometry, 0.5, 1000), 100.0).select("event_id", "distance", "total_mm", "sequence"))
 query("str2_announce_stream", "odometry", ANNOUNCED)(
-    lambda v: drained(v, odometry.announce(event_moves(v), 100.0)).select("event_id", "distance", "total_mm", "sequence"))
+    lambda v: drained(v, odometry.announce(event_moves(v), 100.0, delay="0 seconds")).select("event_id", "distance", "total_mm", "sequence"))
 
 
 def event_moves(v):
     """Moves as a stream: the travel fold has run before, as on the device that sends them."""
     moves = odometry.travel(v.odometry, 0.5, 1000).select("device", "ts", "event_id", "mm")
-    folder = work_folder(v.spark)
-    moves.write.parquet(folder)
-    return v.spark.readStream.schema(moves.schema).parquet(folder)
+    folder = feed(moves, "ts")
+    return v.spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 CAPTURE = TR + SQ + """, ms as materialized (select sq.device, sq.event_id, sq.ts, sq.state, tr.total_mm, tr.kph, row_number() over (partition by sq.device order by sq.ts, sq.event_id) n
@@ -83,15 +92,15 @@ query("str4_capture_stream", "odometry", CAPTURED)(lambda v: capture_stream(v).s
 
 def capture_stream(v):
     """JSON messages written as a feed, parsed again as a stream, then the capture fold."""
-    folder = work_folder(v.spark)
     source = odometer_messages(v).withColumns({"total_distance": F.col("total_mm"), "speed": F.col("kph")})
     source = source.withColumn("timestamp", F.unix_micros("ts") * 1000)
-    messages.form(source, "odometry").select("device", "event_id", "value").write.parquet(folder)
-    raw = v.spark.readStream.schema("device bigint, event_id bigint, value string").parquet(folder)
+    formed = messages.form(source, "odometry").select("device", "event_id", "value", F.col("ts").alias("sent"))
+    folder = feed(formed, "sent")
+    raw = v.spark.readStream.schema("device bigint, event_id bigint, value string").option("maxFilesPerTrigger", 1).parquet(folder)
     parsed = messages.parse(raw, "odometry")
     fields = parsed.select("device", "event_id", messages.event_time(F.col("timestamp")).alias("ts"), "sequence", F.col("total_distance").alias("total_mm"),
                            "latitude", "longitude", F.col("speed").alias("kph"))
-    return drained(v, odometry.captures(fields, GSD))
+    return drained(v, odometry.captures(fields, GSD, delay="0 seconds"))
 
 
 query("str6_fresh_stream", "odometry", " select event_id, kind from odometry where event_id%11<5")(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from leafspark.functions.catalog_of_factors import scalar_columns, vector_columns
 
+#: The image reader gives unreadable files a height and width of -1 and no data.
+READABLE = "image.height > 0 and image.width > 0"
 PIXEL_SCHEMA = "image_id string, x int, y int, r int, g int, b int"
 
 
@@ -47,11 +49,17 @@ def pack_images(pixels: DataFrame) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """Pixels of all image files in a folder."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder)
+    """Pixels of all image files in a folder that can be read; :func:`rejected_images` lists the others."""
+    images = spark.read.format("image").load(folder).filter(READABLE)
     return unpack_images(images.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data"))
 
 
+def rejected_images(spark: SparkSession, folder: str) -> DataFrame:
+    """image_id and reason of the files of a folder that are not readable pictures."""
+    images = spark.read.format("image").load(folder).filter(f"not ({READABLE})")
+    return images.select(F.col("image.origin").alias("image_id"), F.lit("not a readable picture").alias("reason"))
+
+
 def read_image_meta(table: DataFrame) -> DataFrame:
     """Typed image tags from a table of texts."""
     number = lambda c: F.col(c).try_cast("double").alias(c)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.operators.grouped import with_group_stats
 
 
 # Field names, types and defaults of the messages.
@@ -44,15 +43,15 @@ def form(df: DataFrame, kind: str, out: str = "value") -> DataFrame:
     return df.withColumn(out, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))
 
 
-def encode_targets(df: DataFrame, keys: list[str], limit: int = 1000) -> DataFrame:
-    """JSON lists of {location, distance} per image, ordered by location: keys, part, targets.
+def encode_targets(df: DataFrame, keys: list[str], tile: int = 256) -> DataFrame:
+    """JSON lists of {location, distance}, ordered by location: keys, part, targets.
 
-    An image with up to ``limit`` targets gives one message; one with more gives several parts of about that size.
+    One message for each plane tile of ``tile`` by ``tile`` places that has targets, at every size of an image;
+    ``part`` names the tile as "column:row".
     """
-    counted = with_group_stats(df, keys, _n=F.count(F.lit(1)))
-    part = F.pmod(F.xxhash64("x", "y", "distance"), F.ceil(F.col("_n") / limit)).cast("int")
+    part = F.concat_ws(":", *[F.floor(F.col(c) / tile).cast("string") for c in ("x", "y")])
     target = F.struct(F.array("x", "y").alias("location"), "distance")
-    return counted.groupBy(*keys, part.alias("part")).agg(F.to_json(F.sort_array(F.collect_list(target))).alias("targets"))
+    return df.groupBy(*keys, part.alias("part")).agg(F.to_json(F.sort_array(F.collect_list(target))).alias("targets"))
 
 
 def decode_targets(df: DataFrame, column: str = "targets") -> DataFrame:

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from leafspark.plans.flow import image_factors
-from leafspark.sources.files import append_factors, unpack_images
+from leafspark.sources.files import READABLE, append_factors, unpack_images
 
 PACKED = "image_id string, height int, width int, nChannels int, data binary"
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
 def image_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
-    """Packed images from the picture files that appear in a folder."""
-    raw = (spark.readStream.format("image").schema(IMAGE).option("maxFilesPerTrigger", files_per_trigger).load(folder))
+    """Packed images from the picture files that appear in a folder; files that are no readable pictures are left out,
+    as in the batch reader, whose ``rejected_images`` lists them."""
+    raw = (spark.readStream.format("image").schema(IMAGE).option("maxFilesPerTrigger", files_per_trigger).load(folder).filter(READABLE))
     return raw.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
 
 

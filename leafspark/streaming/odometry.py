@@ -1,13 +1,16 @@
 """Streaming operators over odometry, and batch twins that give the same rows.
 
 Each operator is a fold: from a small state and the next readings of one device, in order, to a new state and output
-rows. In a stream the state lives in the state store. In batch, readings are sorted per device and flow through the
+rows. In a stream the state lives in the state store, with the readings that the watermark has not passed yet: they are
+folded in event order once it has, so readings may come out of order by up to ``delay`` (none by default) and come out
+that much later. Still later ones are dropped and counted by the stream's progress (numRowsDroppedByWatermark). In batch, readings are sorted per device and flow through the
 same fold batch by batch, so a device is never held in memory as a whole. Reset-on-threshold state depends on every
 reading before it, so the readings of one device are walked in sequence by definition.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,21 +38,31 @@ def _batch(readings: DataFrame, fold: Fold, start: tuple, schema: str) -> DataFr
 
 def _stream(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str) -> DataFrame:
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else start
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(ORDER, kind="stable")
-        now, out = fold(tuple(now), rows)
-        state.update(now)
-        yield out
-    return readings.groupBy("device").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def _apply(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str) -> DataFrame:
+        *now, held = state.get if state.exists else (*start, None)
+        rows = [pickle.loads(held)] if held else []
+        if not state.hasTimedOut:
+            rows += list(frames)
+        rows = pd.concat(rows, ignore_index=True).sort_values(ORDER, kind="stable")
+        passed = state.getCurrentWatermarkMs()
+        stamp = rows.ts.astype("datetime64[ms]").astype("int64")
+        ready, later = rows[stamp <= passed], rows[stamp > passed]
+        if len(ready):
+            now, out = fold(tuple(now), ready.reset_index(drop=True))
+            yield out
+        state.update((*now, pickle.dumps(later) if len(later) else None))
+        if len(later):
+            # The timeout comes when the watermark is past it, so it lies just before the first reading that is held.
+            state.setTimeoutTimestamp(max(int(stamp[stamp > passed].min()) - 1, passed + 1))
+    return readings.groupBy("device").applyInPandasWithState(run, schema, state_schema + ", held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _apply(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str, delay: str) -> DataFrame:
     if readings.isStreaming:
-        return _stream(readings, fold, start, schema, state_schema)
+        return _stream(readings.withWatermark("ts", delay), fold, start, schema, state_schema)
     return _batch(readings, fold, start, schema)
 
 
-def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int) -> DataFrame:
+def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int, delay: str = "0 seconds") -> DataFrame:
     """Per reading: mm, speed, running distance and pulses. readings: device, ts, event_id, angle."""
     def fold(state, frame):
         angle, then, total, pulses = state
@@ -65,10 +78,10 @@ def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int) -> Da
                             "total_mm": total + mm.cumsum(), "pulses": pulses + (change * (360 / encoder_clicks)).cumsum()})
         return (float(frame.angle.iloc[-1]), int(stamp.iloc[-1]), float(out.total_mm.iloc[-1]), float(out.pulses.iloc[-1])), out
     return _apply(readings, fold, (0.0, -1, 0.0, 0.0), "device bigint, event_id bigint, ts timestamp, mm double, kph double, total_mm double, pulses double",
-                  "angle double, stamp bigint, total double, pulses double")
+                  "angle double, stamp bigint, total double, pulses double", delay)
 
 
-def announce(moves: DataFrame, every_mm: float) -> DataFrame:
+def announce(moves: DataFrame, every_mm: float, delay: str = "0 seconds") -> DataFrame:
     """A message when the distance since the last one reaches ``every_mm`` either way. moves: device, ts, event_id, mm."""
     def fold(state, frame):
         since, total, sequence = state
@@ -82,10 +95,10 @@ def announce(moves: DataFrame, every_mm: float) -> DataFrame:
                 since = 0.0
         return (since, total, sequence), pd.DataFrame(rows, columns=["device", "event_id", "ts", "distance", "total_mm", "sequence"])
     return _apply(moves, fold, (0.0, 0.0, 0), "device bigint, event_id bigint, ts timestamp, distance double, total_mm double, sequence bigint",
-                  "since double, total double, sequence bigint")
+                  "since double, total double, sequence bigint", delay)
 
 
-def captures(messages: DataFrame, gsd: dict[str, float], overlap: float = 0.2) -> DataFrame:
+def captures(messages: DataFrame, gsd: dict[str, float], overlap: float = 0.2, delay: str = "0 seconds") -> DataFrame:
     """Capture and alert rows per camera. messages: device, ts, event_id, sequence, total_mm, latitude, longitude, kph.
 
     A camera takes an image when the device moved more than its ground distance since its last image. Resets and
@@ -116,7 +129,7 @@ def captures(messages: DataFrame, gsd: dict[str, float], overlap: float = 0.2) -
         return (int(current), int(seen), *[float(v) for v in last]), pd.DataFrame(rows, columns=names)
     return _apply(messages, fold, (-1, 0, *[0.0 for _ in cameras]),
                   "device bigint, event_id bigint, ts timestamp, camera string, kind string, movement double, latitude double, longitude double, kph double",
-                  "current bigint, seen bigint, " + ", ".join(f"last{i} double" for i in range(len(cameras))))
+                  "current bigint, seen bigint, " + ", ".join(f"last{i} double" for i in range(len(cameras))), delay)
 
 
 def fresh_only(messages: DataFrame, received: str = "received", delay: str = "5 seconds") -> DataFrame:

@@ -355,7 +355,7 @@ def readings(spark):
     random.seed(7)
     rows = [(i % 3, i, i, float(random.randrange(-50, 90)), random.choice([-1, i // 9, i // 9 + 1])) for i in range(240)]
     raw = spark.createDataFrame(rows, "device bigint, s bigint, event_id bigint, angle double, sequence bigint")
-    return raw.select("device", F.timestamp_seconds(F.col("s") * 400).alias("ts"), "event_id", "angle", "sequence")
+    return raw.select("device", F.timestamp_seconds((F.col("s") + 1) * 400).alias("ts"), "event_id", "angle", "sequence")  # after 1970-01-01: a new watermark takes that moment for late
 
 
 def test_sequence_labels(spark):
@@ -476,3 +476,79 @@ def test_no_pair_products_in_plans(views):
                evaluation.roc_points(views.predictions, ["technique"]), odometry.travel(views.odometry, 0.5, 1000), images.hv(views.pixels)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_null_keys_and_order_values_stay(spark):
+    from leafspark.operators import grouped
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), (1, 1, 5.0), (1, None, 7.0), (None, None, 1.0)], "device long, ts long, v double")
+    with_n = grouped.with_group_stats(df, ["device"], n=F.count(F.lit(1)), total=F.sum("v")).collect()
+    assert sorted((str(r["device"]), r["n"], r["total"]) for r in with_n) == [("1", 2, 12.0)] * 2 + [("None", 3, 6.0)] * 3
+    for chunk in (F.col("ts"), grouped.quantile_chunk(df, "ts", 4), F.lit(0)):
+        rows = grouped.ordered_scan(df, ["device"], ["ts"], chunk, lags={"before": F.col("v")}, sums={"so_far": F.col("v")}, rank="n").collect()
+        got = sorted((str(r["device"]), r["n"], r["v"], r["before"], r["so_far"]) for r in rows)
+        assert got == [("1", 1, 7.0, None, 7.0), ("1", 2, 5.0, 7.0, 12.0), ("None", 1, 1.0, None, 1.0), ("None", 2, 2.0, 1.0, 3.0), ("None", 3, 3.0, 2.0, 6.0)]
+
+
+def test_rows_without_a_score_take_no_part(spark):
+    from leafspark.operators import evaluation
+    df = spark.createDataFrame([("a", 0.9, 1), ("a", None, 0), ("a", 0.2, 0), ("a", None, 1), (None, 0.5, 1), (None, 0.4, 0)], "k string, score double, actual int")
+    points = {(r["k"], r["threshold"]): (r["fpr"], r["tpr"]) for r in evaluation.roc_points(df, ["k"]).collect()}
+    assert points == {("a", 0.9): (0.0, 1.0), ("a", 0.2): (1.0, 1.0), (None, 0.5): (0.0, 1.0), (None, 0.4): (1.0, 1.0)}
+    assert {r["k"]: r["without_score"] for r in evaluation.without_score(df, ["k"]).collect()} == {"a": 2, None: 0}
+
+
+def test_large_identifiers_hash_evenly(spark):
+    from leafspark.operators import resample
+    df = spark.range(5_000_000_000_000_000, 5_000_000_000_004_000)
+    shares = [r[0] for r in df.select(resample.hash_share(F.col("id"))).collect()]
+    assert 0.47 < sum(shares) / len(shares) < 0.53 and len(set(shares)) > 3990
+    assert 0.37 < sum(s < 0.4 for s in shares) / len(shares) < 0.43
+
+
+def test_targets_have_one_layout(spark):
+    from leafspark.sources import messages
+    df = spark.createDataFrame([(1, x, y, 1.0) for x in range(0, 600, 20) for y in (3, 300)], "image_id int, x int, y int, distance double")
+    coded = messages.encode_targets(df, ["image_id"])
+    assert coded.count() == 6 and messages.decode_targets(coded).drop("part").exceptAll(df).count() == 0
+
+
+def test_unreadable_pictures_are_listed(spark, tmp_path):
+    from leafspark.sources import files
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    folder = f"file://{tmp_path}"
+    assert files.read_pixels(spark, folder).count() == 0
+    assert [r["image_id"].rsplit("/", 1)[-1] for r in files.rejected_images(spark, folder).collect()] == ["bad.png"]
+
+
+def device_rows(n):
+    return [(d, f"2024-01-01 00:00:{i:02d}", i + 100 * d, float((i * 37) % 90), i, float(i * 30)) for d in (1, 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["travel", "announce", "captures"])
+def test_streams_fold_in_event_order(spark, tmp_path, kind):
+    """Files that come out of order give what one sorted batch gives."""
+    from leafspark.streaming import odometry
+    df = spark.createDataFrame(device_rows(30), "device long, t string, event_id long, angle double, sequence long, total_mm double").select(
+        "device", F.to_timestamp("t").alias("ts"), "event_id", "angle", "sequence", "total_mm", (F.col("angle") - 40).alias("mm"),
+        F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(3.0).alias("kph"))
+    run = {"travel": lambda d: odometry.travel(d, 0.5, 1000, delay="20 seconds"), "announce": lambda d: odometry.announce(d, 50.0, delay="20 seconds"),
+           "captures": lambda d: odometry.captures(d, {"color": 40.0}, delay="20 seconds")}[kind]
+    second = F.second("ts")
+    closing = df.filter("event_id = 100").withColumns({"device": F.lit(9).cast("long"), "ts": F.to_timestamp(F.lit("2024-01-01 01:00:00"))})
+    for part in (df.filter((second >= 6) & (second < 12)), df.filter(second < 6), df.filter((second >= 18)), df.filter((second >= 12) & (second < 18)), closing):
+        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = run(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in"))
+    stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out").filter("device < 9").orderBy("device", "event_id").collect()
+    want = run(df).orderBy("device", "event_id").collect()
+    assert len(want) > 3 and got == want
+
+
+def test_rerun_best_fits_every_technique(spark):
+    from leafspark.operators import resample, sweep
+    rows = [(i, [float(i % 7), float((i * 13) % 11) + (4.0 if i % 3 == 0 else 0.0), float(i % 5)], int(i % 3 == 0)) for i in range(240)]
+    df = resample.split(spark.createDataFrame(rows, "id long, features array<double>, type int"))
+    runs = [(0, "LDA", "NONE", 0.8, ["a", "b"]), (1, "DECISIONTREE", "SMOTE", 0.9, ["b"]), (2, "DECISIONTREE", "NONE", 0.1, ["a"])]
+    results = spark.createDataFrame(runs, "id long, technique string, correction string, auc double, parameters array<string>")
+    got = {r["technique"]: r for r in sweep.rerun_best(df, results, ["a", "b", "c"]).collect()}
+    assert set(got) == {"LDA", "DECISIONTREE"} and all(r["auc"] > 0.6 for r in got.values())
