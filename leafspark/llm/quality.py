@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafspark.llm.boosting import grow, holds
-from leafspark.llm.shared import pick
+from leafspark.llm.shared import let, pick
 
 #: The bound of the labelled sample that the classifier is fitted on (rows, lowest hashes of doc_id first).
 SAMPLE = 10_000
@@ -89,4 +89,6 @@ def keep_good(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFram
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     stats = statistics(F.col(f"c{names.index(text_col)}"))
-    return plain.select("*", *[c.alias(f"s_{n}") for n, c in stats.items()]).where(rules.score({n: F.col(f"s_{n}") for n in FEATURES}) >= 0.5).select(*plain.columns).toDF(*names)
+    # Without let() the filter would be pushed below the statistics and repeat their patterns for each condition.
+    row = F.struct(*[c.alias(n) for n, c in stats.items()])
+    return plain.where(let(row, lambda s: rules.score({n: s[n] for n in FEATURES})) >= 0.5).toDF(*names)

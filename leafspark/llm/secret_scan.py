@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafspark.llm.shared import pick
+from leafspark.llm.shared import let, pick
 
 #: The fixed patterns: kind, Java pattern, the group whose length counts, least length. Order is the order of kinds.
 KINDS = [
@@ -38,11 +38,6 @@ CLIP = 3.0
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int, guard: Column) -> Column:
     """Array of (start, order, kind, end) of the matches whose group has at least the length; none without the guard."""
     gaps = F.transform(F.split(text, pattern), lambda p: F.length(p))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_folders: dict[str, str] = {}
 
@@ -49,6 +49,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return numbered.select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 
