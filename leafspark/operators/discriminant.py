@@ -1,6 +1,7 @@
 """Linear discriminant from class sums.
 
-One aggregation over the table gives counts, sums and cross products per class. The driver solves a system of the
+Two passes over the table give the mean and, about it, counts, sums and cross products per class (large means cancel
+nothing). The driver solves a system of the
 size of the factor list, and rows are scored by a Column. Any subset of factors can be solved from the same sums,
 so a sweep over factor combinations reads the training rows once.
 """
@@ -8,9 +9,10 @@ so a sweep over factor combinations reads the training rows once.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +21,32 @@ class ClassSums:
     """Counts, means and the pooled covariance of two classes."""
 
     def __init__(self, train: DataFrame, dims: int):
-        x = [F.element_at("features", i + 1) for i in range(dims)]
-        cross = [F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)]
-        rows = train.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *cross).collect()
-        by_class = {r["type"]: r for r in rows}
-        if set(by_class) != {0, 1}:
+        center = train.agg(F.array(*[F.avg(F.element_at("features", i + 1)) for i in range(dims)])).first()[0]
+        if center is None or None in center:
             raise ValueError("training rows of both classes are needed")
-        self.n = [by_class[t]["n"] for t in (0, 1)]
-        self.means = [np.array([by_class[t][f"s{i}"] for i in range(dims)]) / self.n[t] for t in (0, 1)]
-        pooled = np.zeros((dims, dims))
-        for t in (0, 1):
-            for i in range(dims):
-                for j in range(i, dims):
-                    value = by_class[t][f"c{i}_{j}"] - self.n[t] * self.means[t][i] * self.means[t][j]
-                    pooled[i, j] += value
-                    pooled[j, i] = pooled[i, j]
+        center = np.array(center)
+
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, dims + 1, dims + 1))
+            for frame in batches:
+                x = np.array(frame.features.tolist(), dtype=float).reshape(len(frame), -1)[:, :dims] - center
+                x = np.concatenate((np.ones((len(x), 1)), x), 1)
+                for t in (0, 1):
+                    rows = x[frame.type.to_numpy() == t]
+                    total[t] += rows.T @ rows
+            yield pd.DataFrame({"type": [0, 1], "m": list(total.reshape(2, -1))})
+        # Each task leaves one matrix a class; they are added by place, so the driver gets two matrices.
+        parts = train.select("features", "type").mapInPandas(gather, "type int, m array<double>").select("type", F.posexplode("m").alias("at", "v"))
+        total = np.zeros((2, (dims + 1) ** 2))
+        for r in parts.groupBy("type", "at").agg(F.sum("v").alias("v")).collect():
+            total[r["type"], r["at"]] = r["v"]
+        total = total.reshape(2, dims + 1, dims + 1)
+        self.n = [int(round(total[t, 0, 0])) for t in (0, 1)]
+        if not all(self.n):
+            raise ValueError("training rows of both classes are needed")
+        own = [total[t, 0, 1:] / self.n[t] for t in (0, 1)]
+        self.means = [m + center for m in own]
+        pooled = sum(total[t, 1:, 1:] - self.n[t] * np.outer(own[t], own[t]) for t in (0, 1))
         self.covariance = pooled / (sum(self.n) - 2)
 
     def solve(self, picked: Sequence[int] | None = None) -> tuple[np.ndarray, float]:

@@ -8,7 +8,9 @@ from leafspark.functions import rules
 from leafspark.operators import discriminant, models, neighbors, resample, selection, shape, sweep
 from leafspark.plans.registry import query, r6
 
-DIMS = 8
+DIMS = 64
+#: The factors that the sweeps combine; a sweep over all would fit 41,664 triples.
+SWEPT = 8
 NAMES = [f"e{i}" for i in range(DIMS)]
 HASH = "(('0x'||substr(md5(concat({0},':',{1})),1,8))::bigint/4294967296.0)"
 SPLIT = f", sp as (select *, {HASH.format('id', 42)}<0.4 is_train from vectors)"
@@ -37,7 +39,7 @@ def complement(df):
         F.count_if(F.col("t") == 1).alias("train"), F.count_if(F.col("t") == 0).alias("test"))
 
 
-query("ml2_scaler", "vectors", SPLIT + """, st as (select i, avg(features[i]) filter (is_train) m, stddev_pop(features[i]) filter (is_train) s from sp, range(1,9) t(i) group by i)
+query("ml2_scaler", "vectors", SPLIT + """, st as (select i, avg(features[i]) filter (is_train) m, stddev_pop(features[i]) filter (is_train) s from sp, range(1,65) t(i) group by i)
  select id, cast(i-1 as int) pos, """ + r6("(features[i]-m)/s") + ' as "value" from sp join st on true')(
     lambda v: scale(resample.split(v.vectors)).select("id", F.posexplode("features").alias("pos", "value")))
 
@@ -179,10 +181,15 @@ query("ml32_all_selectors", "vectors")(lambda v: selection.all_selectors(v.vecto
 query("ml17_registry", "vectors")(lambda v: models.assess(trained(two_classes(v), "DECISIONTREE")).withColumn("technique", F.lit("DECISIONTREE")))
 
 
+def swept(df):
+    return df.withColumn("features", F.slice("features", 1, SWEPT))
+
+
 @query("ml33_sweep", "vectors")
 def _(v):
     df = two_classes(v)
-    return sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 3)
+    df = swept(df)
+    return sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES[:SWEPT], 3)
 
 
 query("ml33_sweep_techniques", "vectors")(lambda v: sweep.sweep(
@@ -193,8 +200,10 @@ query("ml34_imbalance_grid", "vectors")(lambda v: sweep.imbalance_grid(two_class
 @query("ml35_rerun_best", "vectors")
 def _(v):
     df = two_classes(v)
-    results = sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 2)
-    return sweep.rerun_best(df, results, NAMES)
+    df = swept(df)
+    results = sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES[:SWEPT], 2)
+    others = sweep.sweep(df, [(0, 1), (2, 3)], NAMES[:SWEPT], ["DECISIONTREE", "LOGISTIC"], ["NONE", "SMOTE"]).withColumn("id", F.col("id") + 1000)
+    return sweep.rerun_best(df, results.unionByName(others), NAMES[:SWEPT])
 
 
 # Pluggable parts.

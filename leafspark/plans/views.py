@@ -118,10 +118,10 @@ class Views:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """id, features (8 doubles), type: a small numeric training set."""
+        """id, features (all 64 doubles of a vector), type: a numeric training set."""
         t = self.table("embeddings")
         return t.select(F.col("vec_id").alias("id"),
-                        F.transform(F.slice("embedding", 1, 8), lambda e: e.cast("double")).alias("features"),
+                        F.transform("embedding", lambda e: e.cast("double")).alias("features"),
                         F.when(F.col("label") < 2, 0).otherwise(1).alias("type"))
 
     @cached_property
@@ -206,7 +206,7 @@ blobs as (select image_id, blob_id, x, y, w, h, w*h area, x+w//2 cx, y+h//2 cy,
   l_linenumber number, l_quantity hue, l_discount saturation_mean, l_tax in_phase, l_extendedprice/1000 shape_index,
   cast(l_partkey%100 as double) compactness, case when l_returnflag='R' then 1 else 0 end as "type",
   case when l_linestatus='F' then 1 else 0 end actual from lineitem)""",
-    "vectors": """vectors as (select vec_id id, list_transform(embedding[1:8], lambda e: cast(e as double)) features,
+    "vectors": """vectors as (select vec_id id, list_transform(embedding, lambda e: cast(e as double)) features,
   case when label<2 then 0 else 1 end as "type" from embeddings)""",
     "predictions": f"""predictions as (select {_list_sql(TECHNIQUES)}[l_linenumber%4+1] technique, l_orderkey image_id,
   l_partkey blob_id, case when l_returnflag='R' then 1 else 0 end as "type",

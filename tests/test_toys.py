@@ -552,3 +552,15 @@ def test_rerun_best_fits_every_technique(spark):
     results = spark.createDataFrame(runs, "id long, technique string, correction string, auc double, parameters array<string>")
     got = {r["technique"]: r for r in sweep.rerun_best(df, results, ["a", "b", "c"]).collect()}
     assert set(got) == {"LDA", "DECISIONTREE"} and all(r["auc"] > 0.6 for r in got.values())
+
+
+def test_class_sums_with_large_means(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5)) + 1e8
+    y = (x[:, 0] - 1e8 + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, list(map(float, x[i])), int(y[i])) for i in range(300)], "id long, features array<double>, type int").repartition(3)
+    sums = discriminant.ClassSums(df, 5)
+    want = sum((x[y == t] - x[y == t].mean(0)).T @ (x[y == t] - x[y == t].mean(0)) for t in (0, 1)) / 298
+    assert np.allclose(sums.covariance, want, rtol=1e-6, atol=1e-6) and sums.n == [int((y == 0).sum()), int((y == 1).sum())]
+    with pytest.raises(ValueError):
+        discriminant.ClassSums(df.filter("type = 0"), 5)
