@@ -161,8 +161,9 @@ WIDTH, SIMILARITY, WIDE_RADIUS = 5, 0.8, 24
 BANDS, ROWS = 10, 3
 #: Least shingle hashes that a document's similarity is measured by; exact for texts of no more shingles.
 SKETCH = 1024
-#: Cells are dealt in parts of at most about so many documents.
-PART = 512
+#: Cells over so many documents are divided in parts: up to SPLITS of them, more only where a part would hold over
+#: SPLITS * PART documents or PART_BYTES of sketches. Every two parts of a cell meet in a block.
+PART, SPLITS, PART_BYTES = 512, 8, 16 << 20
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(1, 1 << 63, (ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -203,50 +204,60 @@ def similarity_of(a: bytes, b: bytes) -> float:
     return int(twice[seen[1:] <= SKETCH].sum()) / min(SKETCH, union)
 
 
-def _similar_in_parts(similarity: float):
-    """Sorted by (cell, part): links of a spanning forest, and one document of each tree with itself if the cell has
-    other parts."""
-    def judged(cell, many, key, fp, sketch):
-        spot = np.cumsum(np.concatenate(([0], (cell[1:] != cell[:-1]).astype(np.int64))))
+def _similar_in_blocks(similarity: float):
+    """Sorted by (cell, block): the links of a spanning forest of each block."""
+    def judged(values):
+        spots, key, fp, sketch = values
+        if not len(key):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        spot = np.cumsum(np.concatenate(([0], (spots[1:] != spots[:-1]).any(1).astype(np.int64))))
         a, b = forest(spot, fp, WIDE_RADIUS, lambda i, j: similarity_of(sketch[i], sketch[j]) >= similarity - 1e-9)
-        tree = np.ones(len(key), bool)
-        tree[np.maximum(a, b)] = False  # what stays true has no smaller neighbour: at least one of each tree
-        stay = np.flatnonzero(tree & many)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((cell[a], cell[stay]))), pa.array(np.concatenate((key[a], key[stay]))), pa.array(np.concatenate((key[b], key[stay])))], ["cell", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
-            cell, part, parts, key, fp = (batch.column(i).to_numpy() for i in range(5))
-            now = [np.stack((cell, part), 1), parts > 1, key, fp, np.array(batch.column(5).to_pylist() + [None], object)[:-1]]
+            cell, block, key, fp = (batch.column(i).to_numpy() for i in range(4))
+            now = [np.stack((cell, block), 1), key, fp, np.array(batch.column(4).to_pylist() + [None], object)[:-1]]
             now = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
             if not len(now[0]):
                 continue
             spots = now[0]
             last = int(np.flatnonzero((spots != spots[-1]).any(1))[-1]) + 1 if (spots != spots[-1]).any() else 0
-            yield from _by_spot(judged, [v[:last] for v in now])
-            held = [v[last:] for v in now]
+            yield judged([v[:last] for v in now])
+            held = [v[last:] for v in now]  # the last block may go on in the next batch
         if held is not None:
-            yield from _by_spot(judged, held)
+            yield judged(held)
     return run
 
 
-def _by_spot(judged, values):
-    spots = values[0]
-    if len(spots):
-        number = np.cumsum(np.concatenate(([0], (spots[1:] != spots[:-1]).any(1).astype(np.int64))))
-        out = judged(number, *values[1:])
-        yield out.set_column(0, "cell", pa.array(spots[:, 0][np.searchsorted(number, out.column(0).to_numpy())]))
+def blocks(members: DataFrame) -> DataFrame:
+    """(key, cell, block) of members (key, cell, size in bytes): a block for every two parts of a cell, so that every two
+    members of a cell meet in some block. Cells of one member are left out."""
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    least = F.greatest(F.least(F.ceil(F.col("n") / PART), F.lit(SPLITS)), F.ceil(F.col("n") / (SPLITS * PART)), F.ceil(F.col("bytes") / PART_BYTES))
+    parts = sizes.select("cell", F.least("n", least).cast("long").alias("parts"))
+    dealt = members.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("cell", "key"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    return dealt.withColumn("other", F.explode(others)).select("key", "cell", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("block"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = 6) -> DataFrame:
+def similar_links(members: DataFrame, profiles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that have the components of all pairs of similar texts that share a cell. members: (key, cell, size),
+    profiles: (own, fp, sketch) of each key."""
+    dealt = blocks(members)
+    full = dealt.join(profiles, dealt.key == profiles.own).select("cell", "block", "key", "fp", "sketch")
+    return full.repartition("cell", "block").sortWithinPartitions("cell", "block", "fp").mapInArrow(_similar_in_blocks(similarity), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row: groups of texts whose five-word shingles are similar.
 
     Words as for near_duplicates; a text of fewer than five words is one shingle. Pairs that share a cell key are
     compared by their distances to the references, then by their bits, then by their shingles. A cell of very many
-    documents is dealt in parts; one document of each tree of a part meets those of the others in the next round, in
-    parts dealt anew. Equal texts are merged first; texts without words are one group; null counts as empty. A null
-    doc_id is a component_id only if its group has no other.
+    documents is divided in parts, and every part is compared with every other one; only links of spanning forests leave
+    the tasks. Equal texts are merged first; texts without words are one group; null counts as empty. A null doc_id is a
+    component_id only if its group has no other.
     """
     src = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
@@ -257,23 +268,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(np.frombuffer(b"".join(r[1] for r in rows), ">i8").astype(np.int64)),
                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "key", "fp", "cells", "sketch"])
     rows = write_table(src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, fp long, cells array<long>, sketch binary"), "similar-rows")
-    members = rows.select("key", F.explode("cells").alias("cell")).distinct()
-    sketches = rows.select(F.col("key").alias("own"), "fp", "sketch").dropDuplicates(["own"])
-    edges = []
-    for turn in range(rounds):
-        sizes = members.groupBy("cell").count().where("count > 1")
-        dealt = members.join(sizes, "cell").withColumn("parts", F.ceil(F.col("count") / PART).cast("long")).withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("parts")))
-        full = dealt.join(sketches, dealt.key == sketches.own).select("cell", "part", "parts", "key", "fp", "sketch")
-        found = full.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp").mapInArrow(_similar_in_parts(similarity), "cell long, a long, b long")
-        found = write_table(found, "similar-links")
-        edges.append(found.where("a <> b").select("a", "b"))
-        members = found.where("a = b").select(F.col("a").alias("key"), "cell")
-        if members.isEmpty():
-            break
-    links_ = edges[0]
-    for more in edges[1:]:
-        links_ = links_.union(more)
-    roots = components(links_, "similar-components")
+    members = rows.select("key", F.length("sketch").alias("size"), F.explode("cells").alias("cell")).distinct()
+    profiles = rows.select(F.col("key").alias("own"), "fp", "sketch").dropDuplicates(["own"])
+    roots = components(similar_links(members, profiles, similarity), "similar-components")
     own = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
     own = own.join(roots, own.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"))
     named = own.join(own.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("key").alias("own"), "component_id")

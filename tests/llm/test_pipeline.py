@@ -49,6 +49,22 @@ def test_similar_documents(spark, monkeypatch, part):
     assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_hub_of_a_divided_cell(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 301):
+        w = list(base)
+        for k in rng.sample(range(20), 4):
+            w[10 * k + 5] = f"x{n}y{k}"
+        rows.append((n, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    assert all(similar(sets[0], s) for s in sets) and not any(similar(a, b) for a in sets[1:40] for b in sets[1:40] if a is not b)
+    monkeypatch.setattr(simhash, "PART", 32)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
