@@ -65,6 +65,23 @@ def test_hub_of_a_divided_cell(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_pairs_of_a_hot_cell(spark, monkeypatch):
+    passage = [f"p{k}" for k in range(100)]
+    texts = []
+    for n in range(400):
+        w = passage + [f"x{n}y{k}" for k in range(100)]
+        texts += [" ".join(w), " ".join(w[:-1] + ["other"])] if n < 20 else [" ".join(w)]
+    made = [simhash.profile_of(t.encode()) for t in texts]
+    profiles = spark.createDataFrame([(r[0], int.from_bytes(r[1], "big", signed=True), bytearray(r[3])) for r in made], "own long, fp long, sketch binary")
+    members = profiles.selectExpr("own AS key", "length(sketch) AS size", "7L AS cell")
+    want = {frozenset((made[2 * n][0], made[2 * n + 1][0])) for n in range(20)}
+    for part, splits, size in ((8, 8, 1 << 20), (512, 8, 1 << 20), (2, 3, 1 << 20), (512, 8, 5000)):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "SPLITS", splits)
+        monkeypatch.setattr(simhash, "PART_BYTES", size)
+        assert {frozenset(r) for r in simhash.similar_links(members, profiles).collect()} == want
+
+
 def test_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
