@@ -75,8 +75,9 @@ def cells(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "cell long, fp long")
 
 
-def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept=None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as places, of the links within each cell; cell is sorted. accept(i, j) judges survivors."""
+def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept=None, likely=None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places, of the links within each cell; cell is sorted. accept(i, j) judges what survives the
+    bits and likely(many i, many j)."""
     same = np.flatnonzero(cell[1:] == cell[:-1])
     use = np.unique(np.concatenate((same, same + 1)))
     cell, fp = cell[use], fp[use]
@@ -92,6 +93,8 @@ def forest(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS, accept=None)
         near = place[root[place] != root[place + step]]
         near = near[np.abs(table[near] - table[near + step]).max(1) <= radius] if len(near) else near
         near = near[np.bitwise_count(word[near] ^ word[near + step]) <= radius]
+        if likely is not None and len(near):
+            near = near[likely(use[near], use[near + step])]
         for i in near.tolist():
             a, b = i, i + step
             while root[a] != a:
@@ -159,18 +162,18 @@ WIDTH, SIMILARITY, WIDE_RADIUS = 5, 0.8, 24
 #: Cells for pairs that lie farther apart than RADIUS: BANDS keys of ROWS least shingle hashes each. A pair at the least
 #: similarity shares some key with a chance of 1 - (1 - 0.8 ** 3) ** 10 = 0.999.
 BANDS, ROWS = 10, 3
-#: Least shingle hashes that a document's similarity is measured by; exact for texts of no more shingles.
-SKETCH = 1024
 #: Cells over so many documents are divided in parts: up to SPLITS of them, more only where a part would hold over
 #: SPLITS * PART documents or PART_BYTES of sketches. Every two parts of a cell meet in a block.
 PART, SPLITS, PART_BYTES = 512, 8, 16 << 20
+#: Bits of the parity marks that bound how many shingles two texts do not share.
+MARK = 1024
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(1, 1 << 63, (ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def profile_of(text: bytes) -> tuple[int, bytes, list[int], bytes]:
-    """(key, fingerprint, cell keys, sketch) of a text's distinct five-word shingles."""
+    """(key, fingerprint, cell keys, sketch) of a text's distinct five-word shingles; the sketch has them all, by 32 bits."""
     from xxhash import xxh64_digest, xxh64_intdigest
     words = text.lower().split()
     joined = b" ".join(words)
@@ -187,21 +190,23 @@ def profile_of(text: bytes) -> tuple[int, bytes, list[int], bytes]:
         np.minimum(least, (part[:, None] * _FACTORS).min(0), out=least)
         counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     keys = (least.reshape(BANDS, ROWS).T * _MIX).sum(0, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
     return key, np.packbits(2 * counts > len(hashes)).tobytes(), keys.view(np.int64).tolist(), sketch.tobytes()
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
-    """The shared part of the SKETCH least hashes of both texts together: all of them, for texts of fewer shingles."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.concatenate((x, y))
+    """The shared part of the shingle hashes of both texts together."""
+    both = np.concatenate((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
     both.sort()
-    twice = both[1:] == both[:-1]
-    union = len(both) - int(twice.sum())
-    if len(x) < SKETCH and len(y) < SKETCH:
-        return (len(both) - union) / union
-    seen = np.cumsum(np.concatenate(([True], ~twice)))  # how many different ones up to here
-    return int(twice[seen[1:] <= SKETCH].sum()) / min(SKETCH, union)
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def marks_of(sketches: list[bytes]) -> np.ndarray:
+    """A row of MARK bits a sketch: which places an odd number of its hashes has. Two rows differ in no more bits than
+    there are hashes in only one of the sketches."""
+    rows = [np.packbits(np.bincount(np.frombuffer(s, np.uint32) % MARK, minlength=MARK).astype(np.uint8) & 1) for s in sketches]
+    return np.array(rows, np.uint8).reshape(len(rows), MARK // 8).view(np.uint64)
 
 
 def _similar_in_blocks(similarity: float):
@@ -211,7 +216,13 @@ def _similar_in_blocks(similarity: float):
         if not len(key):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
         spot = np.cumsum(np.concatenate(([0], (spots[1:] != spots[:-1]).any(1).astype(np.int64))))
-        a, b = forest(spot, fp, WIDE_RADIUS, lambda i, j: similarity_of(sketch[i], sketch[j]) >= similarity - 1e-9)
+        marks, sizes = marks_of(sketch), np.array([len(s) for s in sketch]) // 4
+
+        def likely(i, j):
+            both = sizes[i] + sizes[j]
+            apart = np.maximum(np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64), np.abs(sizes[i] - sizes[j]))
+            return (both - apart) >= (similarity - 1e-9) * (both + apart)
+        a, b = forest(spot, fp, WIDE_RADIUS, lambda i, j: similarity_of(sketch[i], sketch[j]) >= similarity - 1e-9, likely)
         return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
     def run(batches):

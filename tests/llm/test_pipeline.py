@@ -82,6 +82,21 @@ def test_pairs_of_a_hot_cell(spark, monkeypatch):
         assert {frozenset(r) for r in simhash.similar_links(members, profiles).collect()} == want
 
 
+def test_long_texts_near_the_threshold(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for n in range(24):
+        w = [f"b{n}w{k}" for k in range(3000)]
+        changed = list(w)
+        for k in rng.sample(range(599), 66 + n % 2):  # similarity 0.8016 or 0.7989
+            changed[5 * k + 4] = f"c{n}w{k}"
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(changed))]
+        assert similar(shingles(rows[-1][1]), shingles(rows[-2][1])) == (n % 2 == 0)
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n + n % 2}
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_stages_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
