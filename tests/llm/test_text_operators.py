@@ -88,6 +88,23 @@ def test_pii_thresholds_keep_precision():
     assert pii.fit(x, np.zeros(400)).limits["email"] == float("inf")
 
 
+def test_pii_adds_forms_that_the_patterns_miss(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    number = lambda: f"{rng.integers(10, 99)} {rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)}"
+    rows = [(i, f"{word()} mail {word()}@{word()}.com {word()} call +{number()} {word()} look at {word()} {word()} order {rng.integers(10**8, 10**9)} of {word()}") for i in range(600)]
+    model = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    hits = {"email": 0, "phone": 0}
+    for _ in range(40):
+        for kind, lead, form in (("email", "mail", f"{word()} at {word()} dot com"), ("phone", "call", number())):
+            text = f"{word()} {lead} {form} {word()}"
+            at = text.index(form)
+            hits[kind] += (kind, at, at + len(form)) in pii.judge([text], [pii.base_spans(text)], model)[0]
+    assert min(hits.values()) >= 36, hits
+    run = "030 1234567 0171 7654321 040 555666"
+    assert {("phone", 0, 11), ("phone", 12, 24), ("phone", 25, 35)} <= set(pii.candidates(run))
+
+
 KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
          ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
 
