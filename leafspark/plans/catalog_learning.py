@@ -174,10 +174,10 @@ query("ml27_univariate", "vectors", f""", lx as ({ML27}), cx as (select factor,
     lambda v: selection.univariate(v.vectors, NAMES))
 query("ml28_pca", "vectors")(lambda v: selection.pca(v.vectors, NAMES))
 query("ml29_importance", "vectors")(lambda v: selection.importance(v.vectors, NAMES, trees=10))
-query("ml30_recursive", "vectors")(lambda v: selection.recursive(v.vectors, NAMES, trees=10))
+query("ml30_recursive", "vectors")(lambda v: selection.recursive(v.vectors, NAMES))
 query("ml31_variance", "vectors", f""", lx as ({ML27}) select factor, {r6('var_pop(x)')} score from lx group by factor""")(
     lambda v: selection.variance(v.vectors, NAMES))
-query("ml32_all_selectors", "vectors")(lambda v: selection.all_selectors(v.vectors, NAMES, {"Importance": {"trees": 10}, "Recursive": {"trees": 5}}))
+query("ml32_all_selectors", "vectors")(lambda v: selection.all_selectors(v.vectors, NAMES))
 query("ml17_registry", "vectors")(lambda v: models.assess(trained(two_classes(v), "DECISIONTREE")).withColumn("technique", F.lit("DECISIONTREE")))
 
 

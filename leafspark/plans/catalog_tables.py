@@ -241,6 +241,15 @@ MONTHS = ["1996-01-01", "1997-06-01", "1998-12-01"]
 query("agg12_unstack", "season", ' select "type", ' + ", ".join(
     f"{r6(f'avg(hue) filter ({chr(34)}date{chr(34)}=date {chr(39)}{m}{chr(39)})', 4)} \"{m}\"" for m in MONTHS) + ' from season group by "type"', places=4)(
     lambda v: timeseries.unstack(timeseries.season_means(v.season, ["hue"]).withColumn("date", F.col("date").cast("string")), "hue", MONTHS))
+
+
+@query("agg12_unstack_all", "season")
+def _(v):
+    """Every date of the season table, found first: a column a day, a few hundred a year."""
+    means = timeseries.season_means(v.season, ["hue"]).withColumn("date", F.col("date").cast("string"))
+    return timeseries.unstack(means, "hue", [r["date"] for r in means.select("date").where("date is not null").distinct().orderBy("date").collect()])
+
+
 DF = ", sm as (" + " union all ".join(f"select \"type\", \"date\", '{f}' factor, avg({f}) val from season group by \"type\", \"date\"" for f in ["hue", "saturation_mean"]) + """),
  sl as (select *, lag(val) over (partition by "type", factor order by "date") lv from sm), sd as (select *, val-lv ch from sl where lv is not null),
  ft as (select "type", factor, count(*) n, regr_sxx(ch,lv) sxx, regr_sxy(ch,lv) sxy, regr_syy(ch,lv) syy from sd group by all),
