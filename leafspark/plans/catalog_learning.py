@@ -9,8 +9,6 @@ from leafspark.operators import discriminant, models, neighbors, resample, selec
 from leafspark.plans.registry import query, r6
 
 DIMS = 64
-#: The factors that the sweeps combine; a sweep over all would fit 41,664 triples.
-SWEPT = 8
 NAMES = [f"e{i}" for i in range(DIMS)]
 HASH = "(('0x'||substr(md5(concat({0},':',{1})),1,8))::bigint/4294967296.0)"
 SPLIT = f", sp as (select *, {HASH.format('id', 42)}<0.4 is_train from vectors)"
@@ -181,15 +179,10 @@ query("ml32_all_selectors", "vectors")(lambda v: selection.all_selectors(v.vecto
 query("ml17_registry", "vectors")(lambda v: models.assess(trained(two_classes(v), "DECISIONTREE")).withColumn("technique", F.lit("DECISIONTREE")))
 
 
-def swept(df):
-    return df.withColumn("features", F.slice("features", 1, SWEPT))
-
-
 @query("ml33_sweep", "vectors")
 def _(v):
     df = two_classes(v)
-    df = swept(df)
-    return sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES[:SWEPT], 3)
+    return sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 3)
 
 
 query("ml33_sweep_techniques", "vectors")(lambda v: sweep.sweep(
@@ -200,10 +193,9 @@ query("ml34_imbalance_grid", "vectors")(lambda v: sweep.imbalance_grid(two_class
 @query("ml35_rerun_best", "vectors")
 def _(v):
     df = two_classes(v)
-    df = swept(df)
-    results = sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES[:SWEPT], 2)
-    others = sweep.sweep(df, [(0, 1), (2, 3)], NAMES[:SWEPT], ["DECISIONTREE", "LOGISTIC"], ["NONE", "SMOTE"]).withColumn("id", F.col("id") + 1000)
-    return sweep.rerun_best(df, results.unionByName(others), NAMES[:SWEPT])
+    results = sweep.discriminant_sweep(df.filter("is_train"), df.filter("not is_train"), NAMES, 2)
+    others = sweep.sweep(df, [(0, 1), (2, 3)], NAMES, ["DECISIONTREE", "LOGISTIC"], ["NONE", "SMOTE"]).withColumn("id", F.col("id") + 1000)
+    return sweep.rerun_best(df, results.unionByName(others), NAMES)
 
 
 # Pluggable parts.

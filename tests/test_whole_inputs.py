@@ -3,7 +3,7 @@
 import inspect
 
 from leafspark.operators import selection
-from leafspark.plans import catalog, catalog_tables
+from leafspark.plans import catalog, catalog_learning, catalog_tables
 
 
 def test_unstack_has_every_date(spark, views):
@@ -19,3 +19,18 @@ def test_recursive_selectors_use_the_default_trees(spark, views, monkeypatch):
     catalog.QUERIES["ml32_all_selectors"](spark, "/root/testdata/sf0.001")
     defaults = [inspect.signature(f).parameters["trees"].default for f in (selection.recursive, selection.importance)]
     assert defaults == [100, 10] and seen.count(100) == 2 * 63 and seen.count(10) == 1 and len(seen) == 127
+
+
+def test_sweeps_combine_all_factors(spark, monkeypatch):
+    seen = []
+    real = catalog_learning.sweep.discriminant_sweep
+
+    def noted(train, test, names, k):
+        seen.append((len(names), k))
+        return real(train, test, names, k)
+    monkeypatch.setattr(catalog_learning.sweep, "discriminant_sweep", noted)
+    monkeypatch.setattr(catalog_learning.sweep, "sweep", lambda df, *_: spark.createDataFrame([], real(df, df, ["a", "b"], 1).schema))
+    monkeypatch.setattr(catalog_learning.sweep, "rerun_best", lambda df, results, names: results)
+    catalog.QUERIES["ml33_sweep"](spark, "/root/testdata/sf0.001")
+    pairs = catalog.QUERIES["ml35_rerun_best"](spark, "/root/testdata/sf0.001")
+    assert seen == [(64, 3), (64, 2)] and pairs.count() == 2016
