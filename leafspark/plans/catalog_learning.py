@@ -74,6 +74,11 @@ def lda(df):
     return discriminant.fit_score(two.filter("is_train"), two.filter("not is_train"), 2).select("id", "score", "prediction")
 
 
+def lda_all(df):
+    return discriminant.fit_score(df.filter("is_train"), df.filter("not is_train"), DIMS)
+
+
+query("ml10_lda_all", "vectors")(lambda v: lda_all(resample.split(v.vectors)).select("id", "score", "prediction"))
 query("ml18_create_imbalance", "vectors", f""", c as (select count(*) filter ("type"=0) crop, count(*) filter ("type"=1) weed from vectors)
  select id, "type" from vectors, c where "type"<>1 or {HASH.format('id', 42)}<=crop/(2/cast(1 as double))/weed""")(
     lambda v: resample.create_imbalance(v.vectors, 2, 1).select("id", "type"))
@@ -143,6 +148,15 @@ def assessed(df):
     return models.assess(models.technique("LDA", 2).fit(two.filter("is_train"))(two.filter("not is_train")), compat=True)
 
 
+query("ml14_assess_all", "vectors")(lambda v: models.assess(lda_all(two_classes(v)), compat=True))
+
+
+@query("ml15_score_rows_all", "vectors")
+def _(v):
+    df = two_classes(v)
+    edge = F.col("id") % 10 == 0
+    rows = df.filter("not is_train").withColumn("reason", F.when(edge, rules.REASON_AT_EDGE).otherwise(0)).withColumn("type", F.when(edge, rules.UNKNOWN).otherwise(F.col("type")))
+    return models.score_rows(models.technique("LDA", DIMS).fit(df.filter("is_train")), rows, reason=9).select("id", "type", "reason")
 
 
 @query("ml15_score_rows", "vectors", LDA + """ select id, case when id%10=0 then 4 else cast(score>0.5 as int) end "type", case when id%10=0 then 1 else 9 end reason from ld""")

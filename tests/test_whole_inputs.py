@@ -2,7 +2,9 @@
 
 import inspect
 
-from leafspark.operators import selection
+import numpy as np
+
+from leafspark.operators import resample, selection
 from leafspark.plans import catalog, catalog_learning, catalog_tables
 
 
@@ -34,3 +36,20 @@ def test_sweeps_combine_all_factors(spark, monkeypatch):
     catalog.QUERIES["ml33_sweep"](spark, "/root/testdata/sf0.001")
     pairs = catalog.QUERIES["ml35_rerun_best"](spark, "/root/testdata/sf0.001")
     assert seen == [(64, 3), (64, 2)] and pairs.count() == 2016
+
+
+def test_discriminants_of_all_factors(spark, views):
+    rows = resample.split(views.vectors).select("id", "type", "features", "is_train").collect()
+    train = [r for r in rows if r["is_train"]]
+    x = {t: np.array([r["features"] for r in train if r["type"] == t], float) for t in (0, 1)}
+    mean = {t: x[t].mean(0) for t in x}
+    pooled = sum((x[t] - mean[t]).T @ (x[t] - mean[t]) for t in x) / (len(train) - 2)
+    w = np.linalg.solve(pooled, mean[1] - mean[0])
+    offset = np.log(len(x[1]) / len(x[0])) - 0.5 * (mean[0] + mean[1]) @ w
+    want = {r["id"]: 1 / (1 + np.exp(-(np.array(r["features"], float) @ w + offset))) for r in rows if not r["is_train"]}
+    got = {r["id"]: r for r in catalog.QUERIES["ml10_lda_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i]["score"] - want[i]) < 1e-5 for i in want)
+    scores = catalog.QUERIES["ml14_assess_all"](spark, "/root/testdata/sf0.001").first()
+    assert scores["tp"] + scores["fp"] + scores["tn"] + scores["fn"] == len(want)
+    typed = {r["id"]: r["type"] for r in catalog.QUERIES["ml15_score_rows_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert all(typed[i] == (4 if i % 10 == 0 else got[i]["prediction"]) for i in want)
