@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_folders: dict[str, str] = {}
+_seen: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, a part of its own for this application.
 
-    Only a local session without that setting gets a folder of this machine; a cluster without it is an error.
+    Only a local session without that setting gets a folder of this machine; a cluster without it is an error. The
+    part is removed when the application ends, so written tables are for the application that wrote them.
     """
     app = spark.sparkContext.applicationId
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folders.get(app)
@@ -21,7 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="leafspark-")
-    return f"{folder.rstrip('/')}/llm-{app}"
+    path = f"{folder.rstrip('/')}/llm-{app}"
+    if path not in _seen:  # removed when the driver's JVM ends
+        _seen.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return path
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

@@ -199,3 +199,28 @@ def test_leaks(spark):
     assert len(want) > 25
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(data, none).count() == 0 and decontam.find_leaks(data.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 40, 2_000])
+def test_exact_copies_in_small_pieces(spark, piece):
+    """Subtrees that are cut early and tries of few rows give the same groups; survivors and groups agree."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(5))) for _ in range(300)]
+    rows = [(i % 250 if i % 7 else None, t) for i, t in enumerate(texts)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(exact_dedup.normalised(t.encode()), []).append(i)
+    low = {k: min([i for i in v if i is not None], default=None) for k, v in groups.items()}
+    docs = frame(spark, rows).repartition(5)
+    got = exact_dedup.exact_groups(docs, piece=piece).collect()
+    want = Counter((i, low[k], len(groups[k]), hashlib.sha256(k).hexdigest()) for k in groups for i in groups[k])
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sorted(r["text_sha256"] for r in got if r["kept"]) == sorted(hashlib.sha256(k).hexdigest() for k in groups)
+    kept = exact_dedup.survivors(docs, piece=piece).collect()
+    assert Counter((exact_dedup.normalised(r["text"].encode()), r["doc_id"]) for r in kept) == Counter(low.items())
+
+
+def test_normalised_bytes():
+    for text in ["", " ", "a", " a", "a \t\nb ", "\x1c a\x85b   ", "\x0b\x0c", "é  é"]:
+        assert exact_dedup.normalised(text.encode()).decode() == __import__("re").sub("[\x20\x09-\x0D]+", " ", text)
+    assert exact_dedup.normalised(None) == b""
