@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, decontam, exact_dedup, pii, quality, secret_scan, simhash, toxicity, url_filter, warc
+from leafspark.llm import bpe, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op4(spark, folder):
 def op7(spark, folder):
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
+@query("op13_source_mix")
+def op13(spark, folder):
+    return mixing.mix_report(table(spark, folder, "documents"))
