@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter, warc
+from leafspark.llm import bpe, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op7(spark, folder):
 @query("op13_source_mix")
 def op13(spark, folder):
     return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
