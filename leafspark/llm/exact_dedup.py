@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from leafspark.llm.shared import pick, write_table
 
 #: Bytes of rows that share the first trie of a task, and bytes after which a subtree is written out early.
-PIECE_BYTES = 32_000_000
+PIECE_BYTES = 12_000_000
 #: Leading bits of the content hash that make a subtree of one length.
 PREFIX_BITS = 8
 
