@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspark.llm import bpe, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter, warc, whitening
+from leafspark.llm import alignment, bpe, decontam, exact_dedup, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ def op13(spark, folder):
 @query("op11_whitening")
 def op11(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    return alignment.align_documents(table(spark, folder, "documents"), bpe.rank_file("byte_bpe_50k.json"), bpe.rank_file("piece_bpe_32k.model"))
