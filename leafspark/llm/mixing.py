@@ -13,6 +13,7 @@ bounded (a parameter); documents, blocks and slots are not.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from leafspark.llm.shared import pick, write_table
 
 #: Words in a block, slots in an output shard.
 BLOCK, SHARD = 128, 4096
-#: Documents of one source that are numbered in one window.
-CHUNK = 20_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -183,7 +182,7 @@ def _placed(sizes: DataFrame, plan: list[dict]) -> DataFrame:
     """
     spark = sizes.sparkSession
     named = spark.createDataFrame([(p["source"], i) for i, p in enumerate(plan)], f"of {sizes.schema['source'].dataType.simpleString()}, s long")
-    chunks = max([1, *(p["docs"] // CHUNK for p in plan)])
+    chunks = math.isqrt(max([1, *(p["docs"] for p in plan)]))  # as many as documents in each, for the largest source
     rows = sizes.join(F.broadcast(named), sizes["source"].eqNullSafe(named["of"])).drop("of", "source").withColumn("chunk", F.pmod("spot", F.lit(chunks)))
     texts = [F.first("text").alias("text")] if "text" in sizes.columns else []
     rows = rows.groupBy("s", "chunk", "spot", "doc_id", "size").agg(F.count("*").alias("copies"), *texts)

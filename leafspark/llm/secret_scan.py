@@ -9,6 +9,7 @@ counted from samples that the corpus itself labels: values of the fixed patterns
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,23 +36,55 @@ TOTAL_RATIO, MEAN_RATIO = 14.0, 0.7
 LEAN = 10
 #: No pair counts for more than this, so that one rare pair decides nothing.
 CLIP = 3.0
+#: Places of an array that are summed up at a time.
+RUN = 64
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int, guard: Column) -> Column:
-    """Array of (start, order, kind, end) of the matches whose group has at least the length; none without the guard."""
-    gaps = F.transform(F.split(text, pattern), lambda p: F.length(p))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    held = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else sizes
-    none = F.lit(None).cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc, r):
-        at = acc["at"] + r["gap"]
-        span = F.struct(at.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (at + r["size"]).alias("end"))
-        return F.struct((at + F.coalesce(r["size"], F.lit(0))).alias("at"), F.when(r["held"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), held.alias("held")), start, step)["found"]
-    return F.coalesce(F.when(guard, walked).otherwise(none), F.array().cast(SPAN))
+def running(values: Column, levels: int = 3) -> Column:
+    """The sum up to and with each place of an array of ints that is not empty: sums of runs of RUN places, then of runs
+    of runs, so that no place walks through more than RUN values on a level."""
+    add = lambda v: F.aggregate(v, F.lit(0), lambda total, x: total + x)
+    if not levels:
+        return let(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: add(F.slice(v, 1, i))))
+
+    def by_runs(v):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda r: add(F.slice(v, r * RUN + 1, RUN)))
+
+        def placed(r, sums):
+            def at(i):
+                run = F.floor((i - 1) / RUN).cast("int")
+                return F.element_at(sums, run + 1) - F.element_at(r, run + 1) + add(F.slice(v, run * RUN + 1, i - run * RUN))
+            return F.transform(F.sequence(F.lit(1), F.size(v)), at)
+        return let(runs, lambda r: let(running(r, levels - 1), lambda sums: placed(r, sums)))
+    return let(values, by_runs)
+
+
+def spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int, guard: Column, wanted=None) -> Column:
+    """Array of (start, order, kind, end), in order, of the matches whose group has at least the length; none without the
+    guard. wanted(span, match) may drop more of them."""
+    lengths = lambda strings: F.transform(strings, lambda m: F.length(m))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = lengths(matches)
+    held = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else sizes
+    gaps = lengths(F.split(text, pattern))  # one more than the matches
+
+    def placed(parts):
+        ends = running(F.transform(parts, lambda p: p["gap"] + p["size"]))
+        found = F.transform(F.arrays_zip(parts.alias("p"), ends.alias("end")), lambda r: F.struct(
+            (r["end"] - r["p"]["size"]).alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), r["end"].alias("end"), *[r["p"][c].alias(c) for c in ("held", "match")]))
+        kept = F.filter(found, lambda r: (r["held"] >= least) & (wanted(r, r["match"]) if wanted else F.lit(True)))
+        return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["order"].alias("order"), r["kind"].alias("kind"), r["end"].alias("end")))
+    parts = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), held.alias("held"), (matches if wanted else F.array().cast("array<string>")).alias("match")), lambda r: r["size"].isNotNull())
+    found = let(parts, lambda p: F.when(F.size(p) > 0, placed(p)))
+    return F.coalesce(F.when(guard, found).otherwise(F.lit(None).cast(SPAN)), F.array().cast(SPAN))
+
+
+def overlaps(found: Column, span: Column) -> Column:
+    """Whether a span overlaps one of a sorted array of spans that do not overlap: the last that starts before its end, by halving."""
+    last = F.aggregate(F.array(*[F.lit(1 << k) for k in range(26, -1, -1)]), F.lit(0), lambda at, k: F.when(
+        (at + k <= F.size(found)) & (F.element_at(found, F.least(at + k, F.size(found)))["start"] < span["end"]), at + k).otherwise(at))
+    return F.when(F.size(found) > 0, let(last, lambda at: (at > 0) & (F.element_at(found, F.greatest(at, F.lit(1)))["end"] > span["start"]))).otherwise(F.lit(False))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -66,15 +99,24 @@ def sample_of(docs: DataFrame, sample: int) -> DataFrame:
     return docs.join(F.broadcast(ids), docs.doc_id == F.col("chosen")).select("doc_id", "text")
 
 
+def with_values(docs: DataFrame) -> DataFrame:
+    """The rows in which a fixed pattern finds a value that is long enough to count from."""
+    longer = [r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{%d}" % CANDIDATE_LEAST, r"AKIA[A-Z0-9]{%d}" % (CANDIDATE_LEAST - 4), KINDS[2][1]]
+    return docs.where(reduce(lambda x, y: x | y, [F.regexp_like("text", F.lit(pattern)) for pattern in longer]))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
     """ratio[SIZE * a + b]: log of the chance that b follows a in random strings over that in ordinary identifiers.
 
-    Random strings are the values that the fixed patterns find in the sampled documents, identifiers the words of what
-    is left without them and without candidates; each different one counts once. At most 2 * SIZE * SIZE counts come to the driver. Without any, all ratios are zero.
+    Random strings are the values that the fixed patterns find in at most `sample` of the documents that have some
+    (so rare secrets are found wherever they are), identifiers the words of as many documents, without such values and
+    without candidates; each different one counts once. At most 2 * SIZE * SIZE counts come to the driver. Rows without
+    doc_id are not sampled, null and empty texts have no words. Without values or words all ratios are zero.
     """
-    src = sample_of(pick(docs, doc_id=id_col, text=text_col), sample)
+    every = pick(docs, doc_id=id_col, text=text_col)
+    src = sample_of(every, sample)
     values = [F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) for _, pattern, group, _ in KINDS]
-    random = src.select(F.explode(F.concat(*values)).alias("word")).where(F.length("word") >= CANDIDATE_LEAST)
+    random = sample_of(with_values(every), sample).select(F.explode(F.concat(*values)).alias("word")).where(F.length("word") >= CANDIDATE_LEAST)
     prose = F.col("text")
     for pattern in [pattern for _, pattern, *_ in KINDS] + [CANDIDATE]:
         prose = F.regexp_replace(prose, pattern, " ")
@@ -102,16 +144,12 @@ def log_ratio(word: Column, ratio: list[float]) -> Column:
     return let(states, lambda s: F.aggregate(F.sequence(F.lit(1), F.size(s) - 1), F.lit(0.0), lambda total, i: total + F.element_at(table, F.element_at(s, i) * SIZE + F.element_at(s, i + 1) + 1)))
 
 
-def model_spans(text: Column, ratio: list[float], taken: Column) -> Column:
-    """Spans of candidates that the models take for secrets and that overlap no span of `taken`."""
-    guard = F.regexp_like(text, F.lit(CANDIDATE))
-    found = spans(text, CANDIDATE, 0, CANDIDATE_LEAST, "model", len(KINDS), guard)
-
-    def secret(s):
-        free = ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-        size = s["end"] - s["start"]
-        return F.when(free, let(log_ratio(F.substring(text, s["start"] + 1, size), ratio), lambda total: (total >= TOTAL_RATIO) & (total >= MEAN_RATIO * (size - 1)))).otherwise(F.lit(False))
-    return F.filter(found, secret)
+def model_spans(text: Column, ratio: list[float], taken: list[Column]) -> Column:
+    """Spans of candidates that the models take for secrets and that overlap no span of `taken`, arrays of one kind each."""
+    def secret(span, match):
+        free = ~reduce(lambda x, y: x | y, [overlaps(found, span) for found in taken])
+        return F.when(free, let(log_ratio(match, ratio), lambda total: (total >= TOTAL_RATIO) & (total >= MEAN_RATIO * (F.length(match) - 1)))).otherwise(F.lit(False))
+    return spans(text, CANDIDATE, 0, CANDIDATE_LEAST, "model", len(KINDS), F.regexp_like(text, F.lit(CANDIDATE)), secret)
 
 
 def joined(spans_: Column) -> Column:
@@ -125,8 +163,9 @@ def scan(docs: DataFrame, ratio: list[float], id_col: str = "doc_id", text_col:
     a different kind), added those of the models that overlap none of them. Null and empty texts have none.
     """
     src = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = src.select("doc_id", "text", F.concat(*base_spans(F.col("text"))).alias("base"))
-    return base.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(model_spans(F.col("text"), ratio, F.col("base"))).alias("added"))
+    kinds = [f"base{i}" for i in range(len(KINDS))]
+    base = src.select("doc_id", "text", *[found.alias(name) for found, name in zip(base_spans(F.col("text")), kinds)])
+    return base.select("doc_id", F.sort_array(F.concat(*kinds)).alias("base"), model_spans(F.col("text"), ratio, [F.col(k) for k in kinds]).alias("added"))
 
 
 def secret_report(docs: DataFrame, ratio: list[float], **names: str) -> DataFrame:

@@ -75,8 +75,7 @@ def test_shares_meet_totals():
     assert split.sum() == 2 * 10**9 + 2 and (split >= 0).all() and (split <= big).all()
 
 
-def test_mix(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "CHUNK", 20)
+def test_mix(spark):
     rows = sample(random.Random(5))
     docs = frame(spark, rows)
     size = lambda t: len((t or "").encode().split())

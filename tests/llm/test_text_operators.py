@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import time
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafspark.llm import boosting, bpe, pii, quality, secret_scan, toxicity
 
@@ -212,3 +215,50 @@ def test_toxicity_learns(spark, docs, empty):
     none = toxicity.learn(empty, known.limit(0))
     other = toxicity.score(docs, none).collect()
     assert len(other) == docs.count() and {r["score"] for r in other} == {0.5} and toxicity.score(empty, none).count() == 0
+
+
+def test_running_sums(spark):
+    rng = random.Random(9)
+    rows = [(n, [rng.randrange(9) for _ in range(n)]) for n in (1, 2, 63, 64, 65, 128, 129, 4096, 4097, 9000)]
+    got = spark.createDataFrame(rows, "n int, v array<int>").select("v", secret_scan.running(F.col("v"), 2).alias("s")).collect()
+    assert all(r["s"] == np.cumsum(r["v"]).tolist() for r in got)
+
+
+def test_very_many_matches(spark):
+    """A text that is nothing but matches is scanned in time that grows like its length."""
+    ratio = [0.9] * secret_scan.SIZE ** 2
+    parts = [f"token=abc{i:08d}x zq{i}Kd8sJ2mPq9{i}LLw0" for i in range(20_000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secret_scan.secret_report(docs, ratio).first()
+    assert time.time() - began < 60 and (row["n_assign"], row["n_model"]) == (20_000, 20_000)
+    at, want = 0, []
+    for part in parts:
+        first, second = part.split(" ")
+        want += [("assign", at, at + len(first)), ("model", at + len(first) + 1, at + len(part))]
+        at += len(part) + 1
+    assert row["spans"] == ",".join("%s:%d:%d" % w for w in want)
+    mails = " ".join(f"user{i}@mail{i % 7}.example.com 10.0.{i % 256}.{i % 99}" for i in range(40_000))
+    began = time.time()
+    base = pii.base_spans(mails)
+    assert len(base) == 80_000 and pii.judge([mails], [base], pii.Trees()) == [[]] and time.time() - began < 30
+
+
+def test_pii_cover():
+    rng = random.Random(10)
+    for _ in range(200):
+        spans = [("ip", a, a + 1 + rng.randrange(5)) for a in rng.sample(range(60), rng.randrange(12))]
+        cover = pii.Cover(spans)
+        for a in range(64):
+            for b in (a + 1, a + 4):
+                assert cover.overlaps(a, b) == any(x < b and a < y for _, x, y in spans)
+
+
+def test_rare_secrets_are_learned(spark):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    rows = [(i, "ordinary words about gardens and weather reports number%d " % i * 3) for i in range(3000)]
+    rows += [(5000 + i, "api_key = " + "".join(rng.choice(letters, 40))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert any(secret_scan.learn(docs, sample=50))
