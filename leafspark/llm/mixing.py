@@ -216,6 +216,7 @@ def mix_report(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: flo
     plan = plan_mix(sizes, weights, share, most, block)
     spark = docs.sparkSession
     times = draw_slots(spark, plan, shard, seed).groupBy(F.col("s").alias("s1"), F.col("block").alias("block1")).agg(F.count("*").alias("times"))
+    times = times.hint("merge")  # Spark takes the slots for as few as the shards they are made from
     parts = _segments(_placed(sizes, plan), block)
     used = parts.join(times, (parts["s"] == F.col("s1")) & (parts["block"] == F.col("block1")), "left")
     whole = used.where("block is not null").groupBy("s", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -250,4 +251,4 @@ def mixed_blocks(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     plan = plan_mix(sizes, weights, share, most, block)
     named = docs.sparkSession.createDataFrame([(i, p["source"]) for i, p in enumerate(plan)], f"s long, source {sizes.schema['source'].dataType.simpleString()}")
     slots = draw_slots(docs.sparkSession, plan, shard, seed)
-    return slots.join(packed(sizes, plan, block), ["s", "block"]).join(F.broadcast(named), "s").select("shard", "place", "source", "block", "round", "words")
+    return slots.hint("merge").join(packed(sizes, plan, block), ["s", "block"]).join(F.broadcast(named), "s").select("shard", "place", "source", "block", "round", "words")
