@@ -192,6 +192,10 @@ def test_leaks(spark):
         w[len(w) // 2] = "changed"
         docs.append((90 + k, " ".join(make(30) + w)))
     docs += [(200, " ".join(["same"] * 21)), (201, " ".join(["same"] * 300)), (202, " ".join(make(6000) + items[3][1].split())), (10, docs[3][1])]
+    w = items[1][1].split()
+    docs += [(300, " ".join(make(10) + ["other"] + w[1:] + make(10))), (301, " ".join(["other"] + w[1:])), (302, " ".join(make(3) + w[:-1] + ["other"] + make(40)))]
+    w = items[3][1].split()
+    docs += [(303, " ".join(make(10) + ["o1", "o2", "o3"] + w[3:] + make(10))), (304, " ".join(make(10) + ["o1"] + w[1:-1] + make(10))), (305, " ".join(w + w + make(3) + w))]
     data = frame(spark, docs)
     got = decontam.find_leaks(data, spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS n")).collect()
     want = plain_leaks(docs, items)
@@ -224,3 +228,36 @@ def test_normalised_bytes():
     for text in ["", " ", "a", " a", "a \t\nb ", "\x1c a\x85b   ", "\x0b\x0c", "é  é"]:
         assert exact_dedup.normalised(text.encode()).decode() == __import__("re").sub("[\x20\x09-\x0D]+", " ", text)
     assert exact_dedup.normalised(None) == b""
+
+
+def test_leaks_among_many_items(spark):
+    """A window meets few of many items of its size; pieces that all items share do not bring them all in."""
+    rng = random.Random(12)
+    common = "answer the following question with one of the four choices given below"
+    items = [(k, common + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for k in range(10_000)]
+    docs = [(k, " ".join(f"v{rng.randrange(500)}" for _ in range(20)) + " " + items[37 * k][1] + " tail") for k in range(40)] + [(100 + k, common * 3) for k in range(20)]
+    table = decontam.item_table(spark.createDataFrame(items, "item_id long, text string"))
+    seen = {}
+    original = decontam._alike
+
+    def counted(windows, shingles, similarity):
+        near = original(windows, shingles, similarity)
+        seen["windows"], seen["pairs"] = windows.count(), near.count()
+        return near
+    decontam._alike = counted
+    try:
+        got = decontam.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        decontam._alike = original
+    assert {(r["doc_id"], r["item_id"], r["start_word"]) for r in got} == {(k, 37 * k, 20) for k in range(40)}
+    assert table.count() == 10_000 and seen["pairs"] < 3 * seen["windows"]
+
+
+def test_many_marks_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CHUNK", 7)
+    rng = random.Random(13)
+    items = [(k, " ".join(f"w{rng.randrange(9)}" for _ in range(12))) for k in range(6)]
+    docs = [(k, " ".join(" ".join(rng.choice(items)[1].split()[:rng.choice([9, 12])]) + f" x{rng.randrange(5)}" for _ in range(30))) for k in range(3)] + [(None, items[0][1])]
+    got = decontam.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start_word"]) for r in got} == {k: (round(v[0], 9), v[1]) for k, v in want.items()}
