@@ -134,3 +134,16 @@ def test_stages_keep_odd_columns(spark):
         out.collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.tokens(spark, docs, SF).count() == len(rows)
+
+
+def test_rows_without_doc_id(spark):
+    rng = random.Random(14)
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 20)
+    words = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    rows = [(7, " ".join(words)), (None, " ".join(words[:-1] + ["other"])), (None, "before " * 3 + item + " after"), (9, "clean " + " ".join(f"c{k}" for k in range(40))), (None, None),
+            (None, " ".join(f"d{k}" for k in range(40))), (None, "very " + "long " * 300_000 + "text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r["text"] for r in corpus_pipeline.no_near_copies(spark, docs, SF).collect()}
+    assert near == {t for _, t in rows} - {rows[1][1]}
+    left = {r["text"] for r in corpus_pipeline.no_benchmark_passages(spark, docs, SF).collect()}
+    assert left == {t for _, t in rows} - {rows[2][1]}
