@@ -70,7 +70,7 @@ def _eigen(a: Column, d: Column, c: Column) -> tuple[Column, Column]:
 def length_width_ratio(points: Column) -> Column:
     """Ratio of the eigenvalues of the spread matrix (population variances, sample covariance)."""
     n, sxx, syy, sxy = _moments(points)
-    top, low = _eigen(sxx / n, syy / n, sxy / (n - 1))
+    top, low = _eigen(sxx / n, syy / n, F.try_divide(sxy, n - 1))  # null for a single point
     return F.try_divide(top, low)
 
 
@@ -219,9 +219,9 @@ def radial(contours: DataFrame) -> DataFrame:
     mean = lambda c: F.floor(_mean(F.transform(p, lambda q: q[c])))
     df = contours.withColumn("_c", F.struct(mean("x").alias("x"), mean("y").alias("y")))
     df = df.withColumn("_d", F.transform(p, lambda q: F.sqrt(F.pow(q["x"] - F.col("_c.x"), F.lit(2)) + F.pow(q["y"] - F.col("_c.y"), F.lit(2)))))
-    df = df.withColumn("_n", F.transform("_d", lambda d: d / F.array_max("_d")))
+    df = df.withColumn("_n", F.transform("_d", lambda d: F.try_divide(d, F.array_max("_d"))))
     df = df.withColumn("radial_avg", _mean(F.col("_n")))
-    over = F.filter("_n", lambda d: d > F.col("radial_avg"))
+    over = F.filter("_n", lambda d: F.round(d, 12) > F.round("radial_avg", 12))  # equal distances are not over their mean
     return df.select("image_id", "blob_id", F.array_max("_d").alias("radial_max"), "radial_avg",
                      _mean(F.transform("_n", lambda d: F.pow(d - F.col("radial_avg"), F.lit(2)))).alias("radial_var"),
                      (F.size(over) / F.size("_n")).alias("radial_crossings_pct"))

@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.operators.grouped import with_group_stats
+from leafspark.operators.contours import components, find_blobs  # noqa: F401
 from leafspark.operators.images import histogram
-from leafspark.session import cut_lineage
 
 # 7-tap Gaussian in 64ths.
 GAUSS7 = (2, 7, 14, 18, 14, 7, 2)
@@ -121,56 +120,3 @@ def boundary(mask: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     sent = mask.filter("v > 0").select(*keys, F.inline(F.array(*around)))
     counts = sent.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
     return counts.filter((F.col("own") == 1) & (F.col("n") < 9)).select(*keys, "x", "y")
-
-
-def _spread_min(edges: DataFrame, above: bool) -> DataFrame:
-    """One star step on edges (image, a, b): link neighbours of each node to the least of them.
-
-    ``above``: neighbours over the node go to the least node around it; otherwise the lower ones do, and the node too.
-    """
-    ends = edges if not above else edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    if not above:
-        ends = edges.select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = ends.groupBy("image_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = ends.join(least, ["image_id", "a"])
-    if above:
-        out = linked.filter("b > a").select("image_id", F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = linked.select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("image_id", "a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
-
-
-def components(mask: DataFrame) -> DataFrame:
-    """Eight-neighbour components of a mask (image_id, x, y, v): image_id, x, y, label.
-
-    Pixels are first joined to horizontal runs, so the graph has one node per run. The run graph is then
-    contracted by alternating star steps until nothing changes; each round is written to the checkpoint folder.
-    The label is the first run of the component, as y * 2^31 + x.
-    """
-    on = mask.filter("v > 0").select("image_id", "x", "y")
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    starts = on.withColumn("_s", F.when(F.coalesce(F.col("x") - F.lag("x").over(row), F.lit(0)) != 1, F.col("x")))
-    runs = starts.withColumn("run", F.last("_s", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut_lineage(runs.select("image_id", "x", "y", (F.col("y").cast("long") * 2147483648 + F.col("run")).alias("node")))
-    below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("node").alias("b"),
-                        F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x")).distinct()
-    edges = below.join(runs, ["image_id", "x", "y"]).select("image_id", F.col("node").alias("a"), "b").distinct()
-    edges = cut_lineage(edges)
-    before = None
-    while True:
-        edges = cut_lineage(_spread_min(_spread_min(edges, above=True), above=False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("image_id", "a", "b").cast("long")),
-                        F.sum(F.xxhash64("image_id", "a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    labels = edges.groupBy("image_id", F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
-    return runs.join(labels, ["image_id", "node"], "left").select("image_id", "x", "y", F.coalesce("label", "node").alias("label"))
-
-
-def find_blobs(mask: DataFrame, min_area: int = 0) -> DataFrame:
-    """Blobs of a mask as pixel rows: image_id, blob_id, x, y. Blobs need more than ``min_area`` pixels."""
-    c = components(mask)
-    sized = with_group_stats(c, ["image_id", "label"], _area=F.count(F.lit(1)))
-    return sized.filter(F.col("_area") > min_area).select("image_id", F.col("label").alias("blob_id"), "x", "y")
