@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -109,44 +109,69 @@ def loaded(kind, path: str):
 
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from a[i] and b[j] on agree place by place: probes of 1, 2, 4, ... and then half of the last, and half of that."""
-    if a[i] != b[j]:
-        return 0
+    """How many ends from a[i] and b[j] on agree place by place, if the first do: probes of 2, 4, ... and then half of the
+    last, and half of that."""
     n, step = 1, 2
     while True:
-        part = a[i + n:i + n + step]
-        if not part or part != b[j + n:j + n + step]:
+        p, q = i + n, j + n
+        part = a[p:p + step]
+        if not part or part != b[q:q + step]:
             break
         n += len(part)
         step *= 2
     while step > 1:
-        step //= 2
-        part = a[i + n:i + n + step]
-        if len(part) == step and part == b[j + n:j + n + step]:
+        step >>= 1
+        p, q = i + n, j + n
+        part = a[p:p + step]
+        if len(part) == step and part == b[q:q + step]:
             n += step
     return n
 
 
-def groups(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]] | None]]:
-    """(i, i2, j, j2, links): tokens i to i2 - 1 of the one list and j to j2 - 1 of the other, in order. Without links it is
-    a stretch of tokens one to one; else it is one group, with the index pairs that overlap. Both lists end alike."""
-    i = j = 0
-    while i < len(a):
-        n = stretch(a, b, i, j)
-        if n:
-            yield i, i + n, j, j + n, None
-            i, j = i + n, j + n
-            if i == len(a):
-                return
-        p, q, links = i, j, [(i, j)]
-        while a[p] != b[q]:
-            if a[p] < b[q]:
-                p += 1
+class Groups:
+    """The alignment of two lists of ends that end alike: steps (i, i2, j, j2, one) in order, which are stretches of tokens
+    one to one or single irregular groups, and the index pairs that overlap in the irregular ones."""
+    __slots__ = ("steps", "pairs_a", "pairs_b", "number")
+
+    def __init__(self, a: list[int], b: list[int]):
+        steps, pairs_a, pairs_b = self.steps, self.pairs_a, self.pairs_b = [], [], []
+        i = j = number = 0
+        whole = len(a)
+        while i < whole:
+            p, q, x, y = i, j, a[i], b[j]
+            if x == y:
+                n = stretch(a, b, i, j)
+                p, q = i + n, j + n
+                steps.append((i, p, j, q, True))
+                number += n
             else:
+                pairs_a.append(p)
+                pairs_b.append(q)
+                while x != y:
+                    if x < y:
+                        p += 1
+                        x = a[p]
+                    else:
+                        q += 1
+                        y = b[q]
+                    pairs_a.append(p)
+                    pairs_b.append(q)
+                p += 1
                 q += 1
-            links.append((p, q))
-        yield i, p + 1, j, q + 1, links
-        i, j = p + 1, q + 1
+                steps.append((i, p, j, q, False))
+                number += 1
+            i, j = p, q
+        self.number = number
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The index pairs that overlap, those of stretches first."""
+        if not self.steps:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        steps = np.array(self.steps, np.int64)
+        steps = steps[steps[:, 4] == 1]
+        sizes = steps[:, 1] - steps[:, 0]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return tuple(np.concatenate((np.repeat(steps[:, c], sizes) + inside, np.array(pairs, np.int64))) for c, pairs in ((0, self.pairs_a), (2, self.pairs_b)))
 
 
 class Aligner:
@@ -154,9 +179,11 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = loaded(ByteLevel, path_a), loaded(Pieces, path_b)
-        self.lengths = [list(map(len, t.data)) for t in (self.a, self.b)]
+        self.lengths = [np.array(list(map(len, t.data)), np.int64) for t in (self.a, self.b)]
         self.names = [list(map(str, range(len(t.data)))) for t in (self.a, self.b)]
         self.before = [name + "|" for name in self.names[0]]
+        if max(map(len, self.names)) > 1 << 20:
+            raise ValueError("a vocabulary of over 2^20 tokens")
 
     def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none where either side's bytes are not those of the text with a space before it."""
@@ -168,24 +195,14 @@ class Aligner:
             out.append((a, b) if same else ([], []))
         return out
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int], list[int]]:
+    def align(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray, np.ndarray]:
         """(groups as a1,a2|b1;a3|b2,b3, their number, linked ids of both sides)."""
-        ends = [list(accumulate(map(size.__getitem__, ids))) for size, ids in zip(self.lengths, (a, b))]
-        names_a, names_b, before = self.names[0], self.names[1], self.before
-        told: list[str] = []
-        of_a: list[int] = []
-        of_b: list[int] = []
-        for i, i2, j, j2, links in groups(*ends):
-            if links is None:
-                own, other = a[i:i2], b[j:j2]
-                of_a += own
-                of_b += other
-                told += [before[x] + names_b[y] for x, y in zip(own, other)]
-            else:
-                of_a += [a[p] for p, _ in links]
-                of_b += [b[q] for _, q in links]
-                told.append(",".join([names_a[x] for x in a[i:i2]]) + "|" + ",".join([names_b[y] for y in b[j:j2]]))
-        return ";".join(told), len(told), of_a, of_b
+        ids = np.array(a, np.int64), np.array(b, np.int64)
+        found = Groups(*[np.cumsum(size[own]).tolist() for size, own in zip(self.lengths, ids)])
+        left, right, names = list(map(self.before.__getitem__, a)), list(map(self.names[1].__getitem__, b)), self.names[0]
+        told = [";".join(map(add, left[i:p], right[j:q])) if one else ",".join([names[x] for x in a[i:p - 1]] + [left[p - 1]]) + ",".join(right[j:q]) for i, p, j, q, one in found.steps]
+        p, q = found.links()
+        return ";".join(told), found.number, ids[0][p], ids[1][q]
 
 
 def _counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,6 +211,16 @@ def _counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None) -> t
     return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), sums
 
 
+def _counted_each(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct id pairs of each of some documents: (where each document's begin, a, b, times). Ids have up to 20 bits."""
+    sizes = [len(a) for a, _ in links]
+    if not sum(sizes):
+        return np.zeros(len(links) + 1, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+    doc = np.repeat(np.arange(len(links)), sizes)
+    keys, times = np.unique(doc << 40 | np.concatenate([a for a, _ in links]) << 20 | np.concatenate([b for _, b in links]), return_counts=True)
+    return np.searchsorted(keys, np.arange(len(links) + 1) << 40), keys >> 20 & 0xFFFFF, keys & 0xFFFFF, times
+
+
 _LINKS = "a array<int>, b array<int>, times array<bigint>"
 _NAMES = ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"]
 
@@ -204,15 +231,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     src = pick(docs, doc_id=id_col, text=text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def lists(parts, kind_of):
-        flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind_of)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), flat)
+    def lists(begins, flat, kind_of):
+        return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat, kind_of))
 
     def totals(kept, id_type):
         a, b, times = _counted(*(np.concatenate(c) for c in zip(*kept)))
         for k in range(0, len(a), 50_000):
             none = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*none, *(lists([c[k:k + 50_000]], t) for c, t in ((a, pa.int32()), (b, pa.int32()), (times, pa.int64())))], _NAMES)
+            yield pa.RecordBatch.from_arrays([*none, *(lists([0, len(c[k:k + 50_000])], c[k:k + 50_000], t) for c, t in ((a, pa.int32()), (b, pa.int32()), (times, pa.int64())))], _NAMES)
 
     def run(batches):
         tool, kept, size, row, id_type = Aligner(path_a, path_b), [], 0, TaskContext.get().partitionId() << 36, None
@@ -222,12 +248,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                 for a, b in tool.tokens(batch.column(1).to_pylist()):
                     told, n, of_a, of_b = tool.align(a, b)
                     facts.append((row, len(a), len(b), n, len(of_a), hashlib.sha256(told.encode()).hexdigest() if a else ""))
-                    pairs.append(_counted(np.array(of_a, np.int64), np.array(of_b, np.int64)))
+                    pairs.append((of_a, of_b))
                     row += 1
                 columns = [pa.array(c, t) for c, t in zip(zip(*facts), [pa.int64()] * 5 + [pa.string()])]
-                a, b, times = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists(a, pa.int32()), lists(b, pa.int32()), lists(times, pa.int64())], _NAMES)
-                kept.append(tuple(map(np.concatenate, (a, b, times))))
+                begins, *counted = _counted_each(pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(lists(begins, c, t) for c, t in zip(counted, (pa.int32(), pa.int32(), pa.int64())))], _NAMES)
+                kept.append(_counted(*counted))
                 size += len(kept[-1][0])
                 if size > 3 * held:
                     kept = [_counted(*(np.concatenate(c) for c in zip(*kept)))]
@@ -288,8 +314,8 @@ def scored(table: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> Dat
     met = links.join(counts, ["a", "b"]).groupBy(F.col("row").alias("of")).agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("more_best"), F.sum(F.col("times") * F.col("count")).alias("more"))
     whole = done.drop("a", "b", "times").join(met, F.col("row") == F.col("of"), "left")
-    add = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return whole.select(*final[:5], add("n_best", "more_best"), add("count_sum", "more"), "groups_sha256")
+    both = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
+    return whole.select(*final[:5], both("n_best", "more_best"), both("count_sum", "more"), "groups_sha256")
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:

@@ -69,7 +69,7 @@ def test_tokens_and_groups():
         assert (a, b) == ([i for i, _ in wa], [i for i, _ in wb]), text
         told, n, links = plain(wa, wb)
         got = tool.align(a, b)
-        assert got[:2] == (told, n) and list(zip(*got[2:])) == links, text
+        assert got[:2] == (told, n) and Counter(zip(*(x.tolist() for x in got[2:]))) == Counter(links), text
         assert len(links) == max(0, len(a) + len(b) - n)
 
 
@@ -78,12 +78,11 @@ def test_groups_of_random_ends(seed):
     rng = random.Random(seed)
     shared = sorted(rng.sample(range(1, 400), 150)) + [400]
     a, b = (sorted({*shared, *rng.sample(range(1, 400), rng.choice([0, 5, 80]))}) for _ in range(2))
-    cut, pairs = [], []
-    for i, i2, j, j2, links in alignment.groups(a, b):
-        cut += [a[k] for k in range(i, i2)] if links is None else [a[i2 - 1]]
-        assert a[i2 - 1] == b[j2 - 1] and (links is not None or a[i:i2] == b[j:j2])
-        pairs += links or list(zip(range(i, i2), range(j, j2)))
-    assert cut == sorted(set(a) & set(b))
+    got = alignment.Groups(a, b)
+    cut = [e for i, i2, _, _, one in got.steps for e in (a[i:i2] if one else a[i2 - 1:i2])]
+    assert cut == sorted(set(a) & set(b)) and got.number == len(cut)
+    assert all(a[i:i2] == b[j:j2] if one else a[i2 - 1] == b[j2 - 1] for i, i2, j, j2, one in got.steps)
+    pairs = sorted(zip(*(x.tolist() for x in got.links())))
     low = lambda ends, k: ends[k - 1] if k else 0
     assert pairs == [(p, q) for p in range(len(a)) for q in range(len(b)) if low(a, p) < b[q] and low(b, q) < a[p]]
 
