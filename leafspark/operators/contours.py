@@ -68,12 +68,12 @@ def _spread_min(edges: DataFrame, above: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _named(df: DataFrame) -> DataFrame:
+def name_images(df: DataFrame) -> DataFrame:
     """image_id as a text that is never null, so that joins and Python keep pixels without an image together."""
     return df.withColumn("image_id", F.coalesce(F.concat(F.lit("="), F.col("image_id").cast("string")), F.lit("")))
 
 
-def _unnamed(df: DataFrame, kind: str) -> DataFrame:
+def restore_images(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("image_id", F.when(F.col("image_id") != "", F.substr(F.col("image_id"), F.lit(2)).cast(kind)))
 
 
@@ -103,12 +103,12 @@ def components(mask: DataFrame, tile: int = tiles.TILE) -> DataFrame:
                     tx, ty = stack.places(at[there], row[there] + dy, col[there] + dx)
                     yield pd.DataFrame({"image_id": stack.heads["image_id"].to_numpy()[at[there]], "x": tx, "y": ty, "label": code[there], "touch": True})
 
-    on = _named(mask.filter("v > 0")).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    on = name_images(mask.filter("v > 0")).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
     found = cut_lineage(tiles.map_tiles(on, ["image_id"], [], 1, work, "image_id string, x int, y int, label long, touch boolean", tile))
     own = found.filter("not touch").drop("touch")
     heard = found.filter("touch").select("image_id", "x", "y", F.col("label").alias("a")).distinct()
     if heard.isEmpty():
-        return _unnamed(own, kind)
+        return restore_images(own, kind)
     edges = heard.join(own, ["image_id", "x", "y"]).select("image_id", "a", F.col("label").alias("b")).distinct()
     before = None
     while True:
@@ -119,7 +119,7 @@ def components(mask: DataFrame, tile: int = tiles.TILE) -> DataFrame:
         before = now
     roots = edges.groupBy("image_id", F.greatest("a", "b").alias("label")).agg(F.min(F.least("a", "b")).alias("root"))
     own = own.join(roots, ["image_id", "label"], "left").select("image_id", "x", "y", F.coalesce("root", "label").alias("label"))
-    return _unnamed(own, kind)
+    return restore_images(own, kind)
 
 
 def find_blobs(mask: DataFrame, min_area: int = 0, tile: int = tiles.TILE) -> DataFrame:
@@ -210,7 +210,7 @@ def contour_points(blobs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """
     kinds = {c: blobs.schema[c].dataType.simpleString() for c in ("image_id", "blob_id")}
     schema = f"image_id string, blob_id {kinds['blob_id']}, code long, x int, y int, head boolean, enters boolean, points long, onward long"
-    pixels = _named(blobs).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "blob_id")
+    pixels = name_images(blobs).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "blob_id")
     edges = cut_lineage(tiles.map_tiles(pixels, ["image_id"], ["blob_id"], 1, lambda stack: iter([_ranked(stack)]), schema, tile))
     # Edges that enter a tile are the nodes of the ranking; each round doubles how far a node sees.
     nodes = edges.filter("enters").select("image_id", "code", F.col("points").alias("sum"), "onward")
@@ -229,7 +229,7 @@ def contour_points(blobs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     points = points.select("image_id", "blob_id", "x", "y", (F.col("points") + F.coalesce("rest", F.lit(0))).alias("left"))
     lengths = points.groupBy("image_id", "blob_id").agg(F.max("left").alias("length"))
     placed = points.join(lengths, ["image_id", "blob_id"]).select("image_id", "blob_id", (F.col("length") - F.col("left")).cast("int").alias("i"), "x", "y")
-    return _unnamed(placed, kinds["image_id"])
+    return restore_images(placed, kinds["image_id"])
 
 
 def contours(blobs: DataFrame, tile: int = tiles.TILE) -> DataFrame:

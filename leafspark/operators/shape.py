@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafspark.operators.grouped import with_group_stats
+
 POINTS = T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 
 
@@ -227,24 +229,28 @@ def radial(contours: DataFrame) -> DataFrame:
                      (F.size(over) / F.size("_n")).alias("radial_crossings_pct"))
 
 
-def blob_geometry(pixels: DataFrame, keys=("image_id", "blob_id")) -> DataFrame:
-    """Area, box, center and size ratio of blobs given as pixel rows."""
+def blob_geometry(pixels: DataFrame, keys=("image_id", "blob_id"), more=()) -> DataFrame:
+    """Area, box, center and size ratio of blobs given as pixel rows; ``more`` are further aggregates of a blob's pixels."""
     blobs = pixels.groupBy(*keys).agg(
+        *more,
         F.count(F.lit(1)).alias("area"), F.min("x").alias("x"), F.min("y").alias("y"),
         (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
         F.floor(F.avg("x")).cast("int").alias("cx"), F.floor(F.avg("y")).cast("int").alias("cy"))
-    largest = blobs.groupBy(keys[0]).agg(F.max("area").alias("_largest"))
-    b = blobs.join(largest, keys[0])
-    return b.select(*blobs.columns, (b.area / b["_largest"]).alias("size_ratio"))
+    b = with_group_stats(blobs, [keys[0]], _largest=F.max("area"))
+    return b.select(*keys, *[c for c in blobs.columns if c not in keys], (b.area / b["_largest"]).alias("size_ratio"))
 
 
 def blob_bands(pixels: DataFrame, bands: dict[str, Column], keys=("image_id", "blob_id")) -> DataFrame:
     """Mean and standard deviation of bands per blob; zeros do not count."""
+    return pixels.groupBy(*keys).agg(*band_aggregates(bands))
+
+
+def band_aggregates(bands: dict[str, Column]) -> list[Column]:
     aggregates = []
     for name, band in bands.items():
         used = F.when(band != 0, band)
         aggregates += [F.avg(used).alias(f"{name}_mean"), F.stddev_pop(used).alias(f"{name}_stddev")]
-    return pixels.groupBy(*keys).agg(*aggregates)
+    return aggregates
 
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Side of a tile, and cells of a stack.
@@ -55,8 +55,11 @@ class Stack:
 
 
 def map_tiles(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], reach: int, work: Callable[[Stack], Iterator[pd.DataFrame]], schema: str,
-              tile: int = TILE) -> DataFrame:
-    """``work`` on every stack of tiles. pixels: keys, x, y and the columns of values, none of the keys null."""
+              tile: int = TILE, made: dict[str, Column] | None = None, stack_cells: int = STACK_CELLS) -> DataFrame:
+    """``work`` on every stack of tiles. pixels: keys, x, y and the columns of values, none of the keys null.
+
+    ``made`` are columns that follow from the others; they are computed after the shuffle, so they do not travel.
+    """
     cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
     sent = pixels.select(*keys, "x", "y", *values, cells("x").alias("tx")).select("*", cells("y").alias("ty"))
     group = [*keys, "tx", "ty"]
@@ -70,11 +73,12 @@ def map_tiles(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], rea
             first = _firsts(frame, group)
             whole = len(first) - 1  # the last tile may go on in the next batch
             rest = frame.iloc[first[whole]:].reset_index(drop=True)
-            yield from _stacks(frame.iloc[:first[whole]], first[:whole], keys, tile, reach, work)
+            yield from _stacks(frame.iloc[:first[whole]], first[:whole], keys, tile, reach, work, stack_cells)
         if rest is not None and len(rest):
-            yield from _stacks(rest, np.zeros(1, dtype=int), keys, tile, reach, work)
+            yield from _stacks(rest, np.zeros(1, dtype=int), keys, tile, reach, work, stack_cells)
 
-    return sent.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, schema)
+    dealt = sent.repartition(*group).sortWithinPartitions(*group)
+    return dealt.select("*", *[c.alias(n) for n, c in (made or {}).items()]).mapInPandas(run, schema)
 
 
 def _firsts(frame: pd.DataFrame, group: list[str]) -> np.ndarray:
@@ -86,13 +90,13 @@ def _firsts(frame: pd.DataFrame, group: list[str]) -> np.ndarray:
     return np.flatnonzero(changes)
 
 
-def _stacks(frame, first, keys, tile, reach, work):
+def _stacks(frame, first, keys, tile, reach, work, stack_cells):
     side = tile + 2 * reach
     if not len(first):
         return
     # Tiles of small images fill few cells; a stack may then hold more of them.
     used = min(side, int((frame["y"] - frame["ty"] * tile).max()) + 1 + 2 * reach) * min(side, int((frame["x"] - frame["tx"] * tile).max()) + 1 + 2 * reach)
-    many = max(1, STACK_CELLS // max(1, used))
+    many = max(1, stack_cells // max(1, used))
     ends = [*first, len(frame)]
     for k in range(0, len(first), many):
         last = min(k + many, len(first))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import color, indices, rules
-from leafspark.operators import shape, stencil, texture
+from leafspark.functions.catalog_of_factors import select_factors
+from leafspark.operators import blob_texture, contours, shape, stencil, texture, tiles
+from leafspark.operators.grouped import join_keys, ordered_scan
 from leafspark.session import cut_lineage
 
-KEYS = ("image_id", "blob_id")
+KEYS = ["image_id", "blob_id"]
 
 
 def vegetation_mask(pixels: DataFrame, index: str = "exg") -> DataFrame:
@@ -17,29 +19,57 @@ def vegetation_mask(pixels: DataFrame, index: str = "exg") -> DataFrame:
     value = F.pmod(indices.index(index, *[F.col(c) for c in "rgb"]).cast("int"), F.lit(256))
     levels = pixels.select("image_id", "x", "y", value.alias("e"))
     cut = stencil.otsu(levels, F.col("e"))
-    return levels.join(cut, "image_id").select("image_id", "x", "y", rules.threshold_mask(F.col("e"), F.col("threshold")).alias("v"))
+    return join_keys(levels, cut, ["image_id"]).select("image_id", "x", "y", rules.threshold_mask(F.col("e"), F.col("threshold")).alias("v"))
 
 
-def image_factors(pixels: DataFrame, min_area: int = 0, image_width: int | None = None) -> DataFrame:
-    """One row per blob: geometry, colour, texture and position factors; edge blobs are marked."""
-    blobs = cut_lineage(stencil.find_blobs(vegetation_mask(pixels), min_area))
-    inside = cut_lineage(blobs.join(pixels, ["image_id", "x", "y"]))
+def shape_table(blobs: DataFrame, width: Column, sizes: DataFrame) -> DataFrame:
+    """KEYS and the shape factors of the blobs' traced contours. sizes: image_id and what width needs."""
+    traced = cut_lineage(join_keys(contours.contours(blobs), sizes, ["image_id"]))
+    tables = [shape.shape_factors(traced, width).drop("area"), shape.hull_factors(traced), shape.bending(traced), shape.radial(traced)]
+    out = tables[0]
+    for table in tables[1:]:
+        out = join_keys(out, table, KEYS)
+    return out
+
+
+def image_factors(pixels: DataFrame, min_area: int = 0, image_width: int | None = None, agl: Column | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """One row per blob with every factor of the catalogue: geometry, colour, shape of the traced contour, texture on all
+    bands and position; edge blobs are marked. ``agl`` is a column of pixels, the same for an image.
+
+    Texture and contours are worked out in tiles, so neither an image nor a blob fills a task. Pixels without an image
+    are one image.
+    """
+    named = contours.name_images(pixels.withColumn("_agl", F.lit(None).cast("double") if agl is None else agl.cast("double")))
+    blobs = cut_lineage(contours.find_blobs(vegetation_mask(named), min_area, tile))
+    inside = cut_lineage(blobs.join(named.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"]))
     bands = [F.col(c) for c in "rgb"]
+    images = cut_lineage(named.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"), F.bool_or(F.col("g") > F.col("b")).alias("any_green"), F.max("_agl").alias("agl")))
     hsv, yiq, ycc = color.hsv(*bands), color.yiq(*bands), color.ycbcr(*bands)
-    geometry = shape.blob_geometry(blobs)
-    tones = shape.blob_bands(inside, {"hue": hsv["hsv_hue"], "saturation": hsv["hsv_saturation"], "in_phase": yiq["yiq_i"], "cb": ycc["ycbcr_cb"]}, KEYS)
-    grey = texture.band_levels(inside, color.grey(*bands), KEYS)
-    glcm = texture.glcm_properties(texture.glcm(grey, KEYS), KEYS)
-    glcm = glcm.select(*KEYS, *[F.col(p).alias(f"greyscale_{p}_avg") for p in texture.PROPERTIES])
-    patterns = texture.lbp_histogram(texture.lbp_codes(grey, KEYS), KEYS).withColumnRenamed("lbp", "greyscale_lbp")
-    lbp = texture.array_stats(patterns.withColumn("_a", F.col("greyscale_lbp")), "_a", "greyscale_lbp")
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
-    wide = geometry.join(tones, list(KEYS)).join(glcm, list(KEYS), "left").join(lbp, list(KEYS)).join(size, "image_id")
-    edge = rules.at_edge(F.col("x"), F.col("w"), F.col("_w") if image_width is None else image_width)
+    tones = {"hue": hsv["hsv_hue"], "saturation": hsv["hsv_saturation"], "in_phase": yiq["yiq_i"], "cb": ycc["ycbcr_cb"]}
+    seen = inside.join(images.select("image_id", "any_green"), "image_id")
+    every = blob_texture.band_columns(*bands, F.col("any_green"))
+    facts = cut_lineage(shape.blob_geometry(seen, KEYS, [*shape.band_aggregates(tones), *blob_texture.float_ranges(every)]))
+    ranges = [c for c in facts.columns if c.startswith(("_lo_", "_hi_"))]
+    span = lambda c, n: F.floor(F.col(c) / tile) != F.floor((F.col(c) + F.col(n) - 1) / tile)
+    boxes = facts.select(*KEYS, F.col("x").alias("x0"), F.col("y").alias("y0"), (span("x", "w") | span("y", "h")).alias("split"), *ranges)
+    ready = seen.join(boxes, KEYS).withColumn("peaks", blob_texture.peaks(every))
+    numbers, cells = blob_texture.texture_numbers(ready, tile)
+    grid = facts.select(*KEYS, F.floor(F.col("h") / blob_texture.CELL).cast("int").alias("rows"), F.floor(F.col("w") / blob_texture.CELL).cast("int").alias("cols"))
+    cells = cells.join(grid, KEYS).filter("row < rows and col < cols")
+    hog = texture.hog_stats(texture.hog_descriptor(cells, KEYS), KEYS)
+    width = F.col("_w") if image_width is None else F.lit(image_width)
+    shapes = shape_table(blobs, width, images.select("image_id", "_w"))
+    counted = ordered_scan(facts.drop(*ranges), ["image_id"], ["blob_id"], F.floor(F.col("y") / tile), rank="number")
+    wide = counted.join(numbers, KEYS).join(shapes.drop("elongation"), KEYS).join(hog, KEYS, "left").join(images.drop("any_green"), "image_id")
+    edge = rules.at_edge(F.col("x"), F.col("w"), width)
     gap = F.abs(F.col("cy") - F.floor(F.col("_h") / 2))
-    return wide.select(
-        "image_id", "blob_id", F.concat_ws("-", F.concat(F.lit("image-"), F.col("image_id").cast("string")), F.concat(F.lit("blob"), F.col("blob_id").cast("string"))).alias("name"),
-        "area", "x", "y", "w", "h", "size_ratio", (F.col("w") / F.col("h")).alias("elongation"), F.col("hue_mean").alias("hue"), "saturation_mean",
-        F.col("in_phase_stddev").alias("in_phase"), "cb_mean", (gap / F.col("_h")).alias("normalized_distance"),
-        *[f"greyscale_{p}_avg" for p in texture.PROPERTIES], "greyscale_lbp", "greyscale_lbp_stddev", "greyscale_lbp_mean", "greyscale_lbp_variance",
-        F.lit(rules.UNKNOWN).alias("type"), F.when(edge, rules.REASON_AT_EDGE).otherwise(0).alias("reason"))
+    columns = [F.col(c) for c in ("area", "x", "y", "w", "h", "size_ratio")]
+    made = {"elongation": F.col("w") / F.col("h"), "hue": F.col("hue_mean"), "saturation_mean": F.col("saturation_mean"), "in_phase": F.col("in_phase_stddev"), "cb_mean": F.col("cb_mean"),
+            "normalized_distance": gap / F.col("_h")}
+    found = wide.select(*wide.columns, *blob_texture.texture_columns())
+    rest = [F.col(c) for c in [*select_factors(), *select_factors(kind="VECTOR")] if c not in made]
+    out = found.select("image_id", "blob_id", *columns, *[c.alias(n) for n, c in made.items()], *rest, F.lit(rules.UNKNOWN).alias("type"),
+                       F.when(edge, rules.REASON_AT_EDGE).otherwise(0).alias("reason"), (F.col("number") - 1).alias("number"), "agl")
+    out = contours.restore_images(out, pixels.schema["image_id"].dataType.simpleString())
+    name = F.concat_ws("-", F.concat(F.lit("image-"), F.col("image_id").cast("string")), F.concat(F.lit("blob"), F.col("blob_id").cast("string")))
+    return out.select("image_id", "blob_id", name.alias("name"), *[c for c in out.columns if c not in KEYS])
