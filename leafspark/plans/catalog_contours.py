@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from leafspark.operators import contours, shape
+from leafspark.operators import blob_texture, contours, shape, texture
+from leafspark.plans import flow
 from leafspark.plans.catalog_blobs import CT, HI1, HI2, HULL, LO1, LO2, SLOPE
-from leafspark.plans.catalog_images import LABELS, SIZE, green_mask
+from leafspark.plans.catalog_images import EXG_BYTE, LABELS, OTSU, SIZE, green_mask
+from leafspark.plans.catalog_pixels import HSI, HSV, LAB, UNIT, YCC
 from leafspark.plans.registry import query, r6
 
 # The walk round a blob, side by side: sides 0 to 3 face left, down, right, up; corners and pixels ahead decide the next.
@@ -68,3 +70,44 @@ query("shp14_radial_from_mask", "pixels", WALK + f""", r0 as (select *, floor(av
  select image_id, blob_id, {r6('max(d)')} radial_max, {r6('avg(nd)')} radial_avg, {r6('var_pop(nd)')} radial_var,
  {r6('count(*) filter (round(nd,12)>m)/cast(count(*) as double)')} radial_crossings_pct from r3 group by all""")(
     lambda v: shape.radial(traced(v)))
+
+# The factor flow: blobs over the Otsu threshold of the index, their pixels, and every band as rows.
+FLOW = OTSU.format(band=EXG_BYTE, src="pixels") + LABELS.replace(
+    "from pixels where 2*g-r-b>0", f"from (select p.image_id, x, y, {EXG_BYTE} e, threshold from pixels p join ot on p.image_id=ot.image_id) where e>threshold") + """,
+ pb as materialized (select lb.image_id, label blob_id, pixels.x, pixels.y, r, g, b from lb join pixels on lb.image_id=pixels.image_id and lb.p=pixels.y*8+pixels.x)"""
+FLOW_BANDS = {"greyscale": "yy", "yiq_y": UNIT[0], "yiq_i": UNIT[1], "yiq_q": UNIT[2], "hsv_hue": "hsv.h", "hsv_saturation": "hsv.s", "value": "hsv.v", "hsi_hue": "hsi.h", "hsi_saturation": "hsi.s",
+              "hsi_intensity": "hsi.i", "blue": "pb.b", "green": "pb.g", "red": "pb.r", "ycbcr_y": "yy", "ycbcr_cb": "cb", "ycbcr_cr": "cr", "cie_l": "cie_l", "cie_a": "cie_a", "cie_b": "cie_b"}
+
+
+def _of(text):
+    """The text with its plain band names taken from the blob pixels."""
+    return text.replace("r/255", "pb.r/255").replace("g/255", "pb.g/255").replace("b/255", "pb.b/255") if "/255" in text else text
+
+
+PLACE = "{0}.image_id=pb.image_id and {0}.x=pb.x and {0}.y=pb.y"
+BAND_ROWS = FLOW + HSV + YCC + LAB + HSI + f""", bl as materialized (select pb.image_id, blob_id, pb.x, pb.y, unnest([{','.join(repr(n) for n in FLOW_BANDS)}]) band,
+ unnest([{','.join(f'cast({_of(t)} as double)' for t in FLOW_BANDS.values())}]) v, unnest([{','.join(str(n.startswith(('yiq', 'hsi'))).lower() for n in FLOW_BANDS)}]) f
+ from pb join hsv on {PLACE.format('hsv')} join ycc on {PLACE.format('ycc')} join lab on {PLACE.format('lab')} join hsi on {PLACE.format('hsi')})"""
+query("flow_geometry", "pixels", BAND_ROWS + f""", q as (select image_id, blob_id, count(*) area, min(x) x, min(y) y, max(x)-min(x)+1 w, max(y)-min(y)+1 h, floor(avg(y)) cy from pb group by all),
+ tn as (select image_id, blob_id, avg(nullif(v,0)) filter (band='hsv_hue') hue, avg(nullif(v,0)) filter (band='hsv_saturation') sm, stddev_pop(nullif(v,0)) filter (band='yiq_i') ip,
+ avg(nullif(v,0)) filter (band='ycbcr_cb') cb from bl group by all)
+ select image_id, blob_id, area, x, y, w, h, {r6('area/cast(max(area) over (partition by image_id) as double)')} size_ratio, {r6('w/cast(h as double)')} elongation, {r6('hue')} hue, {r6('sm')} saturation_mean,
+ {r6('ip')} in_phase, {r6('cb')} cb_mean, {r6('abs(cy-4)/8.0')} normalized_distance, case when x=0 or x+w>=8 then 1 else 0 end reason,
+ row_number() over (partition by image_id order by blob_id)-1 "number" from q join tn using (image_id, blob_id)""")(
+    lambda v: small_id(flow.image_factors(v.pixels).select(*KEY, "area", "x", "y", "w", "h", "size_ratio", "elongation", "hue", "saturation_mean", "in_phase", "cb_mean", "normalized_distance", "reason", "number")))
+query("flow_glcm", "pixels", BAND_ROWS + f""", lo as (select *, min(v) over w mn, max(v) over w mx from bl window w as (partition by image_id, blob_id, band)),
+ lv as materialized (select image_id, blob_id, x, y, band, case when not f then v when mx=mn then 0 else floor((v-mn)/(mx-mn)) end v from lo),
+ gm as (select a.image_id, a.blob_id, a.band, ang angle, a.v i, b.v j, count(*) n from lv a cross join (values ('0',1,0),('45',1,1),('90',0,1),('135',-1,1),('180',-1,0)) o(ang,dx,dy)
+ join lv b on a.image_id=b.image_id and a.blob_id=b.blob_id and a.band=b.band and b.x=a.x+dx and b.y=a.y+dy group by all),
+ gp as (select *, n/cast(sum(n) over (partition by image_id, blob_id, band, angle) as double) p from gm),
+ gu as (select *, sum(i*p) over w mi, sum(j*p) over w mj from gp window w as (partition by image_id, blob_id, band, angle)),
+ ga as (select image_id, blob_id, band, angle, sum(p*p) asm, sum(p*(i-j)*(i-j)) contrast, sum(p*abs(i-j)) dis, sum(p/(1+(i-j)*(i-j))) hom,
+ sum(p*(i-mi)*(j-mj)) cov, sqrt(sum(p*(i-mi)*(i-mi))) si, sqrt(sum(p*(j-mj)*(j-mj))) sj from gu group by all)
+ select image_id, blob_id, band, {r6('avg(sqrt(asm))')} energy, {r6('avg(contrast)')} contrast, {r6('avg(dis)')} dissimilarity, {r6('avg(hom)')} homogeneity, {r6('avg(asm)')} "ASM",
+ {r6('avg(case when si<1e-9 or sj<1e-9 then 1.0 else cov/(si*sj) end)')} correlation from ga group by all""")(lambda v: small_id(glcm_rows(v)))
+
+
+def glcm_rows(v):
+    """The co-occurrence factors of the flow, one row for each blob and band; blobs without two neighbours have none."""
+    rows = F.array(*[F.struct(F.lit(band).alias("band"), *[F.col(f"{band}_{p}_avg").alias(p) for p in texture.PROPERTIES]) for band in blob_texture.NAMES])
+    return flow.image_factors(v.pixels).select(*KEY, F.inline(rows)).filter("energy is not null")
