@@ -77,7 +77,9 @@ def map_tiles(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], rea
         if rest is not None and len(rest):
             yield from _stacks(rest, np.zeros(1, dtype=int), keys, tile, reach, work, stack_cells)
 
-    dealt = sent.repartition(*group).sortWithinPartitions(*group)
+    # A stated number of partitions: the rows are small, and adaptive execution would put the work into few tasks.
+    many = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(many, *group).sortWithinPartitions(*group)
     return dealt.select("*", *[c.alias(n) for n, c in (made or {}).items()]).mapInPandas(run, schema)
 
 

@@ -114,6 +114,20 @@ query("str7_position_join", "odometry", """ select o.event_id, g.event_id fix_id
         event_stream(v).filter("kind = 'click'").select("device", "ts", "event_id"),
         event_stream(v).filter("kind = 'view'").select("device", F.col("ts").alias("fix_ts"), F.col("event_id").cast("double").alias("latitude"), F.lit(0.0).alias("longitude")),
         "1 hour", "2 hours")).select("event_id", F.col("latitude").cast("long").alias("fix_id")))
+LATEST = """ select event_id, coalesce(fix_id, -1) fix_id from (select o.event_id, g.event_id fix_id, row_number() over (partition by o.event_id order by g.ts desc nulls last, g.event_id desc) k from odometry o left join odometry g
+ on o.device=g.device and g.kind='view' and g.ts<=o.ts and g.ts>=o.ts-interval 1 hour where o.kind='click') where k=1"""
+
+
+
+def latest_fixes(v, readings):
+    captured = readings().filter("kind = 'click'").select("device", "ts", "event_id")
+    fixes = readings().filter("kind = 'view'").select("device", F.col("ts").alias("fix_ts"), F.col("event_id").cast("double").alias("latitude"), F.lit(0.0).alias("longitude"))
+    return odometry.latest_position(captured, fixes, 3600.0, "0 seconds")
+
+
+query("str7_latest_position", "odometry", LATEST)(lambda v: latest_fixes(v, lambda: v.odometry).selectExpr("event_id", "coalesce(cast(latitude as bigint), -1) AS fix_id"))
+query("str7_latest_position_stream", "odometry", LATEST)(
+    lambda v: drained(v, latest_fixes(v, lambda: event_stream(v))).selectExpr("event_id", "coalesce(cast(latitude as bigint), -1) AS fix_id"))
 query("str8_count_stream", "odometry", """, w as (select date_trunc('hour', ts) s, kind, count(*) n from odometry group by all)
  select strftime(s,'%Y-%m-%d %H:%M:%S') "start", kind, n from w where s+interval 1 hour<=(select max(ts) from odometry)-interval 10 minute""")(lambda v: drained(v, odometry.count_messages(event_stream(v))).withColumn("start", F.col("start").cast("string")))
 query("str3_distinct_stream", "odometry", ' select distinct device, "sequence" from odometry')(

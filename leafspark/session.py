@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+
 
 def build_session(master: str | None = None, app: str = "leafspark", **conf: str) -> SparkSession:
     """A session with adaptive execution on. Cluster settings given by spark-submit win over these."""
@@ -44,7 +47,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; removed when the driver's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/leafspark-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that lost executors do not replay the past rounds."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder and read it back: computed once, with columns to choose from and
+    statistics, and lost executors do not replay the past rounds."""
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

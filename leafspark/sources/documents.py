@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafspark.sources import files
+
 
 def find_images(images: DataFrame, crop: str, begin_agl: float | None = None, end_agl: float | None = None,
                 begin_date: str | None = None, end_date: str | None = None) -> DataFrame:
@@ -49,12 +51,29 @@ def merge_urls(updates: DataFrame, order: list[str], keys=("image_id",), key: st
 
 
 def upsert_images(stored: DataFrame, updates: DataFrame) -> DataFrame:
-    """Stored images with new map entries added; an update wins over a stored entry. Both: image_id, processed."""
-    new = updates.select("image_id", F.col("processed").alias("_new"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    old, fresh = F.coalesce("processed", none), F.coalesce("_new", none)
-    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(fresh, k))
-    return stored.join(new, "image_id", "full").withColumn("processed", F.map_concat(kept, fresh)).drop("_new")
+    """Stored images with updates by image_id: entries of maps (processed, segmented and any other) are added, an update's
+    entry wins over a stored one; of other columns an update's value wins if it has one. Images that are not stored yet
+    are added; columns that only one side has stay. updates: at most one row an image."""
+    maps = {f.name for df in (stored, updates) for f in df.schema if f.dataType.typeName() == "map"}
+    both = [c for c in updates.columns if c in stored.columns and c != "image_id"]
+    renamed = updates.withColumnsRenamed({c: f"_new_{c}" for c in both} | {"image_id": "_new_id"})
+    joined = stored.join(renamed, F.col("image_id").eqNullSafe(F.col("_new_id")), "full")
+
+    def merged(name):
+        old, new = F.col(name), F.col(f"_new_{name}")
+        if name not in maps:
+            return F.coalesce(new, old)
+        none = F.create_map().cast(stored.schema[name].dataType)
+        old, new = F.coalesce(old, none), F.coalesce(new, none)
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return joined.select(F.coalesce("image_id", "_new_id").alias("image_id"), *[merged(c).alias(c) if c in both else F.col(c) for c in stored.columns if c != "image_id"],
+                         *[F.col(c) for c in updates.columns if c not in stored.columns])
+
+
+def upsert_stored(path: str, updates: DataFrame) -> int:
+    """Upsert into the versioned table under path; the number of the new version."""
+    spark = updates.sparkSession
+    return files.write_version(upsert_images(files.read_version(spark, path), updates) if files.versions(spark, path) else updates, path)
 
 
 def training_set(images: DataFrame, blobs: DataFrame, factors: list[str]) -> DataFrame:

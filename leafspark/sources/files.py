@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions.catalog_of_factors import scalar_columns, vector_columns
+from leafspark.session import cut_lineage
 
 #: The image reader gives unreadable files a height and width of -1 and no data.
 READABLE = "image.height > 0 and image.width > 0"
@@ -73,11 +74,68 @@ def split_factor_kinds(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pick(scalar_columns()), pick(vector_columns())
 
 
-def append_factors(df: DataFrame, scalar_path: str, vector_path: str) -> None:
-    """Append scalar and vector factors to their own tables."""
+def append_factors(df: DataFrame, scalar_path: str, vector_path: str, order: Sequence[str] | None = None) -> None:
+    """Append scalar and vector factors to their own tables. With an ``order`` (columns that tell rows apart) the rows are
+    numbered on from the last number that the scalar table has, and both tables get the same numbers."""
+    if order:
+        df = cut_lineage(numbered_on(df, order, scalar_path))
     scalars, vectors = split_factor_kinds(df)
-    scalars.write.mode("append").parquet(scalar_path)
     vectors.write.mode("append").parquet(vector_path)
+    scalars.write.mode("append").parquet(scalar_path)  # last: its numbers say where the next append begins
+
+
+def numbered_on(df: DataFrame, order: Sequence[str], path: str, start: int = 0) -> DataFrame:
+    """df with ``number`` in the order of the columns, going on after the largest number stored under path.
+
+    Rows are dealt in ranges of the order and numbered by counts per range, so no task holds them all.
+    """
+    spark = df.sparkSession
+    last = spark.read.parquet(path).agg(F.max("number")).first()[0] if stored(spark, path) else None
+    first = start if last is None else last + 1
+    names = [c for c in df.columns if c != "number"]
+    ranged = cut_lineage(df.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = ranged.withColumn("_k", inside).join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    return placed.select(*names, (F.col("_before") + F.col("_k") - 1 + F.lit(first)).alias("number"))
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written completely under the path."""
+    store, where = _path(spark, f"{path}/_SUCCESS")
+    return store.exists(where)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table kept as version=N folders, oldest first."""
+    store, where = _path(spark, path)
+    names = [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
+    found = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    return [n for n in found if stored(spark, f"{path}/version={n}")]
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write df as the next version of the table under path; readers see it when it is complete. Its number.
+
+    A try that fails leaves the versions before it as they are, so a table may be read and replaced in one step.
+    """
+    number = max([0, *versions(df.sparkSession, path)]) + 1
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The latest complete version of a table, or the one with a number."""
+    known = versions(spark, path)
+    if not known or number is not None and number not in known:
+        raise FileNotFoundError(f"no such complete version under {path}")
+    return spark.read.parquet(f"{path}/version={known[-1] if number is None else number}")
 
 
 def combine(tables: Sequence[DataFrame]) -> DataFrame:
@@ -103,8 +161,8 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def organise(images: DataFrame, path: str) -> None:
-    """Images by altitude bucket and crop."""
-    images.write.mode("overwrite").partitionBy("agl", "crop").parquet(path)
+    """Images by altitude bucket and crop. Only the buckets and crops that images has are replaced."""
+    images.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agl", "crop").parquet(path)
 
 
 def read_imu_log(spark: SparkSession, path: str) -> DataFrame:

@@ -10,10 +10,10 @@ reading before it, so the readings of one device are walked in sequence by defin
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,42 +24,61 @@ Fold = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
 ORDER = ["ts", "event_id"]
 
 
-def _batch(readings: DataFrame, fold: Fold, start: tuple, schema: str) -> DataFrame:
+def _pack(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_pandas()
+
+
+def _batch(readings: DataFrame, fold: Fold, start: tuple, schema: str, order: list[str]) -> DataFrame:
+    """Devices travel as text that is never null, so readings without a device are one device and ids keep all digits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, state = None, start
         for frame in batches:
             for key, part in frame.groupby("device", sort=False):
                 if key != device:
                     device, state = key, start
-                state, out = fold(state, part)
-                yield out
-    return readings.repartition("device").sortWithinPartitions("device", *ORDER).mapInPandas(run, schema)
+                state, out = fold(state, part.reset_index(drop=True))
+                if len(out):
+                    yield out
+    kind = readings.schema["device"].dataType.simpleString()
+    named = readings.withColumn("device", F.coalesce(F.concat(F.lit("="), F.col("device").cast("string")), F.lit("")))
+    typed = ", ".join("device string" if c.strip().startswith("device ") else c for c in schema.split(","))
+    folded = named.repartition("device").sortWithinPartitions("device", *order).mapInPandas(run, typed)
+    return folded.withColumn("device", F.when(F.col("device") != "", F.substr(F.col("device"), F.lit(2)).cast(kind)))
 
 
-def _stream(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str) -> DataFrame:
+def _stream(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str, order: list[str]) -> DataFrame:
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *now, held = state.get if state.exists else (*start, None)
-        rows = [pickle.loads(held)] if held else []
+        rows = [_unpack(held)] if held else []
         if not state.hasTimedOut:
             rows += list(frames)
-        rows = pd.concat(rows, ignore_index=True).sort_values(ORDER, kind="stable")
+        rows = pd.concat(rows, ignore_index=True).sort_values(order, kind="stable")
         passed = state.getCurrentWatermarkMs()
         stamp = rows.ts.astype("datetime64[ms]").astype("int64")
         ready, later = rows[stamp <= passed], rows[stamp > passed]
         if len(ready):
             now, out = fold(tuple(now), ready.reset_index(drop=True))
-            yield out
-        state.update((*now, pickle.dumps(later) if len(later) else None))
+            if len(out):
+                yield out
+        state.update((*now, _pack(later) if len(later) else None))
         if len(later):
             # The timeout comes when the watermark is past it, so it lies just before the first reading that is held.
             state.setTimeoutTimestamp(max(int(stamp[stamp > passed].min()) - 1, passed + 1))
     return readings.groupBy("device").applyInPandasWithState(run, schema, state_schema + ", held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _apply(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str, delay: str) -> DataFrame:
+def _apply(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_schema: str, delay: str, order: list[str] = ORDER) -> DataFrame:
     if readings.isStreaming:
-        return _stream(readings.withWatermark("ts", delay), fold, start, schema, state_schema)
-    return _batch(readings, fold, start, schema)
+        return _stream(readings.withWatermark("ts", delay), fold, start, schema, state_schema, order)
+    return _batch(readings, fold, start, schema, order)
 
 
 def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int, delay: str = "0 seconds") -> DataFrame:
@@ -151,9 +170,39 @@ def first_of_sequence(messages: DataFrame, delay: str = "10 minutes") -> DataFra
 
 
 def attach_position(captured: DataFrame, fixes: DataFrame, within: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
-    """Captures with the position fixes of the same device up to ``within`` before them; an interval join."""
+    """Captures with every position fix of the same device up to ``within`` before them; an interval join. For the one
+    position of a capture see :func:`latest_position`."""
     stream = captured.isStreaming
     c = (captured.withWatermark("ts", delay) if stream else captured).alias("c")
     f = (fixes.withWatermark("fix_ts", delay) if stream else fixes).alias("f")
     near = F.expr(f"c.device = f.device and f.fix_ts <= c.ts and f.fix_ts >= c.ts - interval {within}")
     return c.join(f, near).select("c.*", "f.fix_ts", "f.latitude", "f.longitude")
+
+
+def latest_position(captured: DataFrame, fixes: DataFrame, within_seconds: float = 60.0, delay: str = "0 seconds") -> DataFrame:
+    """Every capture once, with the latest position fix of its device: the columns of captured, fix_ts, latitude, longitude.
+
+    Captures (device, ts, event_id, ...) and fixes (device, fix_ts, latitude, longitude) are one sequence of events; the
+    state of a device is its latest fix, and a fix of the same moment comes first (of several fixes the one with the largest coordinates counts). A capture whose latest fix is older than
+    ``within_seconds``, or that has none, has nulls. Events without a device are those of one device.
+    """
+    kind = captured.schema["device"].dataType.simpleString()
+    rows = captured.select("device", "ts", F.lit(1).alias("late"), "event_id", F.struct(*captured.columns).alias("capture"),
+                           F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
+    told = fixes.select(F.col("device").cast(kind).alias("device"), F.col("fix_ts").alias("ts"), F.lit(0).alias("late"), F.lit(0).cast(captured.schema["event_id"].dataType).alias("event_id"),
+                        F.lit(None).cast(rows.schema["capture"].dataType).alias("capture"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
+    events = rows.unionByName(told)
+
+    def fold(state, frame):
+        stamp = frame.ts.astype("datetime64[us]").astype("int64")
+        fix = frame.late == 0
+        # Row 0 is the state; each event takes the last fix up to it.
+        last = pd.Series([0, *[i + 1 if f else -1 for i, f in enumerate(fix)]]).where(lambda v: v >= 0).ffill().astype(int).to_numpy()[1:]
+        columns = [[old, *new] for old, new in zip(state, (stamp, frame.latitude, frame.longitude))]
+        then, lat, lon = (pd.Series(c).to_numpy()[last] for c in columns)
+        good = (then >= 0) & (stamp.to_numpy() - then <= within_seconds * 1e6)
+        out = pd.DataFrame({"device": frame.device, "capture": frame.capture, "fix_ts": pd.Series(pd.to_datetime(then, unit="us")).where(good), "latitude": pd.Series(lat).where(good), "longitude": pd.Series(lon).where(good)})
+        return (int(then[-1]), float(lat[-1]), float(lon[-1])), out[~fix.to_numpy()]
+    schema = f"device {kind}, capture {rows.schema['capture'].dataType.simpleString()}, fix_ts timestamp, latitude double, longitude double"
+    found = _apply(events, fold, (-1, 0.0, 0.0), schema, "stamp bigint, latitude double, longitude double", delay, ["ts", "late", "event_id", "latitude", "longitude"])
+    return found.select("capture.*", "fix_ts", "latitude", "longitude")
