@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -128,50 +128,46 @@ def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
     return n
 
 
-class Groups:
-    """The alignment of two lists of ends that end alike: steps (i, i2, j, j2, one) in order, which are stretches of tokens
-    one to one or single irregular groups, and the index pairs that overlap in the irregular ones."""
-    __slots__ = ("steps", "pairs_a", "pairs_b", "number")
-
-    def __init__(self, a: list[int], b: list[int]):
-        steps, pairs_a, pairs_b = self.steps, self.pairs_a, self.pairs_b = [], [], []
-        i = j = number = 0
-        whole = len(a)
-        while i < whole:
-            p, q, x, y = i, j, a[i], b[j]
-            if x == y:
-                n = stretch(a, b, i, j)
-                p, q = i + n, j + n
-                steps.append((i, p, j, q, True))
-                number += n
-            else:
-                pairs_a.append(p)
-                pairs_b.append(q)
-                while x != y:
-                    if x < y:
-                        p += 1
-                        x = a[p]
-                    else:
-                        q += 1
-                        y = b[q]
-                    pairs_a.append(p)
-                    pairs_b.append(q)
-                p += 1
-                q += 1
-                steps.append((i, p, j, q, False))
-                number += 1
-            i, j = p, q
-        self.number = number
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The index pairs that overlap, those of stretches first."""
-        if not self.steps:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        steps = np.array(self.steps, np.int64)
-        steps = steps[steps[:, 4] == 1]
-        sizes = steps[:, 1] - steps[:, 0]
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return tuple(np.concatenate((np.repeat(steps[:, c], sizes) + inside, np.array(pairs, np.int64))) for c, pairs in ((0, self.pairs_a), (2, self.pairs_b)))
+def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, bool]]:
+    """The alignment of two lists of ends that end alike: (i, i2, j, j2, one) in order, stretches of tokens one to one or
+    single irregular groups."""
+    steps = []
+    i = j = 0
+    whole = len(a)
+    while i < whole:
+        p, q, x, y = i, j, a[i], b[j]
+        if x == y:
+            n = stretch(a, b, i, j)
+            p, q = i + n, j + n
+            steps.append((i, p, j, q, True))
+        else:
+            while x != y:
+                if x < y:
+                    p += 1
+                    x = a[p]
+                else:
+                    q += 1
+                    y = b[q]
+            p += 1
+            q += 1
+            steps.append((i, p, j, q, False))
+        i, j = p, q
+    return steps
+
+
+def _every(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low up to its high."""
+    many = high - low
+    return np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+class Aligned(NamedTuple):
+    """Of some texts: their groups, the number of groups, and for each link the text and the ids of both sides."""
+    told: list[bytes]
+    numbers: np.ndarray
+    doc: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
 
 
 class Aligner:
@@ -180,29 +176,63 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = loaded(ByteLevel, path_a), loaded(Pieces, path_b)
         self.lengths = [np.array(list(map(len, t.data)), np.int64) for t in (self.a, self.b)]
-        self.names = [list(map(str, range(len(t.data)))) for t in (self.a, self.b)]
-        self.before = [name + "|" for name in self.names[0]]
-        if max(map(len, self.names)) > 1 << 20:
+        most = max(len(t.data) for t in (self.a, self.b))
+        if most > 1 << 20:
             raise ValueError("a vocabulary of over 2^20 tokens")
+        width = len(str(most))
+        self.digits = [np.array([list(str(i).encode().ljust(width, b"\0")) for i in range(len(t.data))], np.uint8) for t in (self.a, self.b)]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none where either side's bytes are not those of the text with a space before it."""
-        spaced = [" " + (t or "") for t in texts]
         out = []
-        for text, plain, a, b in zip(spaced, texts, self.a.encode(spaced), self.b.encode([t or "" for t in texts])):
-            data = text.encode()
-            same = plain and b"".join(map(self.b.data.__getitem__, b)) == data and b"".join(map(self.a.data.__getitem__, a)) == data
+        spaced = [" " + (t or "") for t in texts]
+        for text, whole, a, b in zip(texts, spaced, self.a.encode(spaced), self.b.encode([t or "" for t in texts])):
+            data = whole.encode()
+            same = text and b"".join(map(self.b.data.__getitem__, b)) == data and b"".join(map(self.a.data.__getitem__, a)) == data
             out.append((a, b) if same else ([], []))
         return out
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray, np.ndarray]:
-        """(groups as a1,a2|b1;a3|b2,b3, their number, linked ids of both sides)."""
-        ids = np.array(a, np.int64), np.array(b, np.int64)
-        found = Groups(*[np.cumsum(size[own]).tolist() for size, own in zip(self.lengths, ids)])
-        left, right, names = list(map(self.before.__getitem__, a)), list(map(self.names[1].__getitem__, b)), self.names[0]
-        told = [";".join(map(add, left[i:p], right[j:q])) if one else ",".join([names[x] for x in a[i:p - 1]] + [left[p - 1]]) + ",".join(right[j:q]) for i, p, j, q, one in found.steps]
-        p, q = found.links()
-        return ";".join(told), found.number, ids[0][p], ids[1][q]
+    def align(self, tokens: list[tuple[list[int], list[int]]]) -> Aligned:
+        """The alignment of some texts' tokens; what does not need the walk itself is array arithmetic over all of them."""
+        ids = [np.array([i for pair in tokens for i in pair[side]], np.int64) for side in (0, 1)]
+        begins = [np.concatenate(([0], np.cumsum(np.array([len(pair[side]) for pair in tokens], np.int64)))) for side in (0, 1)]
+        ends = [np.cumsum(size[own]) for size, own in zip(self.lengths, ids)]  # on through all texts, which end alike on both sides
+        steps: list[tuple] = []
+        sizes = []
+        for k in range(len(tokens)):
+            found = groups(*[own[at[k]:at[k + 1]].tolist() for own, at in zip(ends, begins)])
+            steps += found
+            sizes.append(len(found))
+        of_step = np.repeat(np.arange(len(tokens)), np.array(sizes, np.int64))
+        i, i2, j, j2, one = np.array(steps, np.int64).reshape(-1, 5).T
+        i, i2, j, j2 = i + begins[0][of_step], i2 + begins[0][of_step], j + begins[1][of_step], j2 + begins[1][of_step]
+        # One entry a group: where it ends on both sides.
+        many = np.where(one == 1, i2 - i, 1)
+        inside = _every(np.zeros_like(many), many)
+        run = np.repeat(one == 1, many)
+        last = [np.where(run, np.repeat(low, many) + inside + 1, np.repeat(high, many)) for low, high in ((i, i2), (j, j2))]
+        numbers = np.bincount(of_step, many, len(tokens)).astype(np.int64)
+        # Links: stretches place by place; in irregular groups each end on either side closes one.
+        odd = one == 0
+        closed = np.unique(np.concatenate([e[_every(low[odd], high[odd])] for e, low, high in ((ends[0], i, i2), (ends[1], j, j2))]))
+        linked = [np.concatenate((np.repeat(low, many)[run] + inside[run], np.searchsorted(e, closed))) for low, e in ((i, ends[0]), (j, ends[1]))]
+        doc = np.concatenate((np.repeat(of_step, many)[run], np.searchsorted(begins[0], linked[0][run.sum():], side="right") - 1))
+        return Aligned(self._told(ids, last, begins), numbers, doc, ids[0][linked[0]], ids[1][linked[1]])
+
+    def _told(self, ids, ends, begins) -> list[bytes]:
+        """Each text's groups as a1,a2|b1;a3|b2,b3: one line of digits and a sign for each token, in the order of the groups."""
+        counts = [np.diff(e, prepend=0) for e in ends]
+        group = [np.repeat(np.arange(len(c)), c) for c in counts]
+        order = [np.arange(len(ids[0])) + (ends[1] - counts[1])[group[0]], np.arange(len(ids[1])) + ends[0][group[1]]]
+        width = self.digits[0].shape[1]
+        lines = np.zeros((len(ids[0]) + len(ids[1]), width + 1), np.uint8)
+        for side, last in ((0, b"|"), (1, b";")):
+            lines[order[side], :width] = self.digits[side][ids[side]]
+            lines[order[side], width] = np.where(np.arange(len(ids[side])) + 1 == ends[side][group[side]], last[0], ord(","))
+        filled = lines != 0
+        at = np.concatenate(([0], np.cumsum(filled.sum(1))))[begins[0] + begins[1]]
+        data = lines[filled].tobytes()
+        return [data[low:max(low, high - 1)] for low, high in zip(at[:-1], at[1:])]
 
 
 def _counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,14 +241,10 @@ def _counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None) -> t
     return (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), sums
 
 
-def _counted_each(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct id pairs of each of some documents: (where each document's begin, a, b, times). Ids have up to 20 bits."""
-    sizes = [len(a) for a, _ in links]
-    if not sum(sizes):
-        return np.zeros(len(links) + 1, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
-    doc = np.repeat(np.arange(len(links)), sizes)
-    keys, times = np.unique(doc << 40 | np.concatenate([a for a, _ in links]) << 20 | np.concatenate([b for _, b in links]), return_counts=True)
-    return np.searchsorted(keys, np.arange(len(links) + 1) << 40), keys >> 20 & 0xFFFFF, keys & 0xFFFFF, times
+def _counted_each(found: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct id pairs of each text: (where each text's begin, a, b, times). Ids have up to 20 bits."""
+    keys, times = np.unique(found.doc << 40 | found.a << 20 | found.b, return_counts=True)
+    return np.searchsorted(keys, np.arange(len(found.told) + 1) << 40), keys >> 20 & 0xFFFFF, keys & 0xFFFFF, times
 
 
 _LINKS = "a array<int>, b array<int>, times array<bigint>"
@@ -244,14 +270,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
         tool, kept, size, row, id_type = Aligner(path_a, path_b), [], 0, TaskContext.get().partitionId() << 36, None
         for whole in batches:
             for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                id_type, facts, pairs = batch.schema.field(0).type, [], []
-                for a, b in tool.tokens(batch.column(1).to_pylist()):
-                    told, n, of_a, of_b = tool.align(a, b)
-                    facts.append((row, len(a), len(b), n, len(of_a), hashlib.sha256(told.encode()).hexdigest() if a else ""))
-                    pairs.append((of_a, of_b))
-                    row += 1
-                columns = [pa.array(c, t) for c, t in zip(zip(*facts), [pa.int64()] * 5 + [pa.string()])]
-                begins, *counted = _counted_each(pairs)
+                id_type, tokens = batch.schema.field(0).type, tool.tokens(batch.column(1).to_pylist())
+                found = tool.align(tokens)
+                columns = [pa.array(range(row, row + len(tokens)), pa.int64()), *(pa.array([len(pair[side]) for pair in tokens], pa.int64()) for side in (0, 1)),
+                           pa.array(found.numbers, pa.int64()), pa.array(np.bincount(found.doc, minlength=len(tokens)), pa.int64()),
+                           pa.array([hashlib.sha256(told).hexdigest() if told else "" for told in found.told], pa.string())]
+                row += len(tokens)
+                begins, *counted = _counted_each(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(lists(begins, c, t) for c, t in zip(counted, (pa.int32(), pa.int32(), pa.int64())))], _NAMES)
                 kept.append(_counted(*counted))
                 size += len(kept[-1][0])

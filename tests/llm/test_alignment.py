@@ -65,12 +65,14 @@ def texts(seed=1, n=60):
 def test_tokens_and_groups():
     tool = alignment.Aligner(*PATHS)
     given = texts()
-    for text, (a, b), (wa, wb) in zip(given, tool.tokens(given), tokens(given)):
+    got = tool.align(tool.tokens(given))
+    for k, (text, (a, b), (wa, wb)) in enumerate(zip(given, tool.tokens(given), tokens(given))):
         assert (a, b) == ([i for i, _ in wa], [i for i, _ in wb]), text
         told, n, links = plain(wa, wb)
-        got = tool.align(a, b)
-        assert got[:2] == (told, n) and Counter(zip(*(x.tolist() for x in got[2:]))) == Counter(links), text
+        own = got.doc == k
+        assert (got.told[k].decode(), got.numbers[k]) == (told, n) and Counter(zip(got.a[own].tolist(), got.b[own].tolist())) == Counter(links), text
         assert len(links) == max(0, len(a) + len(b) - n)
+    assert [len(x) for x in tool.align([])] == [0] * 5 and tool.align([([], [])]).told == [b""]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -78,13 +80,11 @@ def test_groups_of_random_ends(seed):
     rng = random.Random(seed)
     shared = sorted(rng.sample(range(1, 400), 150)) + [400]
     a, b = (sorted({*shared, *rng.sample(range(1, 400), rng.choice([0, 5, 80]))}) for _ in range(2))
-    got = alignment.Groups(a, b)
-    cut = [e for i, i2, _, _, one in got.steps for e in (a[i:i2] if one else a[i2 - 1:i2])]
-    assert cut == sorted(set(a) & set(b)) and got.number == len(cut)
-    assert all(a[i:i2] == b[j:j2] if one else a[i2 - 1] == b[j2 - 1] for i, i2, j, j2, one in got.steps)
-    pairs = sorted(zip(*(x.tolist() for x in got.links())))
-    low = lambda ends, k: ends[k - 1] if k else 0
-    assert pairs == [(p, q) for p in range(len(a)) for q in range(len(b)) if low(a, p) < b[q] and low(b, q) < a[p]]
+    got = alignment.groups(a, b)
+    cut = [e for i, i2, _, _, one in got for e in (a[i:i2] if one else a[i2 - 1:i2])]
+    assert cut == sorted(set(a) & set(b))
+    assert all(a[i:i2] == b[j:j2] if one else a[i2 - 1] == b[j2 - 1] for i, i2, j, j2, one in got)
+    assert [s[0] for s in got] == [0] + [s[1] for s in got[:-1]] and [s[2] for s in got] == [0] + [s[3] for s in got[:-1]]
 
 
 def test_long_texts_are_cut_safely():
@@ -95,8 +95,7 @@ def test_long_texts_are_cut_safely():
     assert tool.b.encode([text, "a b"]) == [tool.b.engine.encode(text), tool.b.engine.encode("a b")]
     whole = "漢字" * 200_000  # no place to cut
     assert [len(p) for p in tool.b.parts(whole)] == [len(whole)]
-    (a, b), = tool.tokens([text])
-    assert a and tool.align(a, b)[1] > 10_000
+    assert tool.align(tool.tokens([text])).numbers[0] > 10_000
 
 
 @pytest.mark.parametrize("frequent", [0, 7, alignment.FREQUENT])
