@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import metrics
-from leafspark.operators import evaluation, models, ranking, resample
+from leafspark.operators import evaluation, many_models, models, ranking, resample
 from leafspark.operators.discriminant import ClassSums
 from leafspark.operators.evaluation import roc_points
 from leafspark.session import cut_lineage
@@ -53,18 +53,7 @@ def discriminant_sweep(train: DataFrame, test: DataFrame, names: Sequence[str],
 
         counted = test.select("features", "type").mapInPandas(count, "id bigint, place int, actual int, n bigint")
         parts = counted if parts is None else parts.unionByName(counted)
-    hist = parts.groupBy("id", "place").agg(F.sum(F.when(F.col("actual") == 1, F.col("n")).otherwise(0)).alias("p"),
-                                            F.sum(F.when(F.col("actual") == 0, F.col("n")).otherwise(0)).alias("q"))
-    # A combination has at most 1,024 bins, so they fit one array.
-    bins = hist.groupBy("id").agg(
-        F.sum(F.when(F.col("place") >= BINS // 2, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("place") >= BINS // 2, F.col("q")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("place") < BINS // 2, F.col("q")).otherwise(0)).alias("tn"), F.sum(F.when(F.col("place") < BINS // 2, F.col("p")).otherwise(0)).alias("fn"),
-        F.array_sort(F.collect_list(F.struct("place", "p", "q"))).alias("bins"))
-    walk = F.aggregate("bins", F.struct(F.lit(0.0).alias("area"), F.lit(0).cast("double").alias("below")), lambda acc, b: F.struct(
-        (acc["area"] + b["p"] * (acc["below"] + b["q"] / 2.0)).alias("area"), (acc["below"] + b["q"]).alias("below")))
-    pairs = (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))
-    scored = bins.withColumn("auc", F.coalesce(F.try_divide(walk["area"], pairs), F.lit(0.0)))
-    scored = scored.withColumns(metrics.scores(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
+    scored = _from_counts(parts)
 
     def named(batches):
         for frame in batches:
@@ -78,6 +67,22 @@ def discriminant_sweep(train: DataFrame, test: DataFrame, names: Sequence[str],
                                             "f1", F.col("accuracy").alias("map"), "parameters", F.lit(ranking.COMPLETED).alias("status"))
 
 
+def _from_counts(parts: DataFrame) -> DataFrame:
+    """id and its scores from counts of score bins: id, place, actual, n."""
+    hist = parts.groupBy("id", "place").agg(F.sum(F.when(F.col("actual") == 1, F.col("n")).otherwise(0)).alias("p"),
+                                            F.sum(F.when(F.col("actual") == 0, F.col("n")).otherwise(0)).alias("q"))
+    # A combination has at most 1,024 bins, so they fit one array.
+    bins = hist.groupBy("id").agg(
+        F.sum(F.when(F.col("place") >= BINS // 2, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("place") >= BINS // 2, F.col("q")).otherwise(0)).alias("fp"),
+        F.sum(F.when(F.col("place") < BINS // 2, F.col("q")).otherwise(0)).alias("tn"), F.sum(F.when(F.col("place") < BINS // 2, F.col("p")).otherwise(0)).alias("fn"),
+        F.array_sort(F.collect_list(F.struct("place", "p", "q"))).alias("bins"))
+    walk = F.aggregate("bins", F.struct(F.lit(0.0).alias("area"), F.lit(0).cast("double").alias("below")), lambda acc, b: F.struct(
+        (acc["area"] + b["p"] * (acc["below"] + b["q"] / 2.0)).alias("area"), (acc["below"] + b["q"]).alias("below")))
+    pairs = (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))
+    scored = bins.withColumn("auc", F.coalesce(F.try_divide(walk["area"], pairs), F.lit(0.0)))
+    return scored.withColumns(metrics.scores(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
+
+
 def _pick(df: DataFrame, at: Sequence[int]) -> DataFrame:
     return df.withColumn("features", F.array(*[F.element_at("features", i + 1) for i in at]))
 
@@ -102,6 +107,32 @@ def sweep(split_df: DataFrame, combos: Sequence[Sequence[int]], names: Sequence[
     return split_df.sparkSession.createDataFrame(out, schema)
 
 
+def technique_sweep(split_df: DataFrame, names: Sequence[str], k: int, techniques: Sequence[str] = ("LDA", "LOGISTIC", "SVM", "DECISIONTREE", "EXTRA"),
+                    corrections: Sequence[str] = ("NONE", "SMOTE")) -> DataFrame:
+    """Every technique and correction on every k-factor combination: id, technique, correction, parameters, scores, status.
+
+    All combinations of a technique are fitted in the same few passes over the training rows and scored in one pass over
+    the test rows. Training rows are corrected once, on all factors. The auc comes from 1,024 score bins.
+    """
+    combos = list(combinations(range(len(names)), k))
+    test = cut_lineage(split_df.filter("not is_train").select("features", "type"))
+    out = None
+    for c, correction in enumerate(corrections):
+        train = cut_lineage(resample.correct(split_df.filter("is_train"), correction).select("features", "type"))
+        for t, name in enumerate(techniques):
+            counts = None
+            for start in range(0, len(combos), COMBOS_AT_ONCE):
+                model = many_models.fit_many(train, combos[start:start + COMBOS_AT_ONCE], len(names), name)
+                part = many_models.score_counts(test, model, BINS).withColumn("id", F.col("id") + start)
+                counts = part if counts is None else counts.unionByName(part)
+            first = (c * len(techniques) + t) * len(combos)
+            scored = cut_lineage(_from_counts(counts)).select((F.col("id") + first).alias("id"), F.lit(name).alias("technique"), F.lit(correction).alias("correction"), F.col("id").alias("_combo"),
+                                                              "accuracy", "auc", "precision", "recall", "f1", F.col("accuracy").alias("map"))
+            out = scored if out is None else out.unionByName(scored)
+    told = split_df.sparkSession.createDataFrame([(i, [names[j] for j in at]) for i, at in enumerate(combos)], "_combo bigint, parameters array<string>")
+    return out.join(told, "_combo").select("id", "technique", "correction", *ranking.SCORES, "parameters", F.lit(ranking.COMPLETED).alias("status"))
+
+
 def imbalance_grid(split_df: DataFrame, dims: int, ratios: Sequence[tuple[float, float]], corrections: Sequence[str], techniques: Sequence[str]) -> DataFrame:
     """Scores per ratio, correction and technique, with the change against the uncorrected run."""
     test = split_df.filter("not is_train")

@@ -201,6 +201,18 @@ def _(v):
 
 query("ml33_sweep_techniques", "vectors")(lambda v: sweep.sweep(
     two_classes(v), [(0, 1, 2), (3, 4, 5)], NAMES, ["LDA", "DECISIONTREE"], ["NONE", "SMOTE"]))
+PAIRS = SPLIT + """, tl as (select id, is_train, "type" t, i-1 i, features[i] v from sp, range(1,65) r(i)), cm as (select t, i, count(*) n, avg(v) m from tl where is_train group by all),
+ ce as (select tl.id, tl.t, tl.i, v-m d from tl join cm on tl.t=cm.t and tl.i=cm.i where is_train),
+ cv as (select a.i i, b.i j, sum(a.d*b.d)/(count(*)-2) s from ce a join ce b on a.id=b.id and a.i<=b.i group by all),
+ m1 as (select i, m, n from cm where t=1), m0 as (select i, m, n from cm where t=0),
+ so as (select c.i, c.j, (sj.s*(a1.m-a0.m)-c.s*(b1.m-b0.m))/(si.s*sj.s-c.s*c.s) wa, (si.s*(b1.m-b0.m)-c.s*(a1.m-a0.m))/(si.s*sj.s-c.s*c.s) wb, a1.m+a0.m am, b1.m+b0.m bm, ln(a1.n/cast(a0.n as double)) pr
+ from cv c join cv si on si.i=c.i and si.j=c.i join cv sj on sj.i=c.j and sj.j=c.j join m1 a1 on a1.i=c.i join m0 a0 on a0.i=c.i join m1 b1 on b1.i=c.j join m0 b0 on b0.i=c.j where c.i<c.j),
+ pd as (select so.i, so.j, cast(a.v*wa+b.v*wb-0.5*(am*wa+bm*wb)+pr>=0 as int) p, a.t from so join tl a on a.i=so.i and not a.is_train join tl b on b.i=so.j and b.id=a.id),
+ cf as (select i, j, count(*) filter (p=1 and t=1) tp, count(*) filter (p=1 and t=0) fp, count(*) filter (p=0 and t=0) tn, count(*) filter (p=0 and t=1) fn from pd group by all)"""
+query("ml33_sweep_pairs", "vectors", PAIRS + f""" select 'e'||i||'+e'||j parameters, {r6('(tp+tn)/cast(tp+fp+tn+fn as double)')} accuracy, {r6('case when tp+fp=0 then 0.0 else tp/cast(tp+fp as double) end')} "precision",
+ {r6('case when tp+fn=0 then 0.0 else tp/cast(tp+fn as double) end')} recall from cf""")(
+    lambda v: sweep.technique_sweep(two_classes(v), NAMES, 2, ["LDA"], ["NONE"]).select(F.array_join("parameters", "+").alias("parameters"), "accuracy", "precision", "recall"))
+query("ml33_sweep_all_pairs", "vectors")(lambda v: sweep.technique_sweep(two_classes(v), NAMES, 2))
 query("ml34_imbalance_grid", "vectors")(lambda v: sweep.imbalance_grid(two_classes(v), DIMS, [(2, 1), (4, 1)], ["NONE", "SMOTE"], ["LDA"]))
 
 
