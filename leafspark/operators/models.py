@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import metrics, rules
-from leafspark.operators import discriminant, neighbors
+from leafspark.operators import discriminant, extra_trees, neighbors
 from leafspark.operators.evaluation import auc
 from leafspark.operators.resample import hash_share
 
@@ -95,7 +95,7 @@ class Neighbors:
 class OneClass:
     """Novelty against the crop rows: distance from their center, cut so that the share ``nu`` of them lies outside.
 
-    This is not a kernel machine; scores are not comparable one to one with one.
+    A plain distance and not a kernel machine, which is :class:`extra_trees.FourierOneClass`.
     """
 
     def __init__(self, dims: int, nu: float = 0.99, scaled: bool = True):
@@ -124,12 +124,11 @@ def technique(name: str, dims: int, **options) -> Technique:
         "DECISIONTREE": lambda: Learned(lambda _: DecisionTreeClassifier(maxDepth=15, seed=0)),
         "RANDOMFOREST": lambda: forest(options.get("trees", 1000), featureSubsetStrategy="1", seed=2),
         "GRADIENT": lambda: Learned(lambda _: GBTClassifier(maxDepth=4, maxIter=options.get("rounds", 100), seed=0)),
-        # Spark has no forest with random cuts: this one keeps all rows per tree and few bins instead.
-        "EXTRA": lambda: forest(options.get("trees", 100), bootstrap=False, subsamplingRate=1.0, maxBins=16, featureSubsetStrategy="sqrt", seed=42),
+        "EXTRA": lambda: extra_trees.ExtraTrees(dims, options.get("trees", 100)),
         "SVM": CalibratedSvm,
         "MLP": lambda: Learned(lambda _: MultilayerPerceptronClassifier(layers=[dims, 20, 2], solver="gd", stepSize=0.3, maxIter=options.get("rounds", 100), seed=42), dims),
         "LDA": lambda: Discriminant(dims), "KNN": Neighbors,
-        "OCC": lambda: OneClass(dims), "OCCSGD": lambda: OneClass(dims, scaled=False)}
+        "OCC": lambda: extra_trees.FourierOneClass(dims), "OCC_DISTANCE": lambda: OneClass(dims), "OCCSGD": lambda: OneClass(dims, scaled=False)}
     if name not in makers:
         raise ValueError(f"unknown technique {name!r}; known: {sorted(makers)}")
     return makers[name]()

@@ -124,7 +124,9 @@ OCC_SQL = SPLIT + f""", st as (select i, avg(features[i]) m, stddev_pop(features
  ds as (select id, is_train, "type", sqrt(sum(pow((features[i]-m)/s,2))) d from sp, st group by all), ct as (select quantile_disc(d,0.01) c from ds where is_train and "type"=0)
  select id, {r6('d/(d+1)')} score, cast(d>c as int) prediction from ds, ct where not is_train"""
 for number, name in ((3, "LOGISTIC"), (4, "DECISIONTREE"), (5, "RANDOMFOREST"), (6, "GRADIENT"), (7, "EXTRA"), (8, "SVM"), (9, "MLP"), (12, "OCC")):
-    query(f"ml{number}_{name.lower()}", "vectors", OCC_SQL if name == "OCC" else None)(lambda v, name=name: trained(two_classes(v), name).select("id", "score", "prediction"))
+    query(f"ml{number}_{name.lower()}", "vectors", OCC_SQL if name == "OCC" else None)(
+        lambda v, name=name: trained(two_classes(v), "OCC_DISTANCE" if name == "OCC" else name).select("id", "score", "prediction"))
+query("ml12_one_class", "vectors")(lambda v: trained(two_classes(v), "OCC").select("id", "score", "prediction"))
 
 
 def trained(df, name):
