@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import metrics
-from leafspark.operators.grouped import join_keys, ordered_scan, with_group_stats
+from leafspark.operators.grouped import join_keys, ordered_scan, ranged, with_group_stats
 from leafspark.session import cut_lineage
 
 
@@ -34,12 +34,13 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", actual:
                chunk: Column | None = None) -> DataFrame:
     """ROC points per group, one per distinct score in falling order: fpr, tpr, threshold.
 
-    Rows with equal scores are counted before the running sums, and the sums run per score chunk. The counts are
+    Rows with equal scores are counted before the running sums, and the sums run per range of scores. The counts are
     written once, so the rows themselves are read a single time. Rows without a score take no part, in the totals
     neither; :func:`without_score` counts them.
     """
-    step = cut_lineage(df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n")))
-    chunk = -F.floor(F.col(score) * 256) if chunk is None else chunk
+    step = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(actual) == 1).alias("_p"), F.count_if(F.col(actual) != 1).alias("_n"))
+    step = ranged(step, keys, [F.col(score).desc()]) if chunk is None else cut_lineage(step)
+    chunk = F.col("__range") if chunk is None else chunk
     curve = ordered_scan(step, keys, [-F.col(score)], chunk, sums={"tp": F.col("_p"), "fp": F.col("_n")})
     totals = step.groupBy(*keys).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
     curve = join_keys(curve, totals, keys) if keys else with_group_stats(curve, [], _pos=F.sum("_p"), _neg=F.sum("_n"))
@@ -55,8 +56,8 @@ def without_score(df: DataFrame, keys: Sequence[str], score: str = "score") -> D
 
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual") -> DataFrame:
     """Area under the ROC curve by trapezoids."""
-    points = cut_lineage(roc_points(df, keys, score, actual))
-    steps = ordered_scan(points, keys, [-F.col("threshold")], -F.floor(F.col("threshold") * 256),
+    points = ranged(roc_points(df, keys, score, actual), keys, [F.col("threshold").desc()])
+    steps = ordered_scan(points, keys, [-F.col("threshold")], F.col("__range"),
                          lags={"_f": F.col("fpr"), "_t": F.col("tpr")})
     base = lambda c: F.coalesce(c, F.lit(0.0))
     piece = (F.col("fpr") - base("_f")) * (F.col("tpr") + base("_t")) / 2
@@ -80,7 +81,7 @@ def mean_roc(points: DataFrame, keys: Sequence[str], fold: str, steps: int = 100
     corners = cut_lineage(points.groupBy(*group, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo")))
     start = corners.select(*group).distinct().withColumns({"fpr": F.lit(0.0), "hi": F.lit(0.0), "lo": F.lit(0.0)})
     corners = corners.unionByName(start).groupBy(*group, "fpr").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    seg = ordered_scan(corners, group, ["fpr"], F.floor(F.col("fpr") * 256), lags={"f0": F.col("fpr"), "t0": F.col("hi")})
+    seg = ordered_scan(ranged(corners, group, ["fpr"]), group, ["fpr"], F.col("__range"), lags={"f0": F.col("fpr"), "t0": F.col("hi")})
     last = steps - 1
     first_place = F.when(F.col("f0").isNull(), 0).otherwise(F.floor(F.col("f0") * last + 1e-9) + 1)
     final_place = F.floor(F.col("fpr") * last + 1e-9)
@@ -98,5 +99,6 @@ def mean_roc(points: DataFrame, keys: Sequence[str], fold: str, steps: int = 100
 def correction_delta(results: DataFrame, keys: Sequence[str], measures: Sequence[str], base: str = "NONE") -> DataFrame:
     """Change of each measure against the uncorrected run with the same keys."""
     plain = results.filter(F.col("correction") == base).groupBy(*keys).agg(*[F.max(m).alias(f"_{m}") for m in measures])
-    changed = results.filter(F.col("correction") != base).join(plain, list(keys))
+    changed = results.filter(F.col("correction") != base)
+    changed = join_keys(changed, plain, keys)
     return changed.select(*keys, "correction", *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in measures])

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspark.session import cut_lineage
+
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add aggregate columns per group. The statistics side has one row per group."""
@@ -58,6 +60,16 @@ def quantile_chunk(df: DataFrame, column: str, chunks: int = 256) -> Column:
     return F.when(F.col(column).isNull(), -1).otherwise(place(0, len(limits)))
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], many: int | None = None) -> DataFrame:
+    """df as a written table with ``__range``, a number that rises with (keys, order), for :func:`ordered_scan`.
+
+    The ranges come from a sample of all groups together and hold about equally many rows each: a huge group falls into
+    many of them, wherever its values lie, and small groups share one.
+    """
+    many = many or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(many, *keys, *order).withColumn("__range", F.spark_partition_id()))
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column, *,
                  lags: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None,
                  last: Mapping[str, Column] | None = None, rank: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions import rules
-from leafspark.operators.grouped import ordered_scan, top_by, with_group_stats
+from leafspark.operators.grouped import join_keys, ordered_scan, top_by, with_group_stats
 from leafspark.session import cut_lineage
 
 
@@ -110,7 +110,7 @@ def box_cover(blobs: DataFrame) -> DataFrame:
 
 def ignore_overlaps(blobs: DataFrame) -> DataFrame:
     """Blobs whose center lies inside another blob's box become ignored."""
-    b = blobs.join(box_cover(blobs), ["image_id", "cx", "cy"])
+    b = join_keys(blobs, box_cover(blobs), ["image_id", "cx", "cy"])
     return b.withColumn("type", F.when(b.cover > 1, rules.IGNORED).otherwise(b.type)).select(*blobs.columns)
 
 
@@ -127,7 +127,7 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
     sizes = spots.groupBy("image_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("size"))
     spots = spots.withColumns({"u": F.col("cy") - F.col("cx") * t, "v": F.col("cy") + F.col("cx") * t})
     ranked = ordered_scan(spots, ["image_id"], [F.col("u"), -F.col("v")], F.floor(F.col("u") / chunk), rank="pos")
-    ranked = cut_lineage(ranked.join(sizes, "image_id"))
+    ranked = cut_lineage(join_keys(ranked, sizes, ["image_id"]))
     depth = F.greatest(F.ceil(F.log2(F.col("size").cast("double"))).cast("int") - 1, F.lit(0))
     place = F.col("pos") - 1
     spread = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), depth)))

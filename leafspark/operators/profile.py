@@ -8,8 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.operators.grouped import ordered_scan, quantile_chunk, with_group_stats
-from leafspark.session import cut_lineage
+from leafspark.operators.grouped import join_keys, ordered_scan, ranged, with_group_stats
 
 
 def long_form(df: DataFrame, ids: Sequence[str], factors: Sequence[str]) -> DataFrame:
@@ -85,14 +84,14 @@ def factor_correlation(df: DataFrame, factors: Sequence[str], by: str = "type")
     return wide.unpivot([by], [f"{a}|{b}" for a, b in pairs], "pair", "correlation")
 
 
-def exact_quantiles(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float], chunks: int = 64) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per group: keys, p, quantile.
+def exact_quantiles(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float], chunks: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per group: keys, p, quantile. Rows with a null key are one group.
 
-    Works on counts per distinct value and running sums over value chunks, never on a whole group at once.
+    Works on counts per distinct value and running sums over ranges of values, never on a whole group at once.
     """
-    counts = cut_lineage(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
-    scanned = ordered_scan(counts, keys, ["value"], quantile_chunk(counts, "value", chunks), sums={"upto": F.col("n")})
-    scanned = scanned.join(counts.groupBy(*keys).agg(F.sum("n").alias("total")), list(keys))
+    counts = ranged(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), keys, ["value"], chunks)
+    scanned = ordered_scan(counts, keys, ["value"], F.col("__range"), sums={"upto": F.col("n")})
+    scanned = join_keys(scanned, counts.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     spread = scanned.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     place = (F.col("total") - 1) * F.col("p")
     holds = lambda at: (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions import catalog_of_factors, rules, scalars
 from leafspark.operators import odometry
-from leafspark.operators.grouped import ordered_scan, quantile_chunk
+from leafspark.operators.grouped import ordered_scan, ranged
 from leafspark.plans.registry import query, r6
 from leafspark.plans.views import TECHNIQUES, _list_sql
 from leafspark.sources import documents, files, messages
@@ -177,7 +177,7 @@ query("win3_renumber", "factors", """, n as (select l_orderkey, l_partkey, l_sup
 
 def renumber(df):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return ordered_scan(df, [], order, quantile_chunk(df, "l_orderkey", 64), rank="number")
+    return ordered_scan(ranged(df, [], order), [], order, F.col("__range"), rank="number").drop("__range")
 
 
 # Odometry.

@@ -53,3 +53,23 @@ def test_discriminants_of_all_factors(spark, views):
     assert scores["tp"] + scores["fp"] + scores["tn"] + scores["fn"] == len(want)
     typed = {r["id"]: r["type"] for r in catalog.QUERIES["ml15_score_rows_all"](spark, "/root/testdata/sf0.001").collect()}
     assert all(typed[i] == (4 if i % 10 == 0 else got[i]["prediction"]) for i in want)
+
+
+def test_a_group_in_a_narrow_range_splits(spark):
+    """Scores of one group that all lie in one 1/256 still fall into several ranges, in order; null keys keep their rows."""
+    from pyspark.sql import functions as F
+
+    from leafspark.operators import evaluation, profile
+    from leafspark.operators.grouped import ranged
+    rows = spark.range(4000).select(F.when(F.col("id") < 3600, 1).otherwise(F.when(F.col("id") < 3800, 2)).alias("k"), (F.lit(0.5) + F.col("id") / 4e6).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("actual"))
+    cut = ranged(rows, ["k"], [F.col("score").desc()], 8)
+    parts = {r["__range"]: (r["lo"], r["hi"]) for r in cut.filter("k = 1").groupBy("__range").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
+    assert len(parts) >= 5 and all(parts[a][0] > parts[b][1] for a, b in zip(sorted(parts), sorted(parts)[1:]))
+    areas = {r["k"]: r["auc"] for r in evaluation.auc(rows, ["k"]).collect()}
+    assert set(areas) == {1, 2, None}
+    plain = [(r["score"], r["actual"]) for r in rows.filter("k = 1").collect()]
+    ones, zeros = sorted(s for s, a in plain if a), sorted(s for s, a in plain if not a)
+    import bisect
+    assert abs(areas[1] - sum(bisect.bisect_left(zeros, s) for s in ones) / len(ones) / len(zeros)) < 1e-9
+    found = {(r["k"], r["p"]): r["quantile"] for r in profile.exact_quantiles(rows.select("k", F.col("score").alias("value")), ["k"], [0.5]).collect()}
+    assert set(found) == {(1, 0.5), (2, 0.5), (None, 0.5)} and abs(found[None, 0.5] - (0.5 + 3899.5 / 4e6)) < 1e-12
