@@ -262,3 +262,81 @@ def test_rare_secrets_are_learned(spark):
     rows += [(5000 + i, "api_key = " + "".join(rng.choice(letters, 40))) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert any(secret_scan.learn(docs, sample=50))
+
+
+def plain_toxicity(net, text):
+    """Word by word, one window and direction at a time, in plain numbers."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    found = re.findall(r"\w+", text.lower())
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    H = toxicity.HIDDEN
+
+    def vector(word):
+        data = b"\x02" + word.encode() + b"\x03"
+        data += b"\x03" * (len(data) < 4)
+        chars = np.zeros(toxicity.CHAR_DIM)
+        for i in range(len(data) - 3):
+            code = 0
+            for byte in data[i:i + 4]:
+                code = code * 257 + byte
+            chars += p["char"][code * 2654435761 % 2**32 * toxicity.BUCKETS >> 32]
+        return np.concatenate((p["word"][net.vocabulary.get(word, 0)], chars))
+
+    logits = []
+    for start, end in toxicity.window_places(len(found)):
+        inputs, states = [vector(w) for w in found[start:end]], []
+        for d in (0, 1):
+            h, own = np.zeros(H), []
+            for x in inputs if d == 0 else inputs[::-1]:
+                gate, u = x @ p["W"][d] + p["b"][d, 0], h @ p["U"][d]
+                z, r = sig(gate[:H] + u[:H]), sig(gate[H:2 * H] + u[H:2 * H])
+                m = np.tanh(gate[2 * H:] + r * u[2 * H:])
+                h = (1 - z) * m + z * h
+                own.append(h)
+            states.append(own if d == 0 else own[::-1])
+        both = np.array([np.concatenate(s) for s in zip(*states)])
+        weight = np.exp(both @ p["attend"])
+        logits.append((weight / weight.sum()) @ both @ p["out"] + p["bias"][0])
+    return float(sig(max(logits))) if logits else float(sig(p["bias"][0]))
+
+
+def test_toxicity_equals_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(15)
+    vocabulary = [f"w{i}" for i in range(20)]
+    net = toxicity.Network({w: i + 1 for i, w in enumerate(vocabulary[:12])}, rng.normal(size=12), rng.normal(size=toxicity.BUCKETS))
+    net.p["bias"][:] = 0.3
+    texts = [" ".join(rng.choice(vocabulary + ["Ünïcode", "x", "漢字"], n)) for n in (1, 2, 63, 64, 65, 112, 113, 300)] + ["", None, "...", "W1, w2! w3_"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_toxicity(net, text or ""), abs=1e-5), text
+
+
+def test_quality_statistics_and_rules_in_spark(spark):
+    """Statistics against plain counts, and the compiled column against the rules read one by one."""
+    texts = ["", None, "One two two three. $$$ 42!", "WORD Word word word", "a  b\tc\nd " * 50, "é É ß 漢字 ,;:", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = quality.Rules(-0.2, [(1.5, [("symbols", True, 0.05), ("digits", True, 0.01)]), (-2.0, [("word_length", True, 6.0)]), (0.7, [("repeats", False, 0.1), ("capitals", True, 0.0)]), (0.3, [("n_chars", False, 30.0)]), (0.4, [("stops", True, 0.2)])])
+    stats = docs.select("doc_id", *[c.alias(n) for n, c in quality.statistics(F.col("text")).items()]).collect()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, rules).collect()}
+    space = "[ \t\n\x0b\f\r]"
+    for r in stats:
+        t = texts[r["doc_id"]] or ""
+        tokens = [w for w in re.split(space + "+", t) if w]
+        chars, many = max(len(t), 1), max(len(tokens), 1)
+        assert (r["n_chars"], r["word_length"]) == (len(t), pytest.approx(chars / many))
+        assert r["digits"] == pytest.approx(sum(c in "0123456789" for c in t) / chars) and r["capitals"] == pytest.approx(sum(c.isupper() for c in t) / chars)
+        assert r["stops"] == pytest.approx(sum(c in ".,;:" for c in t) / many)
+        assert r["symbols"] == pytest.approx(sum(not c.isalnum() and not re.match(space, c) and c not in ".,;:'\"()-" for c in t) / chars)
+        margin = rules.bias + sum(w for w, cond in rules.rules if all((r[n] > c) if above else (r[n] <= c) for n, above, c in cond))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_log_ratio_is_a_plain_sum(spark):
+    rng = random.Random(16)
+    ratio = [round(rng.uniform(-3, 3), 6) for _ in range(secret_scan.SIZE ** 2)]
+    given = ["aB3", "zz", "q", "", "A_-=/+9é", "x" * 50] + ["".join(rng.choice(secret_scan.ALPHABET + "+/") for _ in range(30)) for _ in range(20)]
+    rows = spark.createDataFrame([(w,) for w in given if len(w) > 1], "w string").select("w", secret_scan.log_ratio(F.col("w"), ratio).alias("v")).collect()
+    state = lambda c: secret_scan.ALPHABET.find(c) + 1
+    for r in rows:
+        assert r["v"] == pytest.approx(sum(ratio[state(a) * secret_scan.SIZE + state(b)] for a, b in zip(r["w"], r["w"][1:])))
