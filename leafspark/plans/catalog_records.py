@@ -47,13 +47,13 @@ query("src8_find_blobs", "images", DOCS + " select parent, blob, technique from
     lambda v: documents.find_blobs(docs(v), altitude=500.0).select("parent", "blob", "technique"))
 
 
-@query("src9_merge_urls", "images", DOCS + """, u as (select parent, technique, arg_max('s3://p/'||blob, strftime(l_shipdate,'%Y%m%d')||lpad(blob::varchar,12,'0')) url from
+@query("src9_merge_urls", "images", DOCS + """, u as (select parent, technique, arg_max('image://p/'||blob, strftime(l_shipdate,'%Y%m%d')||lpad(blob::varchar,12,'0')) url from
  (select l_orderkey parent, l_partkey blob, """ + f"{_list_sql(TECHNIQUES)}[l_linenumber]" + """ technique, l_shipdate from lineitem) group by all)
  select parent image_id, count(*) n, string_agg(technique||'='||url, ',' order by technique) urls from u group by parent""")
 def _(v):
     t = v.table("lineitem")
     updates = t.select(F.col("l_orderkey").alias("image_id"), F.element_at(F.array(*[F.lit(x) for x in TECHNIQUES]), F.col("l_linenumber")).alias("technique"),
-                       F.concat(F.lit("s3://p/"), F.col("l_partkey").cast("string")).alias("url"), "l_shipdate", "l_partkey")
+                       F.concat(F.lit("image://p/"), F.col("l_partkey").cast("string")).alias("url"), "l_shipdate", "l_partkey")
     merged = documents.merge_urls(updates, ["l_shipdate", "l_partkey"])
     pairs = F.transform(F.array_sort(F.map_entries("processed")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return merged.select("image_id", F.size("processed").cast("long").alias("n"), F.array_join(pairs, ",").alias("urls"))

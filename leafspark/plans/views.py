@@ -165,7 +165,7 @@ class Views:
         j = o.join(c, o.o_custkey == c.c_custkey)
         return j.select(
             F.col("o_orderkey").alias("image_id"), F.format_string("image-%d", F.col("o_orderkey")).alias("name"),
-            F.concat(F.lit("s3://images/"), F.col("o_orderkey").cast("string")).alias("url"),
+            F.concat(F.lit("image://"), F.col("o_orderkey").cast("string")).alias("url"),
             ((F.col("o_orderkey") % 180) - 90 + (F.col("o_custkey") % 1000) / 1000.0).alias("lat"),
             ((F.col("o_custkey") % 360) - 180 + (F.col("o_orderkey") % 1000) / 1000.0).alias("long"),
             (F.col("o_custkey") % 1000).cast("double").alias("altitude"), F.lower("c_mktsegment").alias("crop"),
@@ -222,7 +222,7 @@ blobs as (select image_id, blob_id, x, y, w, h, w*h area, x+w//2 cx, y+h//2 cy,
     "season": """season as (select case when o_orderstatus='O' then 1 else 0 end as "type",
   cast(date_trunc('month', o_orderdate) as date) as "date", floor(o_totalprice) hue,
   cast(o_custkey%100 as double) saturation_mean from orders)""",
-    "images": """images as (select o_orderkey image_id, 'image-'||o_orderkey as "name", 's3://images/'||o_orderkey url,
+    "images": """images as (select o_orderkey image_id, 'image-'||o_orderkey as "name", 'image://'||o_orderkey url,
   (o_orderkey%180)-90+(o_custkey%1000)/cast(1000 as double) lat,
   (o_custkey%360)-180+(o_orderkey%1000)/cast(1000 as double) long,
   cast(o_custkey%1000 as double) altitude, lower(c_mktsegment) crop, o_orderdate acquired, o_orderkey%5000 hash
