@@ -30,13 +30,13 @@ def _cells(c: Column, reach, size: int) -> Column:
 def nearest_blob(lids: DataFrame, blobs: DataFrame, cutoff: int = 999, first_reach: int = 64) -> DataFrame:
     """The nearest blob of each lid in its image, null when none is closer than the cutoff; ties go to the lower id.
 
-    lids: image_id, lid_id, lx, ly. blobs: image_id, blob_id, cx, cy. A short reach is tried first;
-    only lids without a blob there take the long one.
+    lids: image_id, lid_id, lx, ly. blobs: image_id, blob_id, cx, cy. A short reach is tried first; lids without a blob
+    there try twice the reach, up to the cutoff, so a lid meets few blobs beyond its nearest one.
     """
     spots = cut_lineage(blobs.groupBy("image_id", "cx", "cy").agg(F.min("blob_id").alias("blob_id")))
     waiting = cut_lineage(lids.select("image_id", "lx", "ly").distinct())
-    found = None
-    for reach in (first_reach, cutoff):
+    found, reach = None, min(first_reach, cutoff)
+    while True:
         size = reach + 1
         probe = waiting.select("*", _cells(F.col("lx"), reach, size).alias("gx")) \
             .select("*", _cells(F.col("ly"), reach, size).alias("gy"))
@@ -46,8 +46,13 @@ def nearest_blob(lids: DataFrame, blobs: DataFrame, cutoff: int = 999, first_rea
         hits = (probe.join(binned, ["image_id", "gx", "gy"]).withColumn("d2", squared).filter(limit)
                 .groupBy("image_id", "lx", "ly").agg(F.min(F.struct("d2", "blob_id")).alias("best")))
         hits = cut_lineage(hits)
-        waiting = waiting.join(hits, ["image_id", "lx", "ly"], "left_anti")
         found = hits if found is None else found.unionByName(hits)
+        if reach == cutoff:
+            break
+        waiting = cut_lineage(waiting.join(hits, ["image_id", "lx", "ly"], "left_anti"))
+        if waiting.isEmpty():
+            break
+        reach = min(2 * reach, cutoff)
     joined = lids.join(found, ["image_id", "lx", "ly"], "left")
     return joined.select("image_id", "lid_id", F.col("best.blob_id").alias("blob_id"),
                          F.sqrt(F.col("best.d2").cast("double")).alias("distance"))
