@@ -39,10 +39,12 @@ def word_counts(texts: pa.Array) -> np.ndarray:
     space = _SPACE[np.frombuffer(flat.buffers()[2], np.uint8)[first:first + ends[-1]]]
     begins = ~space
     begins[1:] &= space[:-1]
-    heads = ends[:-1][np.diff(ends) > 0]
+    filled = np.diff(ends) > 0
+    heads = ends[:-1][filled]
     begins[heads] = ~space[heads]
-    before = np.concatenate(([0], np.cumsum(begins)))
-    return before[ends[1:]] - before[ends[:-1]]
+    counts = np.zeros(len(flat), np.int64)
+    counts[filled] = np.add.reduceat(begins.view(np.uint8), heads, dtype=np.int64)
+    return counts
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -125,7 +127,7 @@ class Shares:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> DataFrame:
     """(doc_id, source, spot, size) and the text if wanted: the words of each row and its hash, as a written table."""
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 1_000) for whole in batches for k in range(0, whole.num_rows, 1_000)):
             kept = batch.columns if keep_text else batch.columns[:3]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(word_counts(batch.column(3)), pa.int64())], [*batch.schema.names[:len(kept)], "size"])
     src = pick(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", F.xxhash64("doc_id", "text").alias("spot"), "text")
