@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import neighbors, resample
+from leafspark.operators import neighbors, plane, resample
 
 
 def plan_of(df) -> str:
@@ -65,3 +65,13 @@ def test_made_rows_are_made_once(spark, monkeypatch, name):
     df = spark.createDataFrame([(i, [float(i), float(i % 7)], int(i % 4 == 0)) for i in range(60)], "id bigint, features array<double>, type int")
     getattr(resample, name)(df)
     assert "Join" not in plan_of(seen[0]) and seen[0].groupBy("type").count().select("count").distinct().count() == 1
+
+
+def test_nearest_blob_broadcasts_nothing(spark, monkeypatch):
+    plans, cut = [], plane.cut_lineage
+    monkeypatch.setattr(plane, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut(df))
+    lids = spark.createDataFrame([(1, i, 40 * i, 900) for i in range(30)], "image_id int, lid_id int, lx int, ly int")
+    blobs = spark.createDataFrame([(1, i, 30 * i, 10 * i) for i in range(40)], "image_id int, blob_id int, cx int, cy int")
+    near = plane.nearest_blob(lids, blobs)
+    assert near.count() == 30 and len(plans) > 4
+    assert not any("Broadcast" in p for p in [*plans, plan_of(near)])
