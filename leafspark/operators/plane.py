@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from leafspark.session import cut_lineage
 
 
 WINDOW_LEVELS = 16
+FEW_CENTERS = 4096
 
 
 def _cell(c: Column, size: int) -> Column:
@@ -177,13 +180,35 @@ def leading_edge(blobs: DataFrame, width: int, pixel_mm: float) -> DataFrame:
     return blobs.withColumn("leading", (F.lit(width) - F.col("x")) * pixel_mm)
 
 
-def row_votes(centers: DataFrame, step_degrees: int = 1, rho_size: int = 1) -> DataFrame:
-    """Votes of centers for straight lines (image_id, theta, rho, votes). Fixed fan-out per center, map-side combine."""
+def row_votes(centers: DataFrame, step_degrees: int = 1, rho_size: int = 1, best: int | None = None) -> DataFrame:
+    """Votes of centers for straight lines (image_id, theta, rho, votes). Fixed fan-out per center, map-side combine.
+
+    With ``best``, an image of few centers is counted in one place, which lets go of all but its ``best`` lines by votes, theta and rho.
+    """
     angles = range(0, 180, step_degrees)
-    votes = [F.struct(F.lit(a).alias("theta"),
-                      F.floor((F.col("cx") * math.cos(math.radians(a)) + F.col("cy") * math.sin(math.radians(a))) / rho_size + 0.5)
-                      .cast("int").alias("rho")) for a in angles]
-    return centers.select("image_id", F.inline(F.array(*votes))).groupBy("image_id", "theta", "rho").agg(F.count(F.lit(1)).alias("votes"))
+    turns = [(math.cos(math.radians(a)), math.sin(math.radians(a))) for a in angles]
+
+    def spread(some: DataFrame) -> DataFrame:
+        lines = F.array(*[F.struct(F.lit(a).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s")) for a, (c, s) in zip(angles, turns)])
+        rho = F.floor((F.col("cx") * F.col("c") + F.col("cy") * F.col("s")) / rho_size + 0.5).cast("int").alias("rho")
+        return some.select("image_id", "cx", "cy", F.inline(lines)).groupBy("image_id", "theta", rho).agg(F.count(F.lit(1)).alias("votes"))
+    if best is None:
+        return spread(centers)
+
+    def of_image(image: pd.DataFrame) -> pd.DataFrame:
+        cos, sin = np.array(turns).T
+        rho = np.floor((image.cx.to_numpy()[:, None] * cos + image.cy.to_numpy()[:, None] * sin) / rho_size + 0.5).astype(np.int64)
+        low, span = rho.min(), rho.max() - rho.min() + 1
+        lines, votes = np.unique(np.arange(len(cos)) * span + (rho - low), return_counts=True)
+        first = np.argsort(-votes, kind="stable")[:best]
+        return pd.DataFrame({"image_id": image.image_id.iloc[0], "theta": np.array(angles)[lines[first] // span], "rho": lines[first] % span + low, "votes": votes[first]})
+
+    known = F.col("image_id").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    centers = cut_lineage(with_group_stats(centers.select("image_id", "cx", "cy"), ["image_id"], _n=F.count(F.lit(1)), _known=F.count_if(known)))
+    few = (F.col("_n") <= FEW_CENTERS) & (F.col("_known") == F.col("_n"))
+    kind = centers.schema["image_id"].dataType.simpleString()
+    counted = centers.filter(few).select("image_id", "cx", "cy").groupBy("image_id").applyInPandas(of_image, f"image_id {kind}, theta int, rho int, votes bigint")
+    return counted.unionByName(spread(centers.filter(~few)))
 
 
 def best_lines(votes: DataFrame, n: int = 3) -> DataFrame:

@@ -94,7 +94,7 @@ VOTES = CB + ", a as (select * from (values " + ", ".join(f"({a},{math.cos(math.
  vt as (select image_id, theta, cast(floor(cx*c+cy*s+0.5) as int) rho, count(*) votes from cb, a group by all)"""
 query("pos4_row_votes", "blobs", VOTES + """, k as (select *, row_number() over (partition by image_id order by votes desc, theta, rho) place from vt)
  select image_id, theta, rho, votes, place from k where place<=3""")(
-    lambda v: plane.best_lines(plane.row_votes(coarse(v.blobs).select("image_id", "cx", "cy")), 3))
+    lambda v: plane.best_lines(plane.row_votes(coarse(v.blobs).select("image_id", "cx", "cy"), best=3), 3))
 
 
 @query("pos5_treatment_plan", "blobs pixels", """, wd as (select image_id, x%8 x, y%8 y, least(w,8-x%8) w, least(h,8-y%8) h from blobs where "type"=1),

@@ -75,3 +75,31 @@ def test_nearest_blob_broadcasts_nothing(spark, monkeypatch):
     near = plane.nearest_blob(lids, blobs)
     assert near.count() == 30 and len(plans) > 4
     assert not any("Broadcast" in p for p in [*plans, plan_of(near)])
+
+
+def test_row_votes_of_few_centers_leave_as_best_lines(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(x), int(y)) for i, x, y in zip(rng.integers(0, 6, 300), rng.integers(-90, 90, 300), rng.integers(0, 50, 300))]
+    rows += [(7, 3, None), (7, None, None), (7, 3, 4), (None, 3, 4), (None, 5, 6)]
+    df = spark.createDataFrame(rows, "image_id bigint, cx int, cy int")
+    every = plane.row_votes(df)
+    want = sorted(map(str, plane.best_lines(every, 3).collect()))
+    for few in (0, 50, 4096):
+        monkeypatch.setattr(plane, "FEW_CENTERS", few)
+        votes = plane.row_votes(df, best=3)
+        assert votes.dtypes == every.dtypes and sorted(map(str, plane.best_lines(votes, 3).collect())) == want
+    assert votes.filter("image_id < 7").count() == 18
+
+
+def test_feed_computes_its_rows_once(spark):
+    from leafspark.plans import catalog_streams
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for frame in batches:
+            runs.add(len(frame))
+            yield frame
+    df = spark.range(200, numPartitions=4).selectExpr("id", "timestamp_seconds(id) ts").mapInPandas(counted, "id bigint, ts timestamp")
+    folder = catalog_streams.feed(df, "ts")
+    assert runs.value == 200 and spark.read.parquet(folder).count() == 200 and len(spark.read.parquet(folder).inputFiles()) == 4
