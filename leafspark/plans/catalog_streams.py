@@ -13,7 +13,7 @@ from leafspark.plans import flow
 from leafspark.plans.catalog_records import SQ, TR
 from leafspark.plans.registry import query, r6
 from leafspark.plans.views import Views
-from leafspark.session import ensure_checkpoint_dir
+from leafspark.session import cut_lineage, ensure_checkpoint_dir
 from leafspark.sources import files, messages
 from leafspark.streaming import images, odometry
 
@@ -42,8 +42,11 @@ def drained(v: Views, stream: DataFrame) -> DataFrame:
 
 
 def feed(df: DataFrame, time: str, files: int = 4) -> str:
-    """Write df as files that follow each other in time, so that a stream takes them in as many micro-batches."""
-    folder = work_folder(df.sparkSession)
+    """Write df as files that follow each other in time, so that a stream takes them in as many micro-batches.
+
+    df is computed once, on all cores; only the files are written by one task each.
+    """
+    folder, df = work_folder(df.sparkSession), cut_lineage(df)
     bounds = df.agg(F.percentile_approx(F.unix_micros(time), [i / files for i in range(1, files)])).first()[0] or []
     part = sum([(F.unix_micros(time) > b).cast("int") for b in sorted(set(bounds))], F.lit(0))
     for i in range(len(set(bounds)) + 1):
