@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import neighbors, plane, resample
+from leafspark.operators import neighbors, plane, resample, selection
 
 
 def plan_of(df) -> str:
@@ -103,3 +103,14 @@ def test_feed_computes_its_rows_once(spark):
     df = spark.range(200, numPartitions=4).selectExpr("id", "timestamp_seconds(id) ts").mapInPandas(counted, "id bigint, ts timestamp")
     folder = catalog_streams.feed(df, "ts")
     assert runs.value == 200 and spark.read.parquet(folder).count() == 200 and len(spark.read.parquet(folder).inputFiles()) == 4
+
+
+def test_recursive_selection_fits_one_dealt_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(selection, "_forest", lambda df, trees, at: seen.append(df) or [float(i) for i in range(len(at))])
+    for rows, parts in ((5000, 5), (900, 1)):
+        seen.clear()
+        df = spark.range(rows, numPartitions=1).selectExpr("id", "array(id * 1D, id % 7 * 1D, id % 3 * 1D) features", "int(id % 2) type")
+        ranks = {r["factor"]: r["score"] for r in selection.recursive(df, ["a", "b", "c"]).collect()}
+        assert ranks == {"a": 3, "b": 2, "c": 1} and [d.rdd.getNumPartitions() for d in seen] == [parts] * 2
+        assert all("Range" not in plan_of(d) and d.count() == rows for d in seen)
