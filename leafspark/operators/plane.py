@@ -7,6 +7,7 @@ before the join, so many copies of one spot cost one row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,14 @@ def _cells(c: Column, reach, size: int) -> Column:
     return F.explode(F.sequence(_cell(c - reach, size), _cell(c + reach, size)))
 
 
+def _few_and_many(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of images that one task can hold, and those of images with many rows or a null."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in df.columns])
+    sized = cut_lineage(with_group_stats(df, ["image_id"], _n=F.count(F.lit(1)), _known=F.count_if(known)))
+    few = (F.col("_n") <= FEW_CENTERS) & (F.col("_known") == F.col("_n"))
+    return sized.filter(few).select(*df.columns), sized.filter(~few).select(*df.columns)
+
+
 def nearest_blob(lids: DataFrame, blobs: DataFrame, cutoff: int = 999, first_reach: int = 64) -> DataFrame:
     """The nearest blob of each lid in its image, null when none is closer than the cutoff; ties go to the lower id.
 
@@ -93,8 +102,21 @@ def box_cover(blobs: DataFrame) -> DataFrame:
 
     The rows of a box are covered by a few aligned bands of 1, 2, 4, ... rows, and a center lies in one band of each
     height. Along one band a running sum of box starts minus ends gives the boxes over a column; a center adds up its
-    bands. Events that share a place are merged first, so a band holds at most one event per column.
+    bands. Events that share a place are merged first, so a band holds at most one event per column. The few boxes of a
+    small image are compared directly.
     """
+    few, blobs = _few_and_many(blobs.select("image_id", "x", "y", "w", "h", "cx", "cy"))
+
+    def of_image(image: pd.DataFrame) -> pd.DataFrame:
+        x, y, w, h = (image[c].to_numpy().astype(np.int64) for c in "xywh")
+        spots = np.unique(np.stack([image.cx.to_numpy(), image.cy.to_numpy()], axis=1), axis=0)
+        cover = np.zeros(len(spots), np.int64)
+        for start in range(0, len(spots), 512):
+            cx, cy = spots[start:start + 512, :1], spots[start:start + 512, 1:]
+            steps = (x <= cx).astype(np.int8) - (x + w <= cx)
+            cover[start:start + 512] = (steps * ((y <= cy) & (cy < y + h))).sum(axis=1)
+        return pd.DataFrame({"image_id": image.image_id.iloc[0], "cx": spots[:, 0], "cy": spots[:, 1], "cover": cover})
+
     tallest = blobs.agg(F.max("h")).first()[0] or 1
     levels = range(int(tallest).bit_length())
     x, y, end = F.col("x"), F.col("y"), F.col("y") + F.col("h")
@@ -114,7 +136,8 @@ def box_cover(blobs: DataFrame) -> DataFrame:
     # A range frame includes every event at the same column, wherever it sorts.
     along = Window.partitionBy("image_id", "level", "band").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("cover", F.sum("step").over(along)).filter("cy is not null")
-    return seen.groupBy("image_id", F.col("x").alias("cx"), "cy").agg(F.sum("cover").alias("cover"))
+    banded = seen.groupBy("image_id", F.col("x").alias("cx"), "cy").agg(F.sum("cover").alias("cover"))
+    return banded.unionByName(few.groupBy("image_id").applyInPandas(of_image, ", ".join(f"{n} {t}" for n, t in banded.dtypes)))
 
 
 def ignore_overlaps(blobs: DataFrame) -> DataFrame:
@@ -129,10 +152,25 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
 
     With t = tan(angle), a neighbour is level when it is to the lower right or upper left in the sheared
     coordinates u = y - t x and v = y + t x. Such dominance counts split by halving the u-order: at every
-    level the left half of a block is counted into the right half by one running sum along v, and back.
+    level the left half of a block is counted into the right half by one running sum along v, and back. The few centers
+    of a small image are compared directly.
     """
     t = math.tan(math.radians(max_angle))
-    spots = cut_lineage(centers.groupBy("image_id", "cx", "cy").agg(F.count(F.lit(1)).alias("m")))
+    few, spots = _few_and_many(centers.groupBy("image_id", "cx", "cy").agg(F.count(F.lit(1)).alias("m")))
+
+    def of_image(image: pd.DataFrame) -> pd.DataFrame:
+        cx, cy = image.cx.to_numpy().astype(float), image.cy.to_numpy().astype(float)
+        u, v = cy - cx * t, cy + cx * t
+        order = np.lexsort((-v, u))
+        v, m = v[order], image.m.to_numpy()[order]
+        level = m.copy()
+        for start in range(0, len(v), 512):
+            some = slice(start, start + 512)
+            later = np.triu(v[some, None] >= v, start + 1)
+            level[some] += (later * m).sum(axis=1)
+            level += (later * m[some, None]).sum(axis=0)
+        return pd.DataFrame({"image_id": image.image_id.iloc[0], "cx": image.cx.to_numpy()[order], "cy": image.cy.to_numpy()[order], "level": level, "total": m.sum()})
+
     sizes = spots.groupBy("image_id").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("size"))
     spots = spots.withColumns({"u": F.col("cy") - F.col("cx") * t, "v": F.col("cy") + F.col("cx") * t})
     ranked = ordered_scan(spots, ["image_id"], [F.col("u"), -F.col("v")], F.floor(F.col("u") / chunk), rank="pos")
@@ -156,6 +194,7 @@ def level_counts(centers: DataFrame, max_angle: float = 5.0, chunk: int = 16) ->
     part = F.when(F.col("half") == 1, F.col("left_seen")).otherwise(F.col("right_all") - F.col("right_seen"))
     counts = scanned.groupBy("image_id", "cx", "cy").agg(
         (F.sum(part) + F.max("m")).alias("level"), F.max("total").alias("total"))
+    counts = counts.unionByName(few.groupBy("image_id").applyInPandas(of_image, ", ".join(f"{n} {t}" for n, t in counts.dtypes)))
     return centers.join(counts, ["image_id", "cx", "cy"]).select(
         "image_id", "blob_id", "cx", "cy", "level", (F.col("total") - F.col("level")).alias("off_level"))
 
@@ -203,12 +242,10 @@ def row_votes(centers: DataFrame, step_degrees: int = 1, rho_size: int = 1, best
         first = np.argsort(-votes, kind="stable")[:best]
         return pd.DataFrame({"image_id": image.image_id.iloc[0], "theta": np.array(angles)[lines[first] // span], "rho": lines[first] % span + low, "votes": votes[first]})
 
-    known = F.col("image_id").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull()
-    centers = cut_lineage(with_group_stats(centers.select("image_id", "cx", "cy"), ["image_id"], _n=F.count(F.lit(1)), _known=F.count_if(known)))
-    few = (F.col("_n") <= FEW_CENTERS) & (F.col("_known") == F.col("_n"))
-    kind = centers.schema["image_id"].dataType.simpleString()
-    counted = centers.filter(few).select("image_id", "cx", "cy").groupBy("image_id").applyInPandas(of_image, f"image_id {kind}, theta int, rho int, votes bigint")
-    return counted.unionByName(spread(centers.filter(~few)))
+    few, many = _few_and_many(centers.select("image_id", "cx", "cy"))
+    kind = few.schema["image_id"].dataType.simpleString()
+    counted = few.groupBy("image_id").applyInPandas(of_image, f"image_id {kind}, theta int, rho int, votes bigint")
+    return counted.unionByName(spread(many))
 
 
 def best_lines(votes: DataFrame, n: int = 3) -> DataFrame:

@@ -114,3 +114,19 @@ def test_recursive_selection_fits_one_dealt_table(spark, monkeypatch):
         ranks = {r["factor"]: r["score"] for r in selection.recursive(df, ["a", "b", "c"]).collect()}
         assert ranks == {"a": 3, "b": 2, "c": 1} and [d.rdd.getNumPartitions() for d in seen] == [parts] * 2
         assert all("Range" not in plan_of(d) and d.count() == rows for d in seen)
+
+
+def test_small_images_are_counted_in_one_place(spark, monkeypatch):
+    """The direct counts and the ones in bands and halves agree, whatever goes which way."""
+    rng = np.random.default_rng(6)
+    cut = [(int(i), n, *(int(v) for v in rng.integers(0, 40, 2)), *(int(v) for v in rng.integers(0, 15, 2))) for n, i in enumerate(rng.integers(0, 5, 200))]
+    rows = [(*b, b[2] + b[4] // 2, b[3] + b[5] // 2) for b in cut]
+    rows += [(9, 900, 1, 2, 3, 4, 2, None), (9, 901, 1, 2, 3, 4, 2, 3), (9, 902, None, 2, 3, 4, 2, 3)] + rows[:9]
+    df = spark.createDataFrame(rows, "image_id bigint, blob_id bigint, x int, y int, w int, h int, cx int, cy int")
+    cover, level = [], []
+    for few in (0, 40, 4096):
+        monkeypatch.setattr(plane, "FEW_CENTERS", few)
+        for kept, found in ((cover, plane.box_cover(df)), (level, plane.level_counts(df))):
+            kept.append((found.dtypes, sorted(map(str, found.collect()))))
+            assert ("FlatMapGroupsInPandas" in plan_of(found)) and len(kept[0][1]) > 100
+    assert cover[0] == cover[1] == cover[2] and level[0] == level[1] == level[2]
