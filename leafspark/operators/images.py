@@ -84,10 +84,12 @@ def hv(pixels: DataFrame) -> DataFrame:
 
 
 def all_indices(pixels: DataFrame) -> DataFrame:
-    """image_id, x, y, index, value for every pixel index, as rows; one pass, no shuffle."""
-    pairs = [F.struct(F.lit(n).alias("index"), indices.index(n, F.col("r"), F.col("g"), F.col("b")).cast("double").alias("value"))
-             for n in indices.PIXEL_INDICES]
-    return pixels.select("image_id", "x", "y", F.inline(F.array(*pairs)))
+    """image_id, x, y, index, value for every pixel index, as rows; one pass, no shuffle.
+
+    The indices are columns first, so that they share their colour bands and Spark computes those that are read.
+    """
+    named = {n: indices.index(n, F.col("r"), F.col("g"), F.col("b")).cast("double") for n in indices.PIXEL_INDICES}
+    return pixels.select("image_id", "x", "y", *[c.alias(n) for n, c in named.items()]).unpivot(["image_id", "x", "y"], list(named), "index", "value")
 
 
 def index_summary(pixels: DataFrame) -> DataFrame:

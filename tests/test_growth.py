@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import neighbors, plane, resample, selection
+from leafspark.operators import images, many_models, neighbors, plane, resample, selection, sweep
 
 
 def plan_of(df) -> str:
@@ -130,3 +130,29 @@ def test_small_images_are_counted_in_one_place(spark, monkeypatch):
             kept.append((found.dtypes, sorted(map(str, found.collect()))))
             assert ("FlatMapGroupsInPandas" in plan_of(found)) and len(kept[0][1]) > 100
     assert cover[0] == cover[1] == cover[2] and level[0] == level[1] == level[2]
+
+
+def test_sweep_scores_some_rows_at_a_time():
+    rng = np.random.default_rng(7)
+    x, weights, offsets = rng.normal(size=(10_000, 64)), rng.normal(size=(64, 2000)), rng.normal(size=2000)
+    total = np.zeros((2000, sweep.BINS), dtype=np.int64)
+    tracemalloc.start()
+    sweep._add_bins(total, x, weights, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert (total.sum(1) == len(x)).all()
+    score = 1 / (1 + np.exp(-(x @ weights[:, 7] + offsets[7])))
+    assert (total[7] == np.bincount((score * sweep.BINS).astype(int), minlength=sweep.BINS)).all()
+    parts = list(many_models.counted(np.stack([total, 2 * total]), 5))
+    assert max(len(p) for p in parts) <= 2 * many_models.COMBOS_OUT * sweep.BINS
+    assert sum(p.n.sum() for p in parts) == 3 * total.sum() and {i for p in parts for i in p.id} == set(range(5, 2005))
+
+
+def test_all_indices_compute_what_is_read(spark):
+    df = spark.createDataFrame([(1, 0, 0, 9, 200, 30), (1, 1, 0, 90, 20, 130), (None, 1, 0, 1, None, 2)], "image_id int, x int, y int, r int, g int, b int")
+    found = images.all_indices(df)
+    rows = {(r["image_id"], r["x"], r["index"]): r["value"] for r in found.collect()}
+    assert found.dtypes == [("image_id", "int"), ("x", "int"), ("y", "int"), ("index", "string"), ("value", "double")]
+    assert found.count() == len(rows) == 3 * len(images.indices.PIXEL_INDICES) and rows[1, 0, "exg"] == 361 and rows[None, 1, "exg"] is None
+    counted = found.filter("index = 'exg'").groupBy("image_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in counted and "CASE" not in counted.upper()
