@@ -1,7 +1,8 @@
 """Shape factors of blob contours.
 
 A contour is one array of (x, y) structs per blob, in order, so every factor is a Column over that
-array: no shuffle, no self join. The hull is the one sequential step and runs as an Arrow-batched function.
+array: no shuffle, no self join. The hull, lengths, areas and curvatures run as Arrow-batched functions, on the points
+of a batch at once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +34,49 @@ def _at(points: Column, i: Column) -> Column:
     return F.element_at(points, F.pmod(i, F.size(points)) + 1)
 
 
-def _around(points: Column, fn) -> Column:
-    return F.transform(points, lambda p, i: fn(p, _at(points, i + 1)))
+class _Flat:
+    """The points of a batch of contours one after the other, as doubles (nan where a coordinate is null)."""
+
+    def __init__(self, contours: pa.Array):
+        self.none = contours.is_null().to_numpy(zero_copy_only=False)
+        self.sizes = contours.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = (self.ends - self.sizes)[self.owner]
+        self.x, self.y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in contours.flatten().flatten())
+
+    def away(self, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every point the one so many steps on, counted round its contour."""
+        at = self.first + (np.arange(len(self.x)) - self.first + steps) % self.sizes[self.owner]
+        return self.x[at], self.y[at]
+
+    def sums(self, values: np.ndarray) -> pa.Array:
+        """The sum of a contour's values, in order; null where one is nan."""
+        total = np.bincount(self.owner, weights=values, minlength=len(self.sizes))
+        return pa.array(total, mask=self.none | np.isnan(total))
+
+
+@F.arrow_udf(T.DoubleType())
+def _lengths(contours: pa.Array) -> pa.Array:
+    flat = _Flat(contours)
+    x, y = flat.away(1)
+    return flat.sums(np.sqrt((x - flat.x) ** 2 + (y - flat.y) ** 2))
+
+
+@F.arrow_udf(T.DoubleType())
+def _areas(contours: pa.Array) -> pa.Array:
+    flat = _Flat(contours)
+    x, y = flat.away(1)
+    return flat.sums(flat.x * y - x * flat.y)
 
 
 def perimeter(points: Column) -> Column:
-    step = lambda p, q: F.sqrt((F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2))))
-    return _sum(_around(points, step))
+    return _lengths(points)
 
 
 def area(points: Column) -> Column:
     """Polygon area through the points."""
-    cross = lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]).cast("double")
-    return F.abs(_sum(_around(points, cross))) / 2
+    return F.abs(_areas(points)) / 2
 
 
 def bounds(points: Column) -> dict[str, Column]:
@@ -190,17 +222,20 @@ def k_slope(points: Column, k: int = 6) -> Column:
     return F.transform(_steps(points, half - 1, half + 1, k), lambda i: _slope(_at(points, i + half), _at(points, i - half)))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _curvatures(contours: pa.Array, k: pa.Array) -> pa.Array:
+    flat, k = _Flat(contours), k[0].as_py() if len(k) else 1
+    (ax, ay), (bx, by) = flat.away(k), flat.away(-k)
+    f1x, f1y = (ax - bx) / k, (ay - by) / k
+    f2x, f2y = (ax - flat.x * 2 + bx) / (k * k), (ay - flat.y * 2 + by) / (k * k)
+    power, turn = f1x * f1x + f1y * f1y, f2y * f1x - f2x * f1y
+    curve = np.sqrt(turn * turn * 4 / (power * power * power + 1e-11 + 1e-12))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, flat.ends), pa.int32()), pa.array(curve, mask=np.isnan(curve)), mask=pa.array(flat.none))
+
+
 def k_curvature(points: Column, k: int = 6) -> Column:
-    """Curvature at every point from the points k before and k after. Each stage is built once per point."""
-    triples = F.transform(points, lambda p, i: F.struct(
-        p.alias("p"), _at(points, i - k).alias("before"), _at(points, i + k).alias("after")))
-    slopes = F.transform(triples, lambda t: F.struct(*[
-        c.alias(n) for a in "xy" for n, c in (
-            (f"f1{a}", (t["after"][a] - t["before"][a]) / k),
-            (f"f2{a}", (t["after"][a] - t["p"][a] * 2 + t["before"][a]) / (k * k)))]))
-    terms = F.transform(slopes, lambda f: F.struct(
-        (f["f1x"] * f["f1x"] + f["f1y"] * f["f1y"]).alias("power"), (f["f2y"] * f["f1x"] - f["f2x"] * f["f1y"]).alias("turn")))
-    return F.transform(terms, lambda t: F.sqrt(t["turn"] * t["turn"] * 4 / (t["power"] * t["power"] * t["power"] + 1e-11 + 1e-12)))
+    """Curvature at every point from the points k before and k after."""
+    return _curvatures(points, F.lit(k))
 
 
 def k_curvature_approximate(points: Column, k: int = 6) -> Column:

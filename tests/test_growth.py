@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import images, many_models, neighbors, plane, resample, selection, sweep
+from leafspark.operators import images, many_models, neighbors, plane, resample, selection, shape, sweep
 
 
 def plan_of(df) -> str:
@@ -156,3 +156,20 @@ def test_all_indices_compute_what_is_read(spark):
     assert found.count() == len(rows) == 3 * len(images.indices.PIXEL_INDICES) and rows[1, 0, "exg"] == 361 and rows[None, 1, "exg"] is None
     counted = found.filter("index = 'exg'").groupBy("image_id").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" not in counted and "CASE" not in counted.upper()
+
+
+def test_contours_are_measured_in_arrays(spark, views):
+    rows = [(1, 1, [(0, 0), (3, 0), (3, 4)]), (1, 2, [(5, 5)]), (1, 3, []), (1, 4, None), (1, 5, [(1, None), (2, 2)]), (1, 6, [(i % 7, i * i % 5) for i in range(20)])]
+    df = spark.createDataFrame(rows, "image_id int, blob_id int, contour array<struct<x:int,y:int>>")
+    found = df.select("blob_id", shape.perimeter(F.col("contour")).alias("p"), shape.area(F.col("contour")).alias("a"), shape.k_curvature(F.col("contour"), 3).alias("k"))
+    assert "ArrowEvalPython" in plan_of(found)
+    got = {r["blob_id"]: r for r in found.collect()}
+    assert (got[1]["p"], got[1]["a"]) == (12.0, 6.0) and (got[2]["p"], got[3]["p"], got[4]["p"], got[5]["p"]) == (0.0, 0.0, None, None)
+    assert got[3]["k"] == [] and got[4]["k"] is None and got[5]["k"] == [None, None]
+    p = rows[5][2]
+    for i, k in enumerate(got[6]["k"]):
+        (bx, by), (x, y), (ax, ay) = p[i - 3], p[i], p[(i + 3) % 20]
+        f1, f2 = ((ax - bx) / 3, (ay - by) / 3), ((ax - 2 * x + bx) / 9, (ay - 2 * y + by) / 9)
+        assert abs(k - (4 * (f2[1] * f1[0] - f2[0] * f1[1]) ** 2 / ((f1[0] ** 2 + f1[1] ** 2) ** 3 + 1.1e-11)) ** 0.5) < 1e-9 * (1 + k)
+    dealt = views.spread(spark.range(1000, numPartitions=8).toDF("id"), 50)
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.distinct().count() == 1000
