@@ -12,9 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.session import cut_lineage
-
-ROWS_OF_PART = 1024
+from leafspark.session import dealt
 
 
 class Selector(Protocol):
@@ -61,20 +59,13 @@ def _forest(df: DataFrame, trees: int, keep: Sequence[int]):
     return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=8, seed=42).fit(data).featureImportances.toArray()
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """df written once, in a part for each core if it has that many thousands of rows: a small file would else be one task in every pass."""
-    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
-    parts = min(cores, -(-rows // ROWS_OF_PART))
-    return cut_lineage(df.repartition(parts) if df.rdd.getNumPartitions() < parts else df)
-
-
 def importance(df: DataFrame, names: Sequence[str], trees: int = 10) -> DataFrame:
     return _table(df, names, _forest(df, trees, range(len(names))))
 
 
 def recursive(df: DataFrame, names: Sequence[str], trees: int = 100) -> DataFrame:
     """Elimination rank: 1 is the last factor left. One fit per dropped factor, all on one written table."""
-    df = _dealt(df.select("features", "type"))
+    df = dealt(df.select("features", "type"))
     left, rank = list(range(len(names))), {}
     while len(left) > 1:
         weights = _forest(df, trees, left)

@@ -173,3 +173,36 @@ def test_contours_are_measured_in_arrays(spark, views):
         assert abs(k - (4 * (f2[1] * f1[0] - f2[0] * f1[1]) ** 2 / ((f1[0] ** 2 + f1[1] ** 2) ** 3 + 1.1e-11)) ** 0.5) < 1e-9 * (1 + k)
     dealt = views.spread(spark.range(1000, numPartitions=8).toDF("id"), 50)
     assert dealt.rdd.getNumPartitions() == 20 and dealt.distinct().count() == 1000
+
+
+def test_trees_walk_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    combos = np.array([(0, 3), (1, 2), (4, 0)])
+    trees = many_models.Trees(combos, rng.integers(-1, 2, (3, 5, 16)), rng.normal(size=(3, 5, 16)), rng.random((3, 5, 16)))
+    x = rng.normal(size=(40, 5))
+    want = np.ones((40, 3, 5), dtype=int)
+    for r, c, t in np.ndindex(want.shape):
+        for _ in range(3):
+            n = want[r, c, t]
+            if trees.factor[c, t, n] >= 0:
+                want[r, c, t] = 2 * n + (x[r, combos[c][trees.factor[c, t, n]]] > trees.cut[c, t, n])
+    for many in (4, 500):
+        monkeypatch.setattr(many_models, "TREES_AT_ONCE", many)
+        assert (trees.leaves(x, 3) == want).all()
+    share = [[[trees.share[c, t, want[r, c, t]] for t in range(5)] for c in range(3)] for r in range(40)]
+    assert np.allclose(trees.scores(x), np.mean(share, axis=2))
+
+
+def test_learning_queries_read_dealt_tables(spark, monkeypatch):
+    from leafspark.plans import catalog_learning
+
+    seen = []
+    df = spark.range(5000, numPartitions=1).selectExpr("id", "array(id * 1D, id % 7 * 1D, id % 3 * 1D) features", "int(id % 2) type", "id % 5 < 2 is_train")
+    monkeypatch.setattr(catalog_learning.models, "technique", lambda *_: type("T", (), {"fit": lambda self, train: lambda rows: seen.extend((train, rows)) or rows})())
+    catalog_learning.trained(df, "ANY")
+    assert [d.rdd.getNumPartitions() for d in seen] == [5, 5] and seen[0].count() + seen[1].count() == 5000
+    seen.clear()
+    kept = many_models.fit_many
+    monkeypatch.setattr(many_models, "fit_many", lambda train, *a: seen.append(train) or kept(train, *a))
+    found = sweep.technique_sweep(df, ["a", "b", "c"], 2, ["LDA"], ["NONE"])
+    assert seen[0].rdd.getNumPartitions() == 2 and seen[0].count() == 2000 and found.count() == 3
