@@ -10,10 +10,11 @@ reading before it, so the readings of one device are walked in sequence by defin
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,15 +26,25 @@ ORDER = ["ts", "event_id"]
 
 
 def _pack(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    return pickle.dumps(rows)
 
 
 def _unpack(held: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(held).read_pandas()
+    return pickle.loads(held)
+
+
+def _stamps(rows: pd.DataFrame, unit: str) -> np.ndarray:
+    return rows.ts.to_numpy().astype(f"datetime64[{unit}]").astype("int64")
+
+
+def _in_order(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """Rows by the order's columns, nulls last, equal ones as they came. A stream has many devices of few readings, so this
+    and the folds work on plain arrays."""
+    columns = [rows[c].to_numpy() for c in order]
+    if any(c.dtype == object for c in columns):
+        return rows.sort_values(order, kind="stable").reset_index(drop=True)
+    at = np.lexsort(columns[::-1])
+    return rows if (at == np.arange(len(at))).all() else rows.take(at).reset_index(drop=True)
 
 
 def _batch(readings: DataFrame, fold: Fold, start: tuple, schema: str, order: list[str]) -> DataFrame:
@@ -60,18 +71,19 @@ def _stream(readings: DataFrame, fold: Fold, start: tuple, schema: str, state_sc
         rows = [_unpack(held)] if held else []
         if not state.hasTimedOut:
             rows += list(frames)
-        rows = pd.concat(rows, ignore_index=True).sort_values(order, kind="stable")
+        rows = _in_order(rows[0].reset_index(drop=True) if len(rows) == 1 else pd.concat(rows, ignore_index=True), order)
         passed = state.getCurrentWatermarkMs()
-        stamp = rows.ts.astype("datetime64[ms]").astype("int64")
-        ready, later = rows[stamp <= passed], rows[stamp > passed]
+        stamp = _stamps(rows, "ms")
+        due = stamp <= passed
+        ready, later = (rows, rows.iloc[:0]) if due.all() else (rows.iloc[:0], rows) if not due.any() else (rows[due].reset_index(drop=True), rows[~due])
         if len(ready):
-            now, out = fold(tuple(now), ready.reset_index(drop=True))
+            now, out = fold(tuple(now), ready)
             if len(out):
                 yield out
         state.update((*now, _pack(later) if len(later) else None))
         if len(later):
             # The timeout comes when the watermark is past it, so it lies just before the first reading that is held.
-            state.setTimeoutTimestamp(max(int(stamp[stamp > passed].min()) - 1, passed + 1))
+            state.setTimeoutTimestamp(max(int(stamp[~due].min()) - 1, passed + 1))
     return readings.groupBy("device").applyInPandasWithState(run, schema, state_schema + ", held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -85,17 +97,18 @@ def travel(readings: DataFrame, mm_per_degree: float, encoder_clicks: int, delay
     """Per reading: mm, speed, running distance and pulses. readings: device, ts, event_id, angle."""
     def fold(state, frame):
         angle, then, total, pulses = state
-        previous = frame.angle.shift(fill_value=angle)
-        change = frame.angle - previous
-        stamp = frame.ts.astype("datetime64[us]").astype("int64")
-        seconds = (stamp - stamp.shift(fill_value=then)) / 1e6
+        angles, stamp = frame.angle.to_numpy(dtype=float), _stamps(frame, "us")
+        change = np.diff(angles, prepend=angle)
+        seconds = np.diff(stamp, prepend=then) / 1e6
         if then < 0:
-            seconds.iloc[0] = float("nan")
+            seconds[0] = np.nan
         mm = change * mm_per_degree
-        kph = ((mm / 1e6) / (seconds / 3600)).where(seconds > 0, 0.0)
-        out = pd.DataFrame({"device": frame.device, "event_id": frame.event_id, "ts": frame.ts, "mm": mm, "kph": kph,
-                            "total_mm": total + mm.cumsum(), "pulses": pulses + (change * (360 / encoder_clicks)).cumsum()})
-        return (float(frame.angle.iloc[-1]), int(stamp.iloc[-1]), float(out.total_mm.iloc[-1]), float(out.pulses.iloc[-1])), out
+        with np.errstate(all="ignore"):
+            kph = np.where(seconds > 0, (mm / 1e6) / (seconds / 3600), 0.0)
+        run = lambda v: np.where(np.isnan(v), np.nan, np.cumsum(np.where(np.isnan(v), 0.0, v)))  # a reading without a value has no sum
+        total, pulses = total + run(mm), pulses + run(change * (360 / encoder_clicks))
+        out = pd.DataFrame({"device": frame.device, "event_id": frame.event_id, "ts": frame.ts, "mm": mm, "kph": kph, "total_mm": total, "pulses": pulses})
+        return (float(angles[-1]), int(stamp[-1]), float(total[-1]), float(pulses[-1])), out
     return _apply(readings, fold, (0.0, -1, 0.0, 0.0), "device bigint, event_id bigint, ts timestamp, mm double, kph double, total_mm double, pulses double",
                   "angle double, stamp bigint, total double, pulses double", delay)
 
@@ -194,15 +207,16 @@ def latest_position(captured: DataFrame, fixes: DataFrame, within_seconds: float
     events = rows.unionByName(told)
 
     def fold(state, frame):
-        stamp = frame.ts.astype("datetime64[us]").astype("int64")
-        fix = frame.late == 0
+        stamp = _stamps(frame, "us")
+        fix = frame.late.to_numpy() == 0
         # Row 0 is the state; each event takes the last fix up to it.
-        last = pd.Series([0, *[i + 1 if f else -1 for i, f in enumerate(fix)]]).where(lambda v: v >= 0).ffill().astype(int).to_numpy()[1:]
-        columns = [[old, *new] for old, new in zip(state, (stamp, frame.latitude, frame.longitude))]
-        then, lat, lon = (pd.Series(c).to_numpy()[last] for c in columns)
-        good = (then >= 0) & (stamp.to_numpy() - then <= within_seconds * 1e6)
-        out = pd.DataFrame({"device": frame.device, "capture": frame.capture, "fix_ts": pd.Series(pd.to_datetime(then, unit="us")).where(good), "latitude": pd.Series(lat).where(good), "longitude": pd.Series(lon).where(good)})
-        return (int(then[-1]), float(lat[-1]), float(lon[-1])), out[~fix.to_numpy()]
+        last = np.maximum.accumulate(np.where(fix, np.arange(1, len(fix) + 1), 0))
+        columns = (stamp, frame.latitude.to_numpy(dtype=float), frame.longitude.to_numpy(dtype=float))
+        then, lat, lon = (np.append(old, new)[last] for old, new in zip(state, columns))
+        good = (then >= 0) & (stamp - then <= within_seconds * 1e6)
+        found = np.where(good, then.astype("datetime64[us]"), np.datetime64("NaT")).astype("datetime64[ns]")
+        out = pd.DataFrame({"device": frame.device, "capture": frame.capture, "fix_ts": found, "latitude": np.where(good, lat, np.nan), "longitude": np.where(good, lon, np.nan)})
+        return (int(then[-1]), float(lat[-1]), float(lon[-1])), out[~fix]
     schema = f"device {kind}, capture {rows.schema['capture'].dataType.simpleString()}, fix_ts timestamp, latitude double, longitude double"
     found = _apply(events, fold, (-1, 0.0, 0.0), schema, "stamp bigint, latitude double, longitude double", delay, ["ts", "late", "event_id", "latitude", "longitude"])
     return found.select("capture.*", "fix_ts", "latitude", "longitude")

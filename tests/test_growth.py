@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,17 @@ def test_learning_queries_read_dealt_tables(spark, monkeypatch):
     monkeypatch.setattr(many_models, "fit_many", lambda train, *a: seen.append(train) or kept(train, *a))
     found = sweep.technique_sweep(df, ["a", "b", "c"], 2, ["LDA"], ["NONE"])
     assert seen[0].rdd.getNumPartitions() == 2 and seen[0].count() == 2000 and found.count() == 3
+
+
+def test_stream_rows_are_ordered_and_held_as_arrays():
+    from leafspark.streaming import odometry
+
+    rng = np.random.default_rng(9)
+    ts = pd.to_datetime(rng.integers(0, 9, 60), unit="s").to_series().reset_index(drop=True)
+    ts[7] = pd.NaT
+    rows = pd.DataFrame({"ts": ts, "event_id": rng.integers(0, 3, 60).astype(float), "n": np.arange(60), "kind": ["a", None] * 30})
+    rows.loc[5:9, "event_id"] = np.nan
+    want = rows.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
+    pd.testing.assert_frame_equal(odometry._in_order(rows, ["ts", "event_id"]), want)
+    assert odometry._in_order(want, ["ts", "event_id"]) is want
+    pd.testing.assert_frame_equal(odometry._unpack(odometry._pack(want)), want)
