@@ -1,7 +1,8 @@
 """Square tiles of images with a border, for work that needs a pixel's surroundings as arrays.
 
 Pixels go to the tile that owns them and to the tiles whose border they lie in, so a task holds a few tiles and never an
-image. Tiles arrive sorted and are worked on in stacks of dense arrays.
+image. Tiles arrive sorted and are worked on in stacks of dense arrays. The first tile begins a border's width before 0,
+so that the pixels of an image's first rows and columns are no border of tiles that own nothing: a small image is one tile.
 """
 
 from __future__ import annotations
@@ -17,15 +18,22 @@ from pyspark.sql import functions as F
 TILE, STACK_CELLS = 64, 1_500_000
 
 
+def tile_of(place: Column, reach: int, tile: int = TILE) -> Column:
+    """The number of the tile, along one axis, that owns a place."""
+    return F.floor((place + reach) / tile)
+
+
 class Stack:
-    """Some tiles as arrays [tile, row, column]; the first ``reach`` rows and columns are border."""
+    """Some tiles as arrays [tile, row, column]; rows and columns that hold no pixel of any of them are left out, but for
+    ``reach`` on every side."""
 
     def __init__(self, frame: pd.DataFrame, first: np.ndarray, keys: Sequence[str], tile: int, reach: int):
         self.tile, self.reach, self.n = tile, reach, len(first)
         self.heads = frame.iloc[first].reset_index(drop=True)[[*keys, "tx", "ty"]]
         self.at = np.repeat(np.arange(self.n), np.diff([*first, len(frame)]))
-        self.row = (frame["y"] - frame["ty"] * tile).to_numpy() + reach
-        self.col = (frame["x"] - frame["tx"] * tile).to_numpy() + reach
+        row, col = ((frame[c] - frame[f"t{c}"] * tile).to_numpy() + 2 * reach for c in "yx")
+        self.skip = max(0, int(row.min()) - reach), max(0, int(col.min()) - reach)
+        self.row, self.col = row - self.skip[0], col - self.skip[1]
         self.shape = (self.n, int(self.row.max()) + 1 + reach, int(self.col.max()) + 1 + reach)
         self.frame = frame
 
@@ -39,19 +47,19 @@ class Stack:
     @property
     def own(self) -> np.ndarray:
         """Which rows of the frame belong to their tile and not to its border."""
-        low, high = self.reach, self.reach + self.tile
-        return (self.row >= low) & (self.row < high) & (self.col >= low) & (self.col < high)
+        return self.inside()[self.row, self.col]
 
     def inside(self) -> np.ndarray:
         """The cells [row, column] that tiles own."""
         out = np.zeros(self.shape[1:], dtype=bool)
-        out[self.reach:self.reach + self.tile, self.reach:self.reach + self.tile] = True
+        rows, cols = (slice(max(0, self.reach - skip), self.reach + self.tile - skip) for skip in self.skip)
+        out[rows, cols] = True
         return out
 
     def places(self, at: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """x and y in the image of cells."""
-        corner = self.heads[["tx", "ty"]].to_numpy()[at] * self.tile - self.reach
-        return col + corner[:, 0], row + corner[:, 1]
+        corner = self.heads[["tx", "ty"]].to_numpy()[at] * self.tile - 2 * self.reach
+        return col + corner[:, 0] + self.skip[1], row + corner[:, 1] + self.skip[0]
 
 
 def map_tiles(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], reach: int, work: Callable[[Stack], Iterator[pd.DataFrame]], schema: str,
@@ -60,7 +68,7 @@ def map_tiles(pixels: DataFrame, keys: Sequence[str], values: Sequence[str], rea
 
     ``made`` are columns that follow from the others; they are computed after the shuffle, so they do not travel.
     """
-    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    cells = lambda c: F.explode(F.sequence(tile_of(F.col(c) - reach, reach, tile), tile_of(F.col(c) + reach, reach, tile)))
     sent = pixels.select(*keys, "x", "y", *values, cells("x").alias("tx")).select("*", cells("y").alias("ty"))
     group = [*keys, "tx", "ty"]
 
@@ -97,8 +105,8 @@ def _stacks(frame, first, keys, tile, reach, work, stack_cells):
     if not len(first):
         return
     # Tiles of small images fill few cells; a stack may then hold more of them.
-    used = min(side, int((frame["y"] - frame["ty"] * tile).max()) + 1 + 2 * reach) * min(side, int((frame["x"] - frame["tx"] * tile).max()) + 1 + 2 * reach)
-    many = max(1, stack_cells // max(1, used))
+    spread = lambda place: min(side, int(place.max() - place.min()) + 1 + 2 * reach)
+    many = max(1, stack_cells // (spread(frame["y"] - frame["ty"] * tile) * spread(frame["x"] - frame["tx"] * tile)))
     ends = [*first, len(frame)]
     for k in range(0, len(first), many):
         last = min(k + many, len(first))

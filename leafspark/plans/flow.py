@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.functions import color, indices, rules
+from leafspark.functions import indices, rules
 from leafspark.functions.catalog_of_factors import select_factors
 from leafspark.operators import blob_texture, contours, shape, stencil, texture, tiles
 from leafspark.operators.grouped import join_keys, ordered_scan
@@ -41,18 +41,22 @@ def image_factors(pixels: DataFrame, min_area: int = 0, image_width: int | None
     """
     named = contours.name_images(pixels.withColumn("_agl", F.lit(None).cast("double") if agl is None else agl.cast("double")))
     blobs = cut_lineage(contours.find_blobs(vegetation_mask(named), min_area, tile))
-    inside = cut_lineage(blobs.join(named.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"]))
+    # Byte bands are written with the pixels, the others follow from the image too: all in one expression would be more than Spark compiles.
     bands = [F.col(c) for c in "rgb"]
+    plain = blob_texture.byte_columns(*bands)
+    inside = cut_lineage(blobs.join(named.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"]).select("*", *[c.alias(n) for n, c in plain.items()]))
     images = cut_lineage(named.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"), F.bool_or(F.col("g") > F.col("b")).alias("any_green"), F.max("_agl").alias("agl")))
-    hsv, yiq, ycc = color.hsv(*bands), color.yiq(*bands), color.ycbcr(*bands)
-    tones = {"hue": hsv["hsv_hue"], "saturation": hsv["hsv_saturation"], "in_phase": yiq["yiq_i"], "cb": ycc["ycbcr_cb"]}
     seen = inside.join(images.select("image_id", "any_green"), "image_id")
     every = blob_texture.band_columns(*bands, F.col("any_green"))
-    facts = cut_lineage(shape.blob_geometry(seen, KEYS, [*shape.band_aggregates(tones), *blob_texture.float_ranges(every)]))
+    floats = {n: F.col(n) for n in blob_texture.FLOATS}
+    wide = seen.select("*", *[every[n].alias(n) for n in floats])
+    tones = {"hue": F.col("hsv_hue"), "saturation": F.col("hsv_saturation"), "in_phase": F.col("yiq_i"), "cb": F.col("ycbcr_cb")}
+    facts = cut_lineage(shape.blob_geometry(wide, KEYS, [*shape.band_aggregates(tones), *blob_texture.float_ranges(floats)]))
     ranges = [c for c in facts.columns if c.startswith(("_lo_", "_hi_"))]
-    span = lambda c, n: F.floor(F.col(c) / tile) != F.floor((F.col(c) + F.col(n) - 1) / tile)
+    owner = lambda place: tiles.tile_of(place, blob_texture.REACH, tile)
+    span = lambda c, n: owner(F.col(c)) != owner(F.col(c) + F.col(n) - 1)
     boxes = facts.select(*KEYS, F.col("x").alias("x0"), F.col("y").alias("y0"), (span("x", "w") | span("y", "h")).alias("split"), *ranges)
-    ready = seen.join(boxes, KEYS).withColumn("peaks", blob_texture.peaks(every))
+    ready = wide.join(boxes, KEYS).withColumn("peaks", blob_texture.peaks(floats)).drop(*floats)
     numbers, cells = blob_texture.texture_numbers(ready, tile)
     grid = facts.select(*KEYS, F.floor(F.col("h") / blob_texture.CELL).cast("int").alias("rows"), F.floor(F.col("w") / blob_texture.CELL).cast("int").alias("cols"))
     cells = cells.join(grid, KEYS).filter("row < rows and col < cols")
@@ -60,13 +64,13 @@ def image_factors(pixels: DataFrame, min_area: int = 0, image_width: int | None
     width = F.col("_w") if image_width is None else F.lit(image_width)
     shapes = shape_table(blobs, width, images.select("image_id", "_w"))
     counted = ordered_scan(facts.drop(*ranges), ["image_id"], ["blob_id"], F.floor(F.col("y") / tile), rank="number")
-    wide = counted.join(numbers, KEYS).join(shapes.drop("elongation"), KEYS).join(hog, KEYS, "left").join(images.drop("any_green"), "image_id")
+    joined = counted.join(numbers, KEYS).join(shapes.drop("elongation"), KEYS).join(hog, KEYS, "left").join(images.drop("any_green"), "image_id")
     edge = rules.at_edge(F.col("x"), F.col("w"), width)
     gap = F.abs(F.col("cy") - F.floor(F.col("_h") / 2))
     columns = [F.col(c) for c in ("area", "x", "y", "w", "h", "size_ratio")]
     made = {"elongation": F.col("w") / F.col("h"), "hue": F.col("hue_mean"), "saturation_mean": F.col("saturation_mean"), "in_phase": F.col("in_phase_stddev"), "cb_mean": F.col("cb_mean"),
             "normalized_distance": gap / F.col("_h")}
-    found = wide.select(*wide.columns, *blob_texture.texture_columns())
+    found = joined.select(*joined.columns, *blob_texture.texture_columns())
     rest = [F.col(c) for c in [*select_factors(), *select_factors(kind="VECTOR")] if c not in made]
     out = found.select("image_id", "blob_id", *columns, *[c.alias(n) for n, c in made.items()], *rest, F.lit(rules.UNKNOWN).alias("type"),
                        F.when(edge, rules.REASON_AT_EDGE).otherwise(0).alias("reason"), (F.col("number") - 1).alias("number"), "agl")

@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import images, many_models, neighbors, plane, resample, selection, shape, sweep
+from leafspark import session
+from leafspark.operators import blob_texture, images, many_models, neighbors, plane, resample, selection, shape, sweep, tiles
+from leafspark.plans import flow
 
 
 def plan_of(df) -> str:
@@ -221,3 +223,43 @@ def test_stream_rows_are_ordered_and_held_as_arrays():
     pd.testing.assert_frame_equal(odometry._in_order(rows, ["ts", "event_id"]), want)
     assert odometry._in_order(want, ["ts", "event_id"]) is want
     pd.testing.assert_frame_equal(odometry._unpack(odometry._pack(want)), want)
+
+
+def test_small_images_are_one_tile(spark):
+    """No pixel goes to tiles that own nothing, and the arrays of a stack have no empty margin."""
+    pixels = spark.range(40 * 64).selectExpr("concat('=', id div 64) image_id", "cast(id % 8 as int) x", "cast(id div 8 % 8 as int) y")
+
+    def work(stack):
+        own = int(stack.own.sum())
+        yield pd.DataFrame({"tiles": [stack.n], "sent": [len(stack.frame)], "own": [own], "side": [max(stack.shape[1:])]})
+    for reach in (1, 9):
+        got = tiles.map_tiles(pixels, ["image_id"], [], reach, work, "tiles long, sent long, own long, side long").toPandas()
+        assert (got["tiles"].sum(), got["sent"].sum(), got["own"].sum()) == (40, 2560, 2560) and got["side"].max() == 8 + 2 * reach
+
+
+def test_places_below_zero_have_tiles(spark):
+    """Tiles see every neighbour within reach once, wherever the image lies."""
+    rows = [("a", x, y) for x in range(-23, 9) for y in range(-3, 30)]
+
+    def work(stack):
+        on = stack.grid(np.ones(len(stack.frame), dtype=bool), False)
+        at, row, col = stack.at[stack.own], stack.row[stack.own], stack.col[stack.own]
+        near = sum(on[at, row + dy, col + dx].astype(int) for dy in range(-2, 3) for dx in range(-2, 3))
+        x, y = stack.places(at, row, col)
+        yield pd.DataFrame({"x": x, "y": y, "near": near})
+    got = tiles.map_tiles(spark.createDataFrame(rows, "image_id string, x int, y int"), ["image_id"], [], 2, work, "x long, y long, near long", tile=7).collect()
+    found = {(r["x"], r["y"]): r["near"] for r in got}
+    on = {r[1:] for r in rows}
+    assert len(got) == len(rows) and found == {(x, y): sum((x + dx, y + dy) in on for dx in range(-2, 3) for dy in range(-2, 3)) for x, y in on}
+
+
+def test_blobs_of_one_tile_leave_as_factors(spark, monkeypatch):
+    """The tile that holds a whole blob works its texture out; only numbers of split blobs leave for a second pass."""
+    seen = []
+    monkeypatch.setattr(blob_texture, "cut_lineage", lambda df: seen.append(session.cut_lineage(df)) or seen[-1])
+    rows = [(1, x, y, 40, 130 if x < 6 else 60, 30 + x * y % 9) for x in range(12) for y in range(9)] + [(2, x, 3, 40, 130 if x < 90 else 60, 30 + x % 7) for x in range(100)]
+    flow.image_factors(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")).count()
+    kept = {(r["image_id"], r["split"]): r for r in seen[0].collect()}
+    assert set(kept) == {("=1", False), ("=2", True)}
+    assert kept["=1", False]["numbers"] is None and len(kept["=1", False]["lbp_stats"]) == 3 * len(blob_texture.NAMES)
+    assert kept["=2", True]["glcm"] is None and len(kept["=2", True]["numbers"]) == blob_texture.GLCM_SIZE + blob_texture.LBP_SIZE
