@@ -15,6 +15,8 @@ from leafspark.session import cut_lineage
 
 #: The image reader gives unreadable files a height and width of -1 and no data.
 READABLE = "image.height > 0 and image.width > 0"
+#: Pixels of images that are unpacked together; a larger image is unpacked alone or with the ones after it up to this many.
+UNPACKED = 250_000
 PIXEL_SCHEMA = "image_id string, x int, y int, r int, g int, b int"
 
 
@@ -26,16 +28,23 @@ def read_factors(spark: SparkSession, path: str, columns: Sequence[str], fmt: st
     return spark.read.format(fmt).load(path).select(*columns, "type")
 
 
+def _unpacked(images: pd.DataFrame) -> pd.DataFrame:
+    """The pixels of some images, one after the other."""
+    sizes, width = (images["height"] * images["width"]).to_numpy(), images["width"].to_numpy()
+    data = [np.frombuffer(row.data, dtype=np.uint8).reshape(row.height * row.width, row.nChannels) for row in images.itertuples(index=False)]
+    bands = np.concatenate([np.repeat(pixels, 3, axis=1) if pixels.shape[1] == 1 else pixels[:, :3] for pixels in data])
+    place, width = np.arange(len(bands)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(width, sizes)
+    return pd.DataFrame({"image_id": np.repeat(images["image_id"].to_numpy(), sizes), "x": place % width, "y": place // width,
+                         "r": bands[:, 2], "g": bands[:, 1], "b": bands[:, 0]})
+
+
 def unpack_images(images: DataFrame) -> DataFrame:
-    """Pixels of packed images: image_id, height, width, nChannels, data (rows of B, G, R bytes)."""
+    """Pixels of packed images: image_id, height, width, nChannels, data (rows of B, G, R bytes). Small images are unpacked together."""
     def unpack(batches):
         for frame in batches:
-            for row in frame.itertuples(index=False):
-                pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.nChannels)
-                bands = np.repeat(pixels, 3, axis=2) if row.nChannels == 1 else pixels
-                y, x = np.mgrid[0:row.height, 0:row.width]
-                yield pd.DataFrame({"image_id": row.image_id, "x": x.ravel(), "y": y.ravel(), "r": bands[:, :, 2].ravel(),
-                                    "g": bands[:, :, 1].ravel(), "b": bands[:, :, 0].ravel()})
+            before = (frame["height"] * frame["width"]).cumsum() // UNPACKED
+            for _, part in frame.groupby(before.to_numpy()):
+                yield _unpacked(part)
     id_type = images.schema["image_id"].dataType.simpleString()
     return images.select("image_id", "height", "width", "nChannels", "data").mapInPandas(
         unpack, PIXEL_SCHEMA.replace("image_id string", f"image_id {id_type}"))
@@ -77,8 +86,7 @@ def split_factor_kinds(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_factors(df: DataFrame, scalar_path: str, vector_path: str, order: Sequence[str] | None = None) -> None:
     """Append scalar and vector factors to their own tables. With an ``order`` (columns that tell rows apart) the rows are
     numbered on from the last number that the scalar table has, and both tables get the same numbers."""
-    if order:
-        df = cut_lineage(numbered_on(df, order, scalar_path))
+    df = cut_lineage(numbered_on(df, order, scalar_path) if order else df)  # both tables are written from rows that are made once
     scalars, vectors = split_factor_kinds(df)
     vectors.write.mode("append").parquet(vector_path)
     scalars.write.mode("append").parquet(scalar_path)  # last: its numbers say where the next append begins

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafspark import session
 from leafspark.operators import blob_texture, images, many_models, neighbors, plane, resample, selection, shape, sweep, tiles
 from leafspark.plans import flow
+from leafspark.sources import files
+from leafspark.streaming import images as image_streams
 
 
 def plan_of(df) -> str:
@@ -263,3 +265,31 @@ def test_blobs_of_one_tile_leave_as_factors(spark, monkeypatch):
     assert set(kept) == {("=1", False), ("=2", True)}
     assert kept["=1", False]["numbers"] is None and len(kept["=1", False]["lbp_stats"]) == 3 * len(blob_texture.NAMES)
     assert kept["=2", True]["glcm"] is None and len(kept["=2", True]["numbers"]) == blob_texture.GLCM_SIZE + blob_texture.LBP_SIZE
+
+
+def test_stream_unpacks_images_once(spark, tmp_path):
+    """Every step of the flow reads the pixels of a micro-batch from one table, and both tables of factors are written from one."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for frame in batches:
+            runs.add(len(frame))
+            yield frame
+    pixels = spark.range(30 * 64).selectExpr("cast(id div 64 as string) image_id", "cast(id % 8 as int) x", "cast(id div 8 % 8 as int) y", "40 r", "cast(90 + id % 3 * 50 as int) g", "30 b")
+    files.pack_images(pixels).select("image_id", "height", "width", "nChannels", "data").coalesce(1).write.parquet(str(tmp_path / "packed"))
+    packed = spark.readStream.schema(image_streams.PACKED).parquet(str(tmp_path / "packed")).mapInPandas(counted, image_streams.PACKED)
+    paths = [str(tmp_path / n) for n in ("scalars", "vectors")]
+    image_streams.factor_stream(packed, *paths, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert runs.value == 30
+    scalars, vectors = (spark.read.parquet(p).select("name").collect() for p in paths)
+    assert sorted(scalars) == sorted(vectors) and len({r["name"].split("-blob")[0] for r in scalars}) == 30
+
+
+def test_images_of_any_size_are_unpacked_together():
+    rng = np.random.default_rng(4)
+    sizes = [(2, 3, 3), (1, 1, 1), (4, 2, 4), (3, 3, 1)]
+    data = [rng.integers(0, 256, s).astype(np.uint8) for s in sizes]
+    rows = files._unpacked(pd.DataFrame({"image_id": list("abcd"), "height": [s[0] for s in sizes], "width": [s[1] for s in sizes],
+                                         "nChannels": [s[2] for s in sizes], "data": [d.tobytes() for d in data]}))
+    want = [(n, x, y, *(int(d[y, x, min(k, d.shape[2] - 1)]) for k in (2, 1, 0))) for n, d in zip("abcd", data) for y in range(d.shape[0]) for x in range(d.shape[1])]
+    assert [tuple(r) for r in rows[["image_id", "x", "y", "r", "g", "b"]].itertuples(index=False)] == want
