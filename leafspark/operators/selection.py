@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafspark.operators import forests
 from leafspark.session import dealt
 
 
@@ -64,11 +65,13 @@ def importance(df: DataFrame, names: Sequence[str], trees: int = 10) -> DataFram
 
 
 def recursive(df: DataFrame, names: Sequence[str], trees: int = 100) -> DataFrame:
-    """Elimination rank: 1 is the last factor left. One fit per dropped factor, all on one written table."""
+    """Elimination rank: 1 is the last factor left. One fit per dropped factor, all on one written table; that of a large
+    table holds the bins of the factors."""
     df = dealt(df.select("features", "type"))
+    binned = None if forests.few(df.count(), trees) else forests.Binned(df)
     left, rank = list(range(len(names))), {}
     while len(left) > 1:
-        weights = _forest(df, trees, left)
+        weights = _forest(df, trees, left) if binned is None else forests.importances(binned, left, trees)
         drop = left[min(range(len(left)), key=lambda i: (weights[i], -i))]
         rank[drop] = len(left)
         left.remove(drop)
