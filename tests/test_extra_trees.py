@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.operators import extra_trees, models
+from leafspark.operators import extra_trees, forests, models, selection
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,80 @@ def test_share_outside_is_nu(spark, nu):
     assert abs(outside - nu) < 0.02
     assert np.mean([r["prediction"] for r in got if r["type"] == 1]) > 0.95
     assert np.mean([r["score"] for r in got if r["type"] == 1]) > np.mean([r["score"] for r in got if r["type"] == 0])
+
+
+def plain_forest(x, y, block, edges, keep, trees, depth, candidates, seed):
+    """The forest of :mod:`forests`, one node after the other: {(tree, node): (factor, cut)} after merging, and the class counts of all nodes."""
+    bins = np.stack([(x[:, i][:, None] > edges[i]).sum(1) for i in range(x.shape[1])], axis=1)
+    splits, counts = {}, {}
+    for t in range(trees):
+        weight = np.zeros(len(x))
+        for b in np.unique(block):
+            weight[block == b] = forests._bag(seed, t, int(b), int((block == b).sum()))
+        classes = lambda rows, w=weight: np.bincount(y[rows], w[rows], 2)
+        impure = lambda c: c.sum() - (c * c).sum() / max(c.sum(), 1)
+        now = [(1, np.ones(len(x), bool))]
+        for level in range(depth):
+            after, drawn = [], forests._drawn(seed, t, level, len(now), np.array(keep), candidates)
+            for k, (node, rows) in enumerate(now):
+                whole, best = classes(rows), (0, None)
+                counts[t, node] = whole
+                for f in drawn[k]:
+                    for cut in range(forests.BINS):
+                        left, right = classes(rows & (bins[:, f] <= cut)), classes(rows & (bins[:, f] > cut))
+                        gain = impure(whole) - impure(left) - impure(right)
+                        if left.sum() and right.sum() and gain > best[0] + 1e-9:
+                            best = (gain, (f, cut))
+                if best[1]:
+                    f, cut = splits[t, node] = best[1]
+                    for child, own in ((2 * node, rows & (bins[:, f] <= cut)), (2 * node + 1, rows & (bins[:, f] > cut))):
+                        counts[t, child] = classes(own)
+                        if counts[t, child].min() > 0:
+                            after.append((child, own))
+            now = sorted(after, key=lambda a: a[0])
+        for node in sorted((n for s, n in splits if s == t), reverse=True):
+            if not {(t, 2 * node), (t, 2 * node + 1)} & set(splits) and counts[t, 2 * node].argmax() == counts[t, 2 * node + 1].argmax():
+                del splits[t, node]
+    return splits, counts
+
+
+def test_binned_forest_equals_a_plain_one(spark, table, monkeypatch):
+    df, x, y = table
+    monkeypatch.setattr(forests, "BLOCK", 90)
+    data = forests.Binned(df.withColumn("features", F.concat("features", F.array((F.col("id") % 3).cast("double")))))
+    assert data.edges[5].tolist() == [0.5, 1.5] and [len(e) for e in data.edges[:5]] == [31] * 5
+    blocks = data.table.toPandas()
+    bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 6) for b in blocks.x])
+    classes = np.concatenate([np.frombuffer(b, np.uint8) for b in blocks.y])
+    number = np.repeat(blocks.block, [len(b) for b in blocks.y]).to_numpy()
+    assert len(classes) == 600 and sorted(classes) == sorted(y) and len(set(number)) >= 4
+    # The bins stand for the values: their own numbers, cut between them.
+    edges = [np.arange(forests.BINS) + 0.5] * 6
+    keep = [0, 1, 3, 5]
+    splits, counts = plain_forest(bins, classes, number, edges, keep, 3, 4, 2, 7)
+    forest = forests.grow(data, keep, 3, 4, 2, 7)
+    for t, node in zip(*np.nonzero(forest.factor >= 0)):
+        assert splits.pop((t, node)) == (forest.factor[t, node], forest.cut[t, node])
+    assert not splits
+    for (t, node), c in counts.items():
+        assert forest.counts[t, node].tolist() == c.tolist()
+
+
+def test_large_tables_get_the_binned_forest(spark, table, monkeypatch):
+    """No node of a large forest is an object of Spark ML on the driver; few rows keep the forest that they had."""
+    df, x, y = table
+    train, test = df.filter("id < 400"), df.filter("id >= 400")
+    ranks = lambda: {r["factor"]: r["score"] for r in selection.recursive(df, list("abcde"), trees=20).collect()}
+    old, score = ranks(), lambda: {r["id"]: r for r in models.technique("RANDOMFOREST", 5, trees=60).fit(train)(test).collect()}
+    few = score()
+    monkeypatch.setattr(forests, "OBJECTS", 0)
+    for name in ("models", "selection"):
+        monkeypatch.setattr(globals()[name], "RandomForestClassifier", None)
+    new, many = ranks(), score()
+    assert {f for f, r in old.items() if r < 3} == {f for f, r in new.items() if r < 3} == {"a", "b"} and sorted(new.values()) == [1, 2, 3, 4, 5]
+    assert many == score() and set(many) == set(few) and list(many[400].asDict()) == list(few[400].asDict())
+    right = lambda found: np.mean([r["prediction"] == r["type"] for r in found.values()])
+    assert abs(right(many) - right(few)) < 0.06 and all(r["prediction"] == int(r["score"] > 0.5) for r in many.values())
+    assert np.corrcoef([few[i]["score"] for i in few], [many[i]["score"] for i in few])[0, 1] > 0.8
+    with pytest.raises(Exception, match="null or NaN"):
+        forests.Binned(df.withColumn("features", F.array(F.lit(None).cast("double"), F.lit(1.0)))).table.count()
