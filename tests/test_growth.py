@@ -293,3 +293,31 @@ def test_images_of_any_size_are_unpacked_together():
                                          "nChannels": [s[2] for s in sizes], "data": [d.tobytes() for d in data]}))
     want = [(n, x, y, *(int(d[y, x, min(k, d.shape[2] - 1)]) for k in (2, 1, 0))) for n, d in zip("abcd", data) for y in range(d.shape[0]) for x in range(d.shape[1])]
     assert [tuple(r) for r in rows[["image_id", "x", "y", "r", "g", "b"]].itertuples(index=False)] == want
+
+
+def test_neighbors_copy_no_vectors_for_packs(spark, monkeypatch):
+    """However many packs there are, no vector is shuffled for them, and only tables of the answer stay behind."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "id bigint, features array<double>").cache()
+    plans, made, cut, sessions = [], [], neighbors.cut_lineage, neighbors.drop_tables
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda d: plans.append(plan_of(d)) or made.append(cut(d)) or made[-1])
+    monkeypatch.setattr(neighbors, "drop_tables", lambda *tables: [made.remove(t) for t in tables] and sessions(*tables))
+    monkeypatch.setattr(neighbors, "BLOCK", 10)
+    monkeypatch.setattr(neighbors, "MERGED", 3)
+    near = neighbors.nearest_neighbors(df, df, 2, exclude_self=True)
+    compared = [p for p in plans if "MapInArrow" in p]
+    assert len(compared) >= 15 and not any("Exchange" in p or "CoGroup" in p for p in compared)
+    assert made == [near] and len({f.rpartition("/")[0] for f in near.inputFiles()}) == 1
+    x = np.array([r["features"] for r in df.orderBy("id").collect()])
+    far = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag(np.full(300, np.inf))
+    assert all([n["id"] for n in r["neighbors"]] == far[r["query_id"]].argsort()[:2].tolist() for r in near.collect())
+
+
+def test_tables_in_between_leave_no_shuffle_files(spark):
+    kept = spark.conf.get(session.CLEANUP, None)
+    table = session.cut_lineage(spark.range(50).selectExpr("id % 5 k", "id").groupBy("k").count())
+    folder = table.inputFiles()[0].rpartition("/")[0]
+    assert spark.conf.get(session.CLEANUP, None) == kept and table.count() == 5
+    session.drop_tables(table, spark.range(3))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
