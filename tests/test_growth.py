@@ -321,3 +321,22 @@ def test_tables_in_between_leave_no_shuffle_files(spark):
     session.drop_tables(table, spark.range(3))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder)
+
+
+def test_flow_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Pixels take little room in files, so Spark would send whole tables of them to the driver and to all tasks."""
+    pixels = spark.range(30 * 64).selectExpr("id div 64 image_id", "cast(id % 8 as int) x", "cast(id div 8 % 8 as int) y",
+                                             "cast(id * 7 % 251 as int) r", "cast(id * 13 % 241 as int) g", "cast(id * 5 % 239 as int) b")
+    columns = ["image_id", "blob_id", "area", "number", "red_contrast_avg", "hog_mean", "compactness"]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    few = rows(flow.image_factors(pixels))
+    plans, names = [], ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    for module in (flow, flow.contours, blob_texture):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: plans.append(plan_of(df.select("*"))) or cut(df))
+    monkeypatch.setattr(session, "FEW_ROWS", -1)
+    monkeypatch.setattr(flow, "FEW_ROWS", -1)
+    many = flow.image_factors(pixels)
+    assert len(plans) >= 10 and sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in [*plans, plan_of(many)])
+    assert few and rows(many) == few and [spark.conf.get(n, None) for n in names] == before
